@@ -10,6 +10,7 @@ from fleetspc.schemas import CHART_KEYS, LIMIT_COLUMNS, SERIES_KEYS, require_col
 from fleetspc.sources.workspace import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
+QUARTILE_NAMES = ("q1", "median", "q3")
 BOX_KEYS = ["entity_group", "sensor", "entity"]
 
 
@@ -74,18 +75,33 @@ def _box_rows(df: DataFrame, show_ewma: bool) -> DataFrame:
     )
 
 
-def _quartiles(rows: DataFrame, cuts) -> DataFrame:
-    """q1, median, q3 per entity, exact, interpolated linearly between neighbours."""
-    if cuts is None:
-        q = F.percentile("y", F.array(*[F.lit(p) for p in QUARTILES]))
-        return rows.groupBy(*BOX_KEYS).agg(q.alias("q")).select(
-            *BOX_KEYS, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+def _between(low: Column, high: Column, at: Column) -> Column:
+    """Linear interpolation at the fractional rank `at` between its two neighbours."""
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _with_quartiles_by_sorting(rows: DataFrame) -> DataFrame:
+    """Rows with q1, median, q3 of their group, from one sort of the group that may spill.
+
+    All of it, and the statistics on top, share one shuffle by group.
+    """
+    group = Window.partitionBy(*BOX_KEYS)
+    ranked = rows.withColumn("_rank", F.row_number().over(group.orderBy("y")) - 1)
+    ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(group))
+
+    def quartile(p: float) -> Column:
+        at = (F.col("_n") - 1) * p
+        low, high = (
+            F.max(F.when(F.col("_rank") == f(at), F.col("y"))).over(group) for f in (F.floor, F.ceil)
         )
-    return _quartiles_by_counting(rows)
+        return _between(low, high, at)
+
+    named = {n: quartile(p) for p, n in zip(QUARTILES, QUARTILE_NAMES)}
+    return ranked.withColumns(named).drop("_rank", "_n")
 
 
 def _quartiles_by_counting(rows: DataFrame, accuracy: int = 100_000) -> DataFrame:
-    """Quartiles of groups too large for the built-in percentile, which holds a group's values.
+    """One row per group with q1, median, q3, for groups too large to be sorted in one task.
 
     A bounded sketch proposes splitters close around each quartile. Exact counts between the
     splitters tell in which interval a wanted rank lies, and only the readings of those
@@ -130,33 +146,25 @@ def _quartiles_by_counting(rows: DataFrame, accuracy: int = 100_000) -> DataFram
     ).where(F.size("hits") > 0)
 
     def quartile(p: float) -> Column:
-        at = F.lit(p) * (F.max("n") - 1)
-
         def ranked(rank: Column) -> Column:
             return F.max(F.when(F.array_contains("hits", rank), F.col("y")))
 
-        low = ranked(F.floor((F.col("n") - 1) * p))
-        high = ranked(F.ceil((F.col("n") - 1) * p))
-        return low + (high - low) * (at - F.floor(at))
+        at = (F.col("n") - 1) * p
+        return _between(ranked(F.floor(at)), ranked(F.ceil(at)), (F.max("n") - 1) * p)
 
-    return hit.groupBy(*BOX_KEYS).agg(
-        *[quartile(p).alias(n) for p, n in zip(QUARTILES, ("q1", "median", "q3"))]
-    )
+    return hit.groupBy(*BOX_KEYS).agg(*[quartile(p).alias(n) for p, n in zip(QUARTILES, QUARTILE_NAMES)])
 
 
 def _with_fences(rows: DataFrame, cuts) -> DataFrame:
     """Rows with the quartiles and 1.5-IQR fences of their entity."""
-    box = materialize(_quartiles(rows, cuts), "box-quartiles")
-    same = [rows[k].eqNullSafe(box[k]) for k in BOX_KEYS]
+    if cuts is None:
+        boxed = _with_quartiles_by_sorting(rows)
+    else:
+        box = materialize(_quartiles_by_counting(rows), "box-quartiles")
+        same = [rows[k].eqNullSafe(box[k]) for k in BOX_KEYS]
+        boxed = rows.join(box, same, "inner").select(*[rows[c] for c in rows.columns], *QUARTILE_NAMES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return rows.join(box, same, "inner").select(
-        *[rows[c] for c in rows.columns],
-        "q1",
-        "median",
-        "q3",
-        (F.col("q1") - reach).alias("fence_low"),
-        (F.col("q3") + reach).alias("fence_high"),
-    )
+    return boxed.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})
 
 
 def _box_cuts(rows: DataFrame, cuts):
@@ -168,7 +176,7 @@ def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_e
 
     Whiskers end at the furthest reading within 1.5 IQR of the box, and at the box when no
     reading lies beyond it. `cuts` is over (entity_group, entity, sensor) and says whether a
-    group is too large for the built-in percentile.
+    group is too large to be sorted in one task.
     """
     rows = _box_rows(chart_rows(df, entity_group, sensor), show_ewma)
     fenced = _with_fences(rows, _box_cuts(rows, cuts))
@@ -178,7 +186,7 @@ def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_e
         fenced.groupBy(*BOX_KEYS)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+            *[F.max(c).alias(c) for c in QUARTILE_NAMES],
             reached_low.alias("whisker_low"),
             reached_high.alias("whisker_high"),
             F.sum(((y < low) | (y > high)).cast("long")).alias("outliers"),

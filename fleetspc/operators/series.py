@@ -24,6 +24,15 @@ from fleetspc.sources.workspace import materialize
 CHUNK = "_chunk"
 ROWS_PER_CHUNK = 1_000_000
 
+# A chunk may hold this many times its share before it is cut again.
+UNEVEN = 4
+
+# Chunk of series that are not cut, and of rows without a time; sorts before all others.
+WHOLE = -(2**62)
+
+# Tables of chunk bounds: per series, then per chunk that had to be cut again.
+LongSeries = list[DataFrame]
+
 # Argument value: count the input of the operator to find the series that need cutting.
 FIND = "find"
 
@@ -33,25 +42,62 @@ _NULL_KEY = "\u0000"
 
 def find_long_series(
     rows: DataFrame, keys: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame | None:
-    """Series with more than `rows_per_chunk` rows and the chunk width each needs; None if none.
-
-    One partially aggregated count over the key and time columns. At most
-    (all rows / rows_per_chunk) series can qualify, and the result is a written table, so its
-    exact size is known to the planner. The result also fits any subset of `rows`.
+) -> LongSeries | None:
+    """How to cut the series of `rows` that have more than `rows_per_chunk` rows; None if none.
+
+    One partially aggregated count over the key and time columns finds them: at most
+    (all rows / rows_per_chunk) can qualify. Each is cut into chunks of equal duration, the
+    chunks are counted, and one that still holds more than its share, because of a burst or a
+    stray timestamp, is cut again. The levels are written tables, so their exact size is known
+    to the planner. They also fit any subset of `rows`. Rows of one series at one instant stay
+    together.
     """
-    counted = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .where(F.col("n") > rows_per_chunk)
-    )
-    chunks = F.ceil(F.col("n") / F.lit(rows_per_chunk))
-    span = micros_between("first_ts", "last_ts") + 1
-    table = materialize(
-        counted.select(*keys, "first_ts", F.ceil(span / chunks).cast("long").alias("width_us")),
-        "long-series",
-    )
-    return None if table.isEmpty() else table
+    levels: list[DataFrame] = []
+    times = rows.select(*keys, "ts")
+    while True:
+        by = [*keys, CHUNK] if levels else [*keys]
+        most = rows_per_chunk * (UNEVEN if levels else 1)
+        placed = _place(times, keys, levels).where(F.col(CHUNK) != WHOLE) if levels else times
+        counted = (
+            placed.groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+            .where((F.col("n") > most) & (F.col("first_ts") < F.col("last_ts")))
+        )
+        chunks = F.ceil(F.col("n") / F.lit(rows_per_chunk))
+        span = micros_between("first_ts", "last_ts") + 1
+        width = F.ceil(span / chunks).cast("long").alias("width_us")
+        table = materialize(counted.select(*by, _micros("first_ts").alias("first_us"), width), "long-series")
+        if table.isEmpty():
+            return levels or None
+        levels.append(table)
+
+
+def _micros(ts: str) -> Column:
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def _plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add key columns free of NULL, so that they join on plain equality."""
+    text = {f"_by_{c}": F.coalesce(F.col(c).cast("string"), F.lit(_NULL_KEY)) for c in columns}
+    return df.withColumns(text)
+
+
+def _place(rows: DataFrame, keys: Sequence[str], levels: LongSeries) -> DataFrame:
+    """Add the chunk of each row: the start of the chunk in microseconds, at the finest level."""
+    keyed = [f"_by_{c}" for c in keys]
+    rows = _plain(rows, keys)
+    for depth, level in enumerate(levels):
+        on = [*keyed, CHUNK] if depth else keyed
+        bounds = _plain(level, keys).select(*on, "first_us", "width_us")
+        steps = F.greatest(F.floor((_micros("ts") - F.col("first_us")) / F.col("width_us")), F.lit(0))
+        finer = F.col("first_us") + steps * F.col("width_us")
+        coarser = F.col(CHUNK) if depth else F.lit(WHOLE)
+        rows = (
+            rows.join(bounds, on, "left")
+            .withColumn(CHUNK, F.coalesce(finer, coarser))
+            .drop("first_us", "width_us")
+        )
+    return rows
 
 
 @dataclass(frozen=True)
@@ -94,34 +140,21 @@ class SeriesRows:
 def split_series(
     rows: DataFrame,
     keys: Sequence[str],
-    cuts: DataFrame | str | None,
+    cuts: LongSeries | str | None,
     within: Sequence[str] = (),
 ) -> SeriesRows:
     """Prepare `rows` for windows over `keys` (and `within`, columns that divide a series further).
 
-    `cuts` is a table of find_long_series over `keys`, None when no series is long, or FIND.
+    `cuts` is a result of find_long_series over `keys`, or FIND.
     """
     if isinstance(cuts, str):
         cuts = find_long_series(rows, keys)
     if cuts is None:
         whole = [*within, *keys]
         return SeriesRows(rows, whole, whole, split=False)
-
-    def plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        text = {f"_by_{c}": F.coalesce(F.col(c).cast("string"), F.lit(_NULL_KEY)) for c in columns}
-        return df.withColumns(text)
-
-    keyed = [f"_by_{c}" for c in keys]
-    bounds = plain(cuts, keys).select(*keyed, "first_ts", "width_us")
-    chunk = F.floor(micros_between("first_ts", "ts") / F.col("width_us"))
-    rows = (
-        plain(rows, [*within, *keys])
-        .join(bounds, keyed, "left")
-        .withColumn(CHUNK, F.coalesce(chunk, F.lit(0)).cast("long"))
-        .drop("first_ts", "width_us")
-    )
-    series = [*[f"_by_{c}" for c in within], *keyed]
-    return SeriesRows(rows, [*series, CHUNK], series, split=True)
+    placed = _place(_plain(rows, within), keys, cuts)
+    series = [f"_by_{c}" for c in (*within, *keys)]
+    return SeriesRows(placed, [*series, CHUNK], series, split=True)
 
 
 def decayed_sum(

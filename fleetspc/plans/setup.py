@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from fleetspc.operators.ingest import derive_entity, spc_limits, unpivot_sensors
-from fleetspc.operators.series import find_long_series
+from fleetspc.operators.series import LongSeries, find_long_series
 from fleetspc.schemas import ENTITY_KEYS, SERIES_KEYS
 from fleetspc.sources.tables import read_limits, read_long, write_limits, write_long
 
@@ -18,8 +18,8 @@ class SensorTables:
 
     long: DataFrame
     limits: DataFrame
-    long_series: DataFrame | None
-    long_entities: DataFrame | None
+    long_series: LongSeries | None
+    long_entities: LongSeries | None
 
 
 def ingest(raw: DataFrame, folder: str, files: int | None = None) -> SensorTables:

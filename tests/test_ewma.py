@@ -192,8 +192,28 @@ def test_decayed_sum_takes_positions_with_gaps(spark):
 def test_long_series_are_cut_below_the_limit(spark):
     df = frame(spark, random_history([1000, 10], seed=11))
     cuts = find_long_series(df, SERIES_KEYS, 100)
-    assert [r.entity for r in cuts.collect()] == ["E00"]
+    assert [r.entity for r in cuts[0].collect()] == ["E00"]
     s = split_series(df, SERIES_KEYS, cuts)
     sizes = s.rows.groupBy(*s.by).count().collect()
     assert len(sizes) == 11 and max(r["count"] for r in sizes) <= 110
     assert find_long_series(df, SERIES_KEYS, 1000) is None
+
+
+def test_bursts_and_stray_timestamps_are_cut_again(spark):
+    """Almost all rows lie in one of the first chunks; it is cut until every chunk is small."""
+    rng = random.Random(16)
+    times = [DAY0 - timedelta(days=9000)] + [DAY0 + timedelta(seconds=i) for i in range(2000)]
+    times += [DAY0 + timedelta(days=5, microseconds=i) for i in range(2000)]
+    series = {"E00": [(t, rng.choice([0.0, 1.0, 2.0, 3.0]), rng.random()) for t in times]}
+    df = frame(spark, series)
+    cuts = find_long_series(df, SERIES_KEYS, 100)
+    assert len(cuts) > 1
+    s = split_series(df, SERIES_KEYS, cuts)
+    assert max(r["count"] for r in s.rows.groupBy(*s.by).count().collect()) <= 400
+    check(ewma(df, 0.2, cuts=cuts), series, 0.2)
+    check(ewma(df, 0.2, reset_on_maintenance=False, cuts=cuts), series, 0.2, reset=False)
+
+
+def test_rows_of_one_instant_stay_together(spark):
+    series = {"E00": [(DAY0, 1.0, float(i)) for i in range(50)]}
+    assert find_long_series(frame(spark, series), SERIES_KEYS, 10) is None
