@@ -469,3 +469,4 @@ b as (select entity, list(row(ts, hours_pre_pm, failure_type, ooc_sensors) order
 group by {PRINTED_COLUMNS} having sum(l) <> sum(n)""",
     ),
 }
+ORACLE["monitored_history"] = ORACLE["ewma_spc"]

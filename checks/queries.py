@@ -57,8 +57,8 @@ def history(t: SensorTables) -> DataFrame:
     return extract.sensor_history(t.long, t.limits)
 
 
-def processed(t: SensorTables, **options) -> DataFrame:
-    return spc.ewma_spc(history(t), cuts=t.long_series, **options)
+def processed(t: SensorTables) -> DataFrame:
+    return outputs.monitored_history(t.long, t.limits, cuts=t.long_series)
 
 
 def pm_history(t: SensorTables) -> DataFrame:
@@ -201,14 +201,20 @@ def ewma_whole_series(spark, sf_dir):
 
 
 def ewma_spc(spark, sf_dir):
-    return rounded(processed(sensor_tables(spark, sf_dir)), "ewma", *LIMITS)
+    t = sensor_tables(spark, sf_dir)
+    return rounded(spc.ewma_spc(history(t), cuts=t.long_series), "ewma", *LIMITS)
 
 
 def ewma_violation_variant(spark, sf_dir):
-    df = processed(sensor_tables(spark, sf_dir), ewma_alpha=0.6, violation_on="ewma")
+    t = sensor_tables(spark, sf_dir)
+    df = spc.ewma_spc(history(t), 0.6, violation_on="ewma", cuts=t.long_series)
     return rounded(df, "ewma", *LIMITS)
 
 
+def monitored_history(spark, sf_dir):
+    return rounded(processed(sensor_tables(spark, sf_dir)), "ewma", *LIMITS)
+
+
 # --- summaries ------------------------------------------------------------------------------
 
 
@@ -473,6 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ewma_whole_series": ewma_whole_series,
     "ewma_spc": ewma_spc,
     "ewma_violation_variant": ewma_violation_variant,
+    "monitored_history": monitored_history,
     "fleet_ooc_summary": fleet_ooc_summary,
     "fleet_ooc_table": fleet_ooc_table,
     "pm_event_ooc_summary": pm_event_ooc_summary,

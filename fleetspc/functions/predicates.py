@@ -79,4 +79,12 @@ def days_and_hours(days: int = 0, hours: int = 0) -> Column:
 
 
 def micros_between(earlier: Column | str, later: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later)
+    """Microseconds from one wall-clock time to another; no session time zone enters."""
+    earlier, later = (F.col(x) if isinstance(x, str) else x for x in (earlier, later))
+    seconds = (later - earlier).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("long")
+
+
+def micros_of(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a wall-clock time."""
+    return micros_between(ts_literal("1970-01-01 00:00:00"), ts)

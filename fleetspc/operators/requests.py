@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspc.functions.predicates import days_and_hours
+from fleetspc.functions.predicates import days_and_hours, micros_of, ts_literal
 from fleetspc.operators.extract import SENSOR_HISTORY, join_limits, normal_readings
 from fleetspc.operators.ingest import entities_by_group
 from fleetspc.operators.series import FIND
@@ -23,12 +23,11 @@ REQUIRED_FILTERS = {
     "fleet_sensor_history": ["entity_group", "sensor"],
 }
 
-_ORIGIN = "1970-01-01 00:00:00"
+MICROS_PER_HOUR = 3_600_000_000
 
 
-def _bin(ts: Column, bin_hours: int) -> Column:
-    hours = F.timestamp_diff("SECOND", F.lit(_ORIGIN).cast("timestamp_ntz"), ts) / (3600.0 * bin_hours)
-    return F.floor(hours)
+def _bin(ts: Column | str, bin_hours: int) -> Column:
+    return F.floor(micros_of(ts) / (bin_hours * MICROS_PER_HOUR))
 
 
 def match_ranges(
@@ -36,20 +35,21 @@ def match_ranges(
     ranges: DataFrame,
     keys: Sequence[str],
     *,
+    span: tuple | None = None,
     closed: bool = False,
     bin_hours: int = 24,
 ) -> DataFrame:
     """Join rows to time ranges of the same keys: start_ts <= ts < end_ts, or <= end_ts if closed.
 
-    A NULL bound is open. Ranges are spread over the time bins they touch, within the span of
-    the rows, and the join is an equality on keys and bin, so a row meets only ranges of its own
-    bin. The spread ranges are a written table: broadcast while small, else shuffled, where the
-    bins break up hot keys and adaptive execution splits what is still uneven.
+    A NULL bound is open. Ranges are spread over the time bins they touch, within `span`, the
+    first and last ts of the rows, and the join is an equality on keys and bin, so a row meets
+    only ranges of its own bin. The spread ranges are a written table: broadcast while small,
+    else shuffled, where the bins break up hot keys and adaptive execution splits what is still
+    uneven.
     """
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    first = _bin(F.greatest(F.coalesce("start_ts", lo), lo), bin_hours)
-    last = _bin(F.least(F.coalesce("end_ts", hi), hi), bin_hours)
+    lo, hi = (F.lit(None).cast("timestamp_ntz") if t is None else ts_literal(t) for t in span or time_span(rows))
+    first = _bin(F.greatest("start_ts", lo), bin_hours)
+    last = _bin(F.least("end_ts", hi), bin_hours)
     spread = ranges.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
     spread = spread.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
     spread = materialize(spread, "ranges")
@@ -58,6 +58,11 @@ def match_ranges(
     return rows.withColumn("_bin", _bin(ts, bin_hours)).join(spread, [*keys, "_bin"], "inner").where(inside).drop("_bin")
 
 
+def time_span(rows: DataFrame) -> tuple:
+    """First and last ts, two values."""
+    return tuple(rows.agg(F.min("ts"), F.max("ts")).first())
+
+
 def request_rows(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: int = 24) -> DataFrame:
     """Normal-mode readings of every request, with limits and the request's id.
 
@@ -70,12 +75,9 @@ def request_rows(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin
     wanted = requests.select(REQUESTS.fieldNames()).withColumn(
         "entity", F.nullif(F.trim("entity"), F.lit(""))
     )
-    by_entity = match_ranges(
-        readings, wanted.where(F.col("entity").isNotNull()), SERIES_KEYS, bin_hours=bin_hours
-    )
-    by_fleet = match_ranges(
-        readings, wanted.where(F.col("entity").isNull()).drop("entity"), CHART_KEYS, bin_hours=bin_hours
-    )
+    bins = dict(span=time_span(readings), bin_hours=bin_hours)
+    by_entity = match_ranges(readings, wanted.where(F.col("entity").isNotNull()), SERIES_KEYS, **bins)
+    by_fleet = match_ranges(readings, wanted.where(F.col("entity").isNull()).drop("entity"), CHART_KEYS, **bins)
     columns = ["request_id", *[c for c in SENSOR_HISTORY if c in long.columns]]
     matched = by_entity.select(columns).unionByName(by_fleet.select(columns))
     return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)

@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fleetspc.functions.predicates import micros_between
+from fleetspc.functions.predicates import micros_between, micros_of
 from fleetspc.sources.workspace import materialize
 
 CHUNK = "_chunk"
@@ -40,8 +40,18 @@ FIND = "find"
 _NULL_KEY = "\u0000"
 
 
+def series_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, first and last time per series."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
 def find_long_series(
-    rows: DataFrame, keys: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    rows: DataFrame,
+    keys: Sequence[str],
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    counts: DataFrame | None = None,
 ) -> LongSeries | None:
     """How to cut the series of `rows` that have more than `rows_per_chunk` rows; None if none.
 
@@ -50,7 +60,7 @@ def find_long_series(
     chunks are counted, and one that still holds more than its share, because of a burst or a
     stray timestamp, is cut again. The levels are written tables, so their exact size is known
     to the planner. They also fit any subset of `rows`. Rows of one series at one instant stay
-    together.
+    together. `counts`, series_counts over these or more keys, saves the first count.
     """
     levels: list[DataFrame] = []
     times = rows.select(*keys, "ts")
@@ -58,24 +68,22 @@ def find_long_series(
         by = [*keys, CHUNK] if levels else [*keys]
         most = rows_per_chunk * (UNEVEN if levels else 1)
         placed = _place(times, keys, levels).where(F.col(CHUNK) != WHOLE) if levels else times
-        counted = (
-            placed.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-            .where((F.col("n") > most) & (F.col("first_ts") < F.col("last_ts")))
-        )
+        if counts is not None and not levels:
+            counted = counts.groupBy(*by).agg(
+                F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+            )
+        else:
+            counted = series_counts(placed, by)
+        counted = counted.where((F.col("n") > most) & (F.col("first_ts") < F.col("last_ts")))
         chunks = F.ceil(F.col("n") / F.lit(rows_per_chunk))
         span = micros_between("first_ts", "last_ts") + 1
         width = F.ceil(span / chunks).cast("long").alias("width_us")
-        table = materialize(counted.select(*by, _micros("first_ts").alias("first_us"), width), "long-series")
+        table = materialize(counted.select(*by, micros_of("first_ts").alias("first_us"), width), "long-series")
         if table.isEmpty():
             return levels or None
         levels.append(table)
 
 
-def _micros(ts: str) -> Column:
-    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
-
-
 def _plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add key columns free of NULL, so that they join on plain equality."""
     text = {f"_by_{c}": F.coalesce(F.col(c).cast("string"), F.lit(_NULL_KEY)) for c in columns}
@@ -89,7 +97,7 @@ def _place(rows: DataFrame, keys: Sequence[str], levels: LongSeries) -> DataFram
     for depth, level in enumerate(levels):
         on = [*keyed, CHUNK] if depth else keyed
         bounds = _plain(level, keys).select(*on, "first_us", "width_us")
-        steps = F.greatest(F.floor((_micros("ts") - F.col("first_us")) / F.col("width_us")), F.lit(0))
+        steps = F.greatest(F.floor((micros_of("ts") - F.col("first_us")) / F.col("width_us")), F.lit(0))
         finer = F.col("first_us") + steps * F.col("width_us")
         coarser = F.col(CHUNK) if depth else F.lit(WHOLE)
         rows = (

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from fleetspc.operators.extract import entity_all_sensor_history, fleet_sensor_history, pm_event_sensor_history
+from fleetspc.functions.predicates import one_sided_violation
+from fleetspc.operators.ewma import ewma
+from fleetspc.operators.extract import (
+    SENSOR_HISTORY,
+    entity_all_sensor_history,
+    fleet_sensor_history,
+    join_limits,
+    normal_readings,
+    pm_event_sensor_history,
+)
 from fleetspc.operators.health import by_severity, health_table, multi_sensor_health
 from fleetspc.operators.series import FIND
 from fleetspc.operators.slices import entity_subset, time_slice
@@ -15,6 +24,18 @@ from fleetspc.operators.summary import fleet_ooc_summary, pm_event_ooc_summary,
 from fleetspc.sources.workspace import materialize
 
 
+def monitored_history(
+    long, limits, ewma_alpha: float = 0.2, *, violation_on: str = "value", cuts=FIND, **filters
+) -> DataFrame:
+    """ewma_spc of a sensor_history, with the limits joined after the average.
+
+    The rows are the same; the limits stay out of the shuffle that brings a series together.
+    """
+    averaged = ewma(normal_readings(long, **filters), ewma_alpha, cuts=cuts)
+    flagged = join_limits(averaged, limits).withColumn("spc_violation", one_sided_violation(violation_on))
+    return flagged.select(*SENSOR_HISTORY, "ewma", "spc_violation")
+
+
 def sliced(df: DataFrame, *, entities=None, start_ts=None, end_ts=None, window_days=None, mode="run") -> DataFrame:
     """Entities first, then time: a window counts back from the last row of those entities."""
     return time_slice(entity_subset(df, entities), start_ts, end_ts, window_days, mode)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetspc.operators.ingest import derive_entity, spc_limits, unpivot_sensors
-from fleetspc.operators.series import LongSeries, find_long_series
+from fleetspc.operators.series import LongSeries, find_long_series, series_counts
 from fleetspc.schemas import ENTITY_KEYS, SERIES_KEYS
 from fleetspc.sources.tables import read_limits, read_long, write_limits, write_long
+from fleetspc.sources.workspace import materialize
 
 
 @dataclass(frozen=True)
@@ -31,11 +32,13 @@ def ingest(raw: DataFrame, folder: str, files: int | None = None) -> SensorTable
     return open_tables(spark, folder)
 
 
-def open_tables(spark, folder: str) -> SensorTables:
+def open_tables(spark: SparkSession, folder: str) -> SensorTables:
+    """Open stored tables. Long series and long entities are found in one scan of the keys."""
     long = read_long(spark, f"{folder}/sensor_data")
+    counts = materialize(series_counts(long, SERIES_KEYS), "series-counts")
     return SensorTables(
         long=long,
         limits=read_limits(spark, f"{folder}/sensor_spc_limits"),
-        long_series=find_long_series(long, SERIES_KEYS),
-        long_entities=find_long_series(long, ENTITY_KEYS),
+        long_series=find_long_series(long, SERIES_KEYS, counts=counts),
+        long_entities=find_long_series(long, ENTITY_KEYS, counts=counts),
     )

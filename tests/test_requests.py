@@ -95,3 +95,26 @@ def test_windows_around_events_are_closed_and_may_overlap(spark, history):
     )
     got = as_set(requests.pm_event_windows(long, limits, events, days=2), "event_ts", "value")
     assert got == [(DAY0 + timedelta(days=d), float(v)) for d in (2, 4) for v in range(d - 2, d + 3)]
+
+
+def test_the_session_time_zone_does_not_matter(spark, history):
+    """New York skips 02:00-03:00 on 2024-03-10 and repeats 01:00-02:00 on 2024-11-03."""
+    from fleetspc.operators.health import multi_sensor_health
+
+    hours = [(69 * 24 + h) for h in range(0, 12)] + [(307 * 24 + h / 2) for h in range(0, 12)]
+    df = history(*[reading(at=float(h), value=float(i % 5), ucl=9.0, centerline=0.0, lcl=-9.0) for i, h in enumerate(hours)])
+    asked = ask(spark, ("r", "CPR", "CPR01", "rpm", 69 * 24 + 2, 307 * 24 + 2))
+    limits = spark.createDataFrame([], LIMITS)
+
+    def results():
+        cuts = find_long_series(df, SERIES_KEYS, 5)
+        rows = requests.request_rows(df.drop("ucl", "centerline", "lcl"), limits, asked, bin_hours=1)
+        return as_set(multi_sensor_health(df, slope_window_hours=4, cuts=cuts)), as_set(rows, "ts", "value")
+
+    want = results()
+    assert len(want[1]) == 14
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert results() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
