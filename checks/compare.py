@@ -7,7 +7,7 @@ import time
 
 import duckdb
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
@@ -33,9 +33,9 @@ def ordered(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-def difference(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
-    """None when both sides hold the same rows, else what differs first."""
-    ours = QUERIES[name](spark, sf_dir).toPandas()
+def difference(result: DataFrame, con: duckdb.DuckDBPyConnection, name: str) -> str | None:
+    """None when a query's result holds the rows of its SQL, else what differs first."""
+    ours = result.toPandas()
     theirs = con.execute(ORACLE[name]).df()
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(ours.columns)} and {sorted(theirs.columns)}"
@@ -66,7 +66,7 @@ def main() -> int:
     for name in names:
         start = time.time()
         try:
-            found = difference(spark, con, sf_dir, name)
+            found = difference(QUERIES[name](spark, sf_dir), con, name)
         except Exception as e:
             found = f"{type(e).__name__}: {str(e)[:300]}"
         failed += found is not None

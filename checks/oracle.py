@@ -207,7 +207,7 @@ PRINTED_COLUMNS = "ts, entity_group, entity, sensor, operating_mode, failure_typ
 def digest_text(digits: int) -> str:
     """Cells in the order of the column names."""
     value = f"cast(cast(round(value, {digits}) as decimal(38, {digits})) as varchar)"
-    ts = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+    ts = "cast(epoch_us(ts) as varchar)"
     cells = ["entity", "entity_group", "failure_type", "operating_mode", "sensor", ts, value]
     return " || ".join(CELL.format(c) for c in cells)
 

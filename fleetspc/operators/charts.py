@@ -160,9 +160,13 @@ def _with_fences(rows: DataFrame, cuts) -> DataFrame:
     if cuts is None:
         boxed = _with_quartiles_by_sorting(rows)
     else:
-        box = materialize(_quartiles_by_counting(rows), "box-quartiles")
-        same = [rows[k].eqNullSafe(box[k]) for k in BOX_KEYS]
-        boxed = rows.join(box, same, "inner").select(*[rows[c] for c in rows.columns], *QUARTILE_NAMES)
+        long = cuts[0]
+        is_long = [rows[k].eqNullSafe(long[k]) for k in BOX_KEYS]
+        few, many = rows.join(long, is_long, "left_anti"), rows.join(long, is_long, "left_semi")
+        box = materialize(_quartiles_by_counting(many), "box-quartiles")
+        same = [many[k].eqNullSafe(box[k]) for k in BOX_KEYS]
+        counted = many.join(box, same, "inner").select(*[many[c] for c in rows.columns], *QUARTILE_NAMES)
+        boxed = _with_quartiles_by_sorting(few).unionByName(counted)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return boxed.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})
 

@@ -62,7 +62,13 @@ def ewma(
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     rows = s.rows.withColumn("_reset", _reset() if reset_on_maintenance else F.lit(0))
-    rows = rows.withColumns({"_row": F.row_number().over(w), "_block": F.sum("_reset").over(so_far)})
+    rows = rows.withColumns(
+        {
+            "_row": F.row_number().over(w),
+            "_block": F.sum("_reset").over(so_far),
+            "_first": F.first("value").over(so_far),
+        }
+    )
     block_start = F.coalesce(F.max(F.when(F.col("_reset") == 1, F.col("_row"))).over(so_far), F.lit(1))
     rows = rows.withColumn("_position", F.col("_row") - block_start)
     # A cut series opens its chunks like any other row; what went before is added below.
@@ -89,7 +95,6 @@ def ewma(
             "_chunk_block", "_chunk_term", "_at", "_chunk_end"
         )
 
-    rows = rows.withColumn("_first", F.first("value").over(so_far))
     rows = s.carry(
         rows,
         {

@@ -22,7 +22,7 @@ from fleetspc.functions.predicates import micros_between, micros_of
 from fleetspc.sources.workspace import materialize
 
 CHUNK = "_chunk"
-ROWS_PER_CHUNK = 1_000_000
+ROWS_PER_CHUNK = 4_000_000
 
 # A chunk may hold this many times its share before it is cut again.
 UNEVEN = 4
@@ -129,10 +129,12 @@ class SeriesRows:
         """Add columns that come from the other chunks of the same series.
 
         `summary` aggregates a chunk to one row. `carried` turns those rows into new columns,
-        by expressions of (window over chunks upwards, window over chunks downwards). Chunks
-        for which all of them are NULL, which includes every uncut series, send no row.
+        by expressions of (window over chunks upwards, window over chunks downwards). Only rows
+        of cut series are summed up; the condition is on a window key, so it moves below the
+        windows that made `rows`. Chunks that learn nothing send no row to the join.
         """
-        chunks = rows.groupBy(*self.by).agg(*[c.alias(n) for n, c in summary.items()])
+        cut = rows.where(F.col(CHUNK) != WHOLE)
+        chunks = cut.groupBy(*self.by).agg(*[c.alias(n) for n, c in summary.items()])
         series = Window.partitionBy(*self.keys)
         up, down = series.orderBy(F.col(CHUNK)), series.orderBy(F.col(CHUNK).desc())
         if callable(carried):

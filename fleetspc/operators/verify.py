@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetspc.functions.predicates import micros_of
+
 FINGERPRINT = ["row_count", "digest_high", "digest_low"]
 
 
@@ -21,8 +23,10 @@ def _canonical(field: T.StructField, digits: int) -> Column:
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         fixed = F.round(cell, digits).try_cast(T.DecimalType(38, digits)).cast("string")
         text = F.coalesce(fixed, cell.cast("string"))
-    elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-        text = F.date_format(cell, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif isinstance(field.dataType, T.TimestampNTZType):
+        text = micros_of(cell).cast("string")
+    elif isinstance(field.dataType, T.TimestampType):
+        text = F.unix_micros(cell).cast("string")
     else:
         text = cell.cast("string")
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))

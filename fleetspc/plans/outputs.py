@@ -36,6 +36,11 @@ def monitored_history(
     return flagged.select(*SENSOR_HISTORY, "ewma", "spc_violation")
 
 
+def in_time_order(history: DataFrame) -> DataFrame:
+    """Sort an extract for display: by ts, and by entity and sensor within a tick."""
+    return history.orderBy("ts", "entity", "sensor")
+
+
 def sliced(df: DataFrame, *, entities=None, start_ts=None, end_ts=None, window_days=None, mode="run") -> DataFrame:
     """Entities first, then time: a window counts back from the last row of those entities."""
     return time_slice(entity_subset(df, entities), start_ts, end_ts, window_days, mode)

@@ -187,3 +187,20 @@ def test_reports(spark, history):
     assert [(r.entity, r.hours_since_last_maintenance, r.ooc_sensors) for r in pm] == [("CPR01", 4.0, "rpm"), ("CPR02", 4.0, "rpm")]
     health = outputs.health_report(long, limits, "CPR", "CPR01", cuts=None)
     assert health.count() == 1 and "latest_ewma" not in health.columns
+
+
+def test_display_order(history):
+    df = history(reading("B", "x", at=1), reading("A", "y", at=1), reading("A", "x", at=1), reading("C", "z", at=0))
+    assert [(r.entity, r.sensor) for r in outputs.in_time_order(df).collect()] == [("C", "z"), ("A", "x"), ("A", "y"), ("B", "x")]
+
+
+def test_limits_joined_late_give_the_same_rows(spark, history):
+    from fleetspc.operators.extract import sensor_history
+    from fleetspc.schemas import LIMITS
+
+    long = history(*[reading(at=i, value=float(i), hours=float(i % 4)) for i in range(12)], reading(at=20, mode="idle"))
+    long = long.drop("ucl", "centerline", "lcl")
+    limits = spark.createDataFrame([("CPR", "rpm", 1.0, 1.0, 4.0, 1.0, 1.5)], LIMITS)
+    early = ewma_spc(sensor_history(long, limits), cuts=None)
+    late = outputs.monitored_history(long, limits, cuts=None)
+    assert early.columns == late.columns and as_set(early) == as_set(late)
