@@ -314,7 +314,7 @@ union all select distinct 'group_entity', entity_group, entity from long""",
     "pm_event_sensor_history": q(
         LIMITS + events_cte() + event_history_cte(),
         f"""select entity_group, entity, ts, hours_pre_pm, failure_type, operating_mode, sensor, value, {ROUND_LIMITS}
-from pm_hist where entity_group = 'CPR'""",
+from pm_hist""",
     ),
     "maintenance_block": q(
         LONG,
@@ -337,6 +337,9 @@ from long where operating_mode = 'normal'""",
     ),
     "fleet_ooc_summary": q(HIST, ooc_table("hist")),
     "fleet_ooc_table": q(
+        HIST, ooc_table("(select * from hist where ts >= (select max(ts) - interval 3 day from hist))")
+    ),
+    "fleet_ooc_report": q(
         HIST + ", cpr as (select * from hist where entity_group = 'CPR' and sensor = 'vibration_rms')",
         ooc_table("(select * from cpr where ts >= (select max(ts) - interval 3 day from cpr))"),
     ),
@@ -351,7 +354,7 @@ from ({event_summary()})""",
         HIST + health_cte("hist", 0.9, 5, 48), f"select {health_columns(5, 48)} from health"
     ),
     "health_table": q(
-        HIST + health_cte("(select * from hist where entity_group = 'CPR')"),
+        HIST + health_cte("hist"),
         f"""select {SERIES}, {r('z', 'latest_z_score')}, {r('ooc_rate', 'ooc_rate_2d')},
   {r('slope', 'ewma_slope_z_per_day_24h')}, baseline_trend, health_status from health""",
     ),

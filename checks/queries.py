@@ -174,9 +174,7 @@ def pm_event_join_back(spark, sf_dir):
 
 
 def pm_event_sensor_history(spark, sf_dir):
-    t = sensor_tables(spark, sf_dir)
-    df = extract.pm_event_sensor_history(t.long, t.limits, "CPR", cuts=t.long_entities)
-    return rounded(df, *LIMITS)
+    return rounded(pm_history(sensor_tables(spark, sf_dir)), *LIMITS)
 
 
 # --- averages and flags ---------------------------------------------------------------------
@@ -223,6 +221,12 @@ def fleet_ooc_summary(spark, sf_dir):
 
 
 def fleet_ooc_table(spark, sf_dir):
+    table = outputs.fleet_ooc_table(processed(sensor_tables(spark, sf_dir)), window_days=3)
+    return rounded(table, "percent_ooc")
+
+
+def fleet_ooc_report(spark, sf_dir):
+    """How often was each entity of a fleet out of control over the last three days?"""
     t = sensor_tables(spark, sf_dir)
     df = outputs.fleet_ooc_report(
         t.long, t.limits, "CPR", "vibration_rms", window_days=3, cuts=t.long_series
@@ -257,7 +261,7 @@ def multi_sensor_health_fast(spark, sf_dir):
 
 def health_table(spark, sf_dir):
     t = sensor_tables(spark, sf_dir)
-    df = outputs.health_report(t.long, t.limits, "CPR", cuts=t.long_series)
+    df = health.health_table(health.multi_sensor_health(history(t), cuts=t.long_series))
     return rounded(df, "latest_z_score", "ooc_rate_2d", "ewma_slope_z_per_day_24h")
 
 
@@ -482,6 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monitored_history": monitored_history,
     "fleet_ooc_summary": fleet_ooc_summary,
     "fleet_ooc_table": fleet_ooc_table,
+    "fleet_ooc_report": fleet_ooc_report,
     "pm_event_ooc_summary": pm_event_ooc_summary,
     "pm_event_table": pm_event_table,
     "multi_sensor_health": multi_sensor_health,

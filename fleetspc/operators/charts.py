@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspc.operators.series import FIND, find_long_series
+from fleetspc.operators.series import FIND, ROWS_PER_CHUNK
 from fleetspc.schemas import CHART_KEYS, LIMIT_COLUMNS, SERIES_KEYS, require_columns, with_limit_columns
 from fleetspc.sources.workspace import materialize
 
@@ -155,12 +155,11 @@ def _quartiles_by_counting(rows: DataFrame, accuracy: int = 100_000) -> DataFram
     return hit.groupBy(*BOX_KEYS).agg(*[quartile(p).alias(n) for p, n in zip(QUARTILES, QUARTILE_NAMES)])
 
 
-def _with_fences(rows: DataFrame, cuts) -> DataFrame:
+def _with_fences(rows: DataFrame, long: DataFrame | None) -> DataFrame:
     """Rows with the quartiles and 1.5-IQR fences of their entity."""
-    if cuts is None:
+    if long is None:
         boxed = _with_quartiles_by_sorting(rows)
     else:
-        long = cuts[0]
         is_long = [rows[k].eqNullSafe(long[k]) for k in BOX_KEYS]
         few, many = rows.join(long, is_long, "left_anti"), rows.join(long, is_long, "left_semi")
         box = materialize(_quartiles_by_counting(many), "box-quartiles")
@@ -171,19 +170,28 @@ def _with_fences(rows: DataFrame, cuts) -> DataFrame:
     return boxed.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})
 
 
-def _box_cuts(rows: DataFrame, cuts):
-    return find_long_series(rows, SERIES_KEYS) if isinstance(cuts, str) else cuts
+def _long_groups(rows: DataFrame, cuts) -> DataFrame | None:
+    """Keys of the groups too large to be sorted in one task, as a written table; None if none."""
+    if not isinstance(cuts, str):
+        return cuts[0] if cuts else None
+    counted = rows.groupBy(*BOX_KEYS).count().where(F.col("count") > ROWS_PER_CHUNK)
+    table = materialize(counted.select(*BOX_KEYS), "long-groups")
+    return None if table.isEmpty() else table
+
+
+def _boxed(df: DataFrame, entity_group, sensor, show_ewma: bool, cuts) -> DataFrame:
+    chart = chart_rows(df, entity_group, sensor)
+    return _with_fences(_box_rows(chart, show_ewma), _long_groups(chart, cuts))
 
 
 def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=FIND) -> DataFrame:
     """Per entity: count, quartiles, whiskers and number of outliers.
 
     Whiskers end at the furthest reading within 1.5 IQR of the box, and at the box when no
-    reading lies beyond it. `cuts` is over (entity_group, entity, sensor) and says whether a
-    group is too large to be sorted in one task.
+    reading lies beyond it. `cuts` is over (entity_group, entity, sensor) and says which
+    groups are too large to be sorted in one task; FIND counts them.
     """
-    rows = _box_rows(chart_rows(df, entity_group, sensor), show_ewma)
-    fenced = _with_fences(rows, _box_cuts(rows, cuts))
+    fenced = _boxed(df, entity_group, sensor, show_ewma, cuts)
     y, low, high = F.col("y"), F.col("fence_low"), F.col("fence_high")
     reached_low, reached_high = F.min(F.when(y >= low, y)), F.max(F.when(y <= high, y))
     return (
@@ -202,7 +210,6 @@ def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_e
 
 def fleet_boxplot_outliers(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=FIND) -> DataFrame:
     """The readings beyond the whiskers, one row each."""
-    rows = _box_rows(chart_rows(df, entity_group, sensor), show_ewma)
-    fenced = _with_fences(rows, _box_cuts(rows, cuts))
+    fenced = _boxed(df, entity_group, sensor, show_ewma, cuts)
     beyond = (F.col("y") < F.col("fence_low")) | (F.col("y") > F.col("fence_high"))
-    return fenced.where(beyond).select(*rows.columns)
+    return fenced.where(beyond).drop(*QUARTILE_NAMES, "fence_low", "fence_high")

@@ -30,32 +30,32 @@ def _bin(ts: Column | str, bin_hours: int) -> Column:
     return F.floor(micros_of(ts) / (bin_hours * MICROS_PER_HOUR))
 
 
-def match_ranges(
-    rows: DataFrame,
-    ranges: DataFrame,
-    keys: Sequence[str],
-    *,
-    span: tuple | None = None,
-    closed: bool = False,
-    bin_hours: int = 24,
-) -> DataFrame:
-    """Join rows to time ranges of the same keys: start_ts <= ts < end_ts, or <= end_ts if closed.
+def spread_ranges(ranges: DataFrame, span: tuple, *, bin_hours: int = 24) -> DataFrame:
+    """Ranges (start_ts, end_ts), one row per time bin they touch within `span`, as a written table.
 
-    A NULL bound is open. Ranges are spread over the time bins they touch, within `span`, the
-    first and last ts of the rows, and the join is an equality on keys and bin, so a row meets
-    only ranges of its own bin. The spread ranges are a written table: broadcast while small,
-    else shuffled, where the bins break up hot keys and adaptive execution splits what is still
-    uneven.
+    A NULL bound is open. `span` is the first and last ts of the rows to match.
     """
-    lo, hi = (F.lit(None).cast("timestamp_ntz") if t is None else ts_literal(t) for t in span or time_span(rows))
+    lo, hi = (F.lit(None).cast("timestamp_ntz") if t is None else ts_literal(t) for t in span)
     first = _bin(F.greatest("start_ts", lo), bin_hours)
     last = _bin(F.least("end_ts", hi), bin_hours)
     spread = ranges.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
     spread = spread.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    spread = materialize(spread, "ranges")
+    return materialize(spread, "ranges")
+
+
+def match_ranges(
+    rows: DataFrame, spread: DataFrame, keys: Sequence[str], *, closed: bool = False, bin_hours: int = 24
+) -> DataFrame:
+    """Join rows to spread ranges of the same keys: start_ts <= ts < end_ts, or <= end_ts if closed.
+
+    An equality on keys and bin, so a row meets only ranges of its own bin. The ranges are
+    broadcast while their table is small, else shuffled, where the bins break up hot keys and
+    adaptive execution splits what is still uneven.
+    """
     ts, start, end = F.col("ts"), F.col("start_ts"), F.col("end_ts")
     inside = (start.isNull() | (ts >= start)) & (end.isNull() | ((ts <= end) if closed else (ts < end)))
-    return rows.withColumn("_bin", _bin(ts, bin_hours)).join(spread, [*keys, "_bin"], "inner").where(inside).drop("_bin")
+    binned = rows.withColumn("_bin", _bin(ts, bin_hours))
+    return binned.join(spread, [*keys, "_bin"], "inner").where(inside).drop("_bin")
 
 
 def time_span(rows: DataFrame) -> tuple:
@@ -75,9 +75,10 @@ def request_rows(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin
     wanted = requests.select(REQUESTS.fieldNames()).withColumn(
         "entity", F.nullif(F.trim("entity"), F.lit(""))
     )
-    bins = dict(span=time_span(readings), bin_hours=bin_hours)
-    by_entity = match_ranges(readings, wanted.where(F.col("entity").isNotNull()), SERIES_KEYS, **bins)
-    by_fleet = match_ranges(readings, wanted.where(F.col("entity").isNull()).drop("entity"), CHART_KEYS, **bins)
+    spread = spread_ranges(wanted, time_span(readings), bin_hours=bin_hours)
+    for_entity, for_fleet = (spread.where(c) for c in (F.col("entity").isNotNull(), F.col("entity").isNull()))
+    by_entity = match_ranges(readings, for_entity, SERIES_KEYS, bin_hours=bin_hours)
+    by_fleet = match_ranges(readings, for_fleet.drop("entity"), CHART_KEYS, bin_hours=bin_hours)
     columns = ["request_id", *[c for c in SENSOR_HISTORY if c in long.columns]]
     matched = by_entity.select(columns).unionByName(by_fleet.select(columns))
     return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
@@ -159,7 +160,7 @@ def pm_event_windows(long: DataFrame, limits: DataFrame, events: DataFrame, days
         (F.col("ts") + reach).alias("end_ts"),
     )
     readings = normal_readings(long).select(*ENTITY_KEYS, "ts", "sensor", "value")
-    near = match_ranges(readings, ranges, ENTITY_KEYS, closed=True)
+    near = match_ranges(readings, spread_ranges(ranges, time_span(readings)), ENTITY_KEYS, closed=True)
     return join_limits(near, limits).select(
         *ENTITY_KEYS, "event_ts", "ts", "sensor", "value", "ucl", "centerline", "lcl"
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspc.operators.ingest import derive_entity, spc_limits, unpivot_sensors
 from fleetspc.operators.series import LongSeries, find_long_series, series_counts
-from fleetspc.schemas import ENTITY_KEYS, SERIES_KEYS
+from fleetspc.schemas import ENTITY_KEYS, SENSORS, SERIES_KEYS
 from fleetspc.sources.tables import read_limits, read_long, write_limits, write_long
 from fleetspc.sources.workspace import materialize
 
@@ -23,9 +24,23 @@ class SensorTables:
     long_entities: LongSeries | None
 
 
+READINGS_PER_FILE = 8_000_000
+
+
+def files_for(raw: DataFrame) -> int | None:
+    """Number of files for the readings of a log, None where the session's own number will do.
+
+    Counting a log reads parquet footers only, or one pass over text.
+    """
+    wanted = math.ceil(raw.count() * len(SENSORS) / READINGS_PER_FILE)
+    usual = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted if wanted > usual else None
+
+
 def ingest(raw: DataFrame, folder: str, files: int | None = None) -> SensorTables:
     """Write the long table and the limits under `folder` and open them."""
     spark = raw.sparkSession
+    files = files or files_for(raw)
     write_long(unpivot_sensors(derive_entity(raw)), f"{folder}/sensor_data", files)
     long = read_long(spark, f"{folder}/sensor_data")
     write_limits(spc_limits(long), f"{folder}/sensor_spc_limits")

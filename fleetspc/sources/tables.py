@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetspc.schemas import LIMITS, LONG, RAW
 
 
-def _typed(df: DataFrame, schema) -> DataFrame:
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns by name and type; NaN becomes NULL."""
+
+    def typed(field: T.StructField):
+        cell = F.col(field.name).cast(field.dataType)
+        if isinstance(field.dataType, T.DoubleType):
+            cell = F.nanvl(cell, F.lit(None).cast("double"))
+        return cell.alias(field.name)
+
+    return df.select([typed(f) for f in schema.fields])
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -74,6 +74,21 @@ def test_raw_csv_is_read_by_column_name(spark, tmp_path):
     assert row.timestamp == datetime(2024, 1, 13, 19, 32, 57) and row.current_phase_avg is None and row.machine_id == 7
 
 
+def test_nan_text_is_null(spark, tmp_path):
+    (tmp_path / "nan.csv").write_text("entity_group,sensor,mean,std,ucl,centerline,lcl\nCPR,rpm,1.0,NaN,NaN,1.0,\n")
+    row = tables.read_limits_csv(spark, str(tmp_path / "nan.csv")).collect()[0]
+    assert (row["std"], row.ucl, row.centerline) == (None, None, 1.0)
+
+
+def test_large_logs_get_more_files(spark, monkeypatch):
+    from fleetspc.plans import setup
+
+    log = raw(spark, *[tick(i) for i in range(10)])
+    assert setup.files_for(log) is None
+    monkeypatch.setattr(setup, "READINGS_PER_FILE", 3)
+    assert setup.files_for(log) == 20
+
+
 def test_long_and_limits_csv(spark, tmp_path):
     (tmp_path / "long.csv").write_text(
         "timestamp,entity,entity_group,operating_mode,hours_since_maintenance,failure_within_24h,rul_hours,failure_type,sensor,value\n"

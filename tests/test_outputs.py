@@ -204,3 +204,11 @@ def test_limits_joined_late_give_the_same_rows(spark, history):
     early = ewma_spc(sensor_history(long, limits), cuts=None)
     late = outputs.monitored_history(long, limits, cuts=None)
     assert early.columns == late.columns and as_set(early) == as_set(late)
+
+
+def test_box_finds_large_groups_itself(history, monkeypatch):
+    rows = [reading(e, at=0, value=float(i)) for e, n in (("A", 50), ("B", 5)) for i in range(n)]
+    df = history(*rows).drop("ts")
+    want = as_set(charts.fleet_boxplot_stats(df))
+    monkeypatch.setattr(charts, "ROWS_PER_CHUNK", 10)
+    assert as_set(charts.fleet_boxplot_stats(df)) == want
