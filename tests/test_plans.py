@@ -91,3 +91,31 @@ def test_a_machine_with_a_third_of_all_rows(spark, tmp_path):
     same(extract.pm_events(t.long, cuts=None), extract.pm_events(t.long, cuts=entities))
     boxes = ("q1", "median", "q3", "whisker_low", "whisker_high")
     same(charts.fleet_boxplot_stats(history, cuts=None), charts.fleet_boxplot_stats(history, cuts=cuts), *boxes)
+
+
+def test_small_sides_may_outgrow_broadcasting(spark, tables):
+    """With broadcasts off, joins shuffle and give the same rows."""
+    from checks import queries
+
+    names = ["join_limits", "batch_requests", "pm_event_windows", "fleet_boxplot_outliers", "spc_chart_series"]
+    cuts = series.find_long_series(tables.long, SERIES_KEYS, 20)
+
+    def results():
+        history = extract.sensor_history(tables.long, tables.limits)
+        frames = [queries.QUERIES[n](spark, DATA) for n in names]
+        frames.append(queries.rounded(spc.ewma_spc(history, cuts=cuts), "ewma"))
+        frames.append(charts.fleet_boxplot_stats(history, cuts=cuts))
+        return [plan(df) for df in frames], [ordered(df.toPandas()) for df in frames]
+
+    _, want = results()
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for s in settings:
+        spark.conf.set(s, "-1")
+    try:
+        plans, got = results()
+    finally:
+        for s in settings:
+            spark.conf.unset(s)
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans[:5])
+    assert all("NestedLoop" not in p and "Cartesian" not in p for p in plans)
+    assert all(a.equals(b) for a, b in zip(want, got))
