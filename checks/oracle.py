@@ -473,3 +473,5 @@ group by {PRINTED_COLUMNS} having sum(l) <> sum(n)""",
     ),
 }
 ORACLE["monitored_history"] = ORACLE["ewma_spc"]
+for _name in ("ewma_spc", "maintenance_block", "pm_events", "multi_sensor_health", "fleet_boxplot_stats"):
+    ORACLE[f"{_name}_cut"] = ORACLE[_name]

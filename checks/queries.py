@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetspc.operators import charts, ewma, extract, health, requests, spc, summary, verify
 from fleetspc.operators import ingest as ingesting
+from fleetspc.operators.series import find_long_series
 from fleetspc.operators.slices import time_slice
 from fleetspc.plans import outputs
 from fleetspc.plans.setup import SensorTables, ingest
@@ -305,6 +306,44 @@ def fleet_boxplot_outliers(spark, sf_dir):
     return charts.fleet_boxplot_outliers(history(t), cuts=t.long_series)
 
 
+# --- the same with series cut into chunks ----------------------------------------------------
+
+# Readings per chunk, low enough that every series of the test data is cut.
+SHORT_CHUNK = 20
+
+
+def cut_series(t: SensorTables):
+    return find_long_series(t.long, SERIES_KEYS, SHORT_CHUNK)
+
+
+def ewma_spc_cut(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return rounded(spc.ewma_spc(history(t), cuts=cut_series(t)), "ewma", *LIMITS)
+
+
+def maintenance_block_cut(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    df = ewma.maintenance_block(extract.normal_readings(t.long), cuts=cut_series(t))
+    return df.select(*SERIES_KEYS, "ts", "hours_since_maintenance", "value", "maintenance_block")
+
+
+def pm_events_cut(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return extract.pm_events(t.long, cuts=find_long_series(t.long, ENTITY_KEYS, SHORT_CHUNK))
+
+
+def multi_sensor_health_cut(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    df = health.multi_sensor_health(history(t), cuts=cut_series(t))
+    return rounded(df, *_HEALTH_DOUBLES, "ooc_rate_2d", "ewma_slope_z_per_day_24h")
+
+
+def fleet_boxplot_stats_cut(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    df = charts.fleet_boxplot_stats(history(t), cuts=cut_series(t))
+    return rounded(df, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 # --- batches and reuse ----------------------------------------------------------------------
 
 
@@ -499,6 +538,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fleet_boxplot_stats": fleet_boxplot_stats,
     "fleet_boxplot_ewma": fleet_boxplot_ewma,
     "fleet_boxplot_outliers": fleet_boxplot_outliers,
+    "ewma_spc_cut": ewma_spc_cut,
+    "maintenance_block_cut": maintenance_block_cut,
+    "pm_events_cut": pm_events_cut,
+    "multi_sensor_health_cut": multi_sensor_health_cut,
+    "fleet_boxplot_stats_cut": fleet_boxplot_stats_cut,
     "batch_requests": batch_requests,
     "run_filter_inventory": run_filter_inventory,
     "invalid_requests": invalid_requests,
