@@ -85,8 +85,8 @@ def word_hashes(data: bytes, powers: Powers) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     powers.reach(len(codes) + 1)
-    sums = np.concatenate(([0], np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(_GOLDEN)) * powers.up[: len(codes)], dtype=np.uint64)))
-    sums = sums.astype(np.uint64)
+    values = mixed(codes.astype(np.uint64) + np.uint64(_GOLDEN)) * powers.up[: len(codes)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
     return mixed((sums[end] - sums[start]) * powers.down[start] + (end - start).astype(np.uint64))
 
 
