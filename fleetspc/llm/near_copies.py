@@ -14,11 +14,11 @@ two documents agree in a register with a probability equal to their similarity,
 process stops once it is later than all registers.
 
 Search. Registers are grouped in bands. In every bucket of documents that agree in a band, all are
-verified against the least one, the leader, from whole texts. Those near the leader are in its
-class. As 1 - similarity is a metric, whatever else is near one of those lies within twice the
-distance of the leader, and is verified against it too. The rest goes through the same with more
-leaders, twice as many each time, until no bucket has two left. No pair above the threshold that
-shares a band is left out, and a large group costs one comparison per member and leader.
+verified against one, the leader, from whole texts: that with the most company in all its buckets,
+since the text that others are copies of is nearer to each than they are to one another. Buckets
+that are not connected by these links are compared pair by pair, in pairs of bounded blocks that
+give links only. So no pair at or above the threshold that shares a band is left out of the groups,
+and a large group of copies costs one comparison per copy.
 
 Texts that are equal are one node from the start, also those without words, which are near no other
 text. NULL text is empty. Repeated rows and NULL doc_id are allowed;
@@ -44,6 +44,8 @@ BANDS = 24
 ROWS = 5
 # Members that are verified against a leader in one go.
 MEMBERS = 64
+# Keys of a bucket whose pairs are compared in one go.
+BLOCK = 400
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -197,11 +199,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     leading = leading.select(F.col("leader").alias("key"), "leader", "group", F.lit(True).alias("leads"))
     places = leading.unionByName(dealt.select(F.col("member").alias("key"), "leader", "group", F.lit(False).alias("leads")))
     places = places.groupBy("key").agg(F.collect_list(F.struct("leader", "group", "leads")).alias("places"))
-    one = nodes.select("key", F.col("doc_id").alias("_doc_id"))
-    places = materialize(places.join(one, "key").withColumnRenamed("key", "_key"), "near-places", compression="zstd")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    here = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.unhex(F.md5("text")) == F.col("_key"))
-    carried = texts.join(small(places), here).select(F.col("_key").alias("key"), "text", F.inline("places"))
+    carried = _texts_at(docs, nodes, places)
 
     def compare(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         powers, leader = Powers(), keys[0]
@@ -215,45 +213,112 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     return materialize(compared.where(F.col("similar") >= least), "near-compared", compression="zstd")
 
 
-def near_links(docs: DataFrame, signs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFrame | None:
-    """(a, b): keys of near copies, enough links to connect every group; None if there are none."""
+def _weighted_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, key, weight), stored: buckets with two keys or more.
+
+    The weight of a key is the number of keys in all its buckets: that of which others are copies
+    has the greatest, since it is nearer to each of them than they are to one another.
+    """
     entries = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "value"))
-    entries = entries.select("key", F.xxhash64("band", "value").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    live = materialize(entries.join(shared, "bucket"), "near-buckets", compression="zstd")
-    far = 1 - 2 * (1 - similar)
-    links, leaders = None, 1
-    while not live.isEmpty():
-        if leaders == 1:
-            chosen = live.groupBy("bucket").agg(F.min("key").alias("leader"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-            chosen = live.withColumn("_place", place).where(F.col("_place") <= leaders).select("bucket", F.col("key").alias("leader"))
-        met = live.join(chosen, "bucket").where(F.col("key") != F.col("leader")).select("bucket", "leader", F.col("key").alias("member"))
-        met = materialize(met, "near-met", compression="zstd")
-        pairs = materialize(met.select("leader", "member").distinct(), "near-pairs", compression="zstd")
-        compared = verify(docs, nodes, pairs, far)
-        found = compared.where(F.col("similar") >= similar).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        links = found if links is None else links.unionByName(found)
-
-        # What is near a member lies within twice the distance of its leader.
-        scored = met.join(compared, ["leader", "member"])
-        near, around = scored.where(F.col("similar") >= similar), scored.where(F.col("similar") < similar)
-        reach = F.col("n.similar") - F.col("r.similar") <= (1 - similar) + 1e-9
-        beside = near.alias("n").join(around.alias("r"), ["bucket", "leader"]).where(reach)
-        beside = beside.select(F.least("n.member", "r.member").alias("leader"), F.greatest("n.member", "r.member").alias("member"))
-        beside = beside.where(F.col("leader") != F.col("member")).distinct()
-        beside = materialize(beside, "near-beside", compression="zstd")
-        if not beside.isEmpty():
-            more = verify(docs, nodes, beside, similar)
-            links = links.unionByName(more.select(F.col("leader").alias("a"), F.col("member").alias("b")))
-
-        done = near.select("bucket", F.col("member").alias("key")).unionByName(chosen.select("bucket", F.col("leader").alias("key")))
-        rest = live.join(done.distinct(), ["bucket", "key"], "left_anti")
-        again = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-        live = materialize(rest.join(again, "bucket"), "near-buckets", compression="zstd")
-        leaders *= 2
-    return links
+    entries = entries.select(F.xxhash64("band", "value").alias("bucket"), "key")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(entries.join(shared, "bucket"), "near-buckets", compression="zstd")
+    weights = met.groupBy("key").agg(F.sum("n").alias("weight"))
+    weighted = met.join(weights, "key").select("bucket", "key", "weight")
+    return materialize(weighted, "near-weighted", compression="zstd")
+
+
+def _texts_at(docs: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text, and the columns of the structs in `places`) for stored rows (key, places)."""
+    one = nodes.select("key", F.col("doc_id").alias("_doc_id"))
+    places = materialize(places.join(one, "key").withColumnRenamed("key", "_key"), "near-places", compression="zstd")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    here = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.unhex(F.md5("text")) == F.col("_key"))
+    return texts.join(small(places), here).select(F.col("_key").alias("key"), "text", F.inline("places"))
+
+
+def block_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
+    """(a, b), stored: links that connect all near keys of each bucket of `rows` (bucket, key).
+
+    Every pair of a bucket is compared. A bucket is cut into blocks, and each pair of blocks is a
+    group that holds at most about two blocks of texts; the common shingles of all its pairs come
+    from one matrix product. Of buckets with the same keys one is taken.
+    """
+    member = F.xxhash64("key")
+    sets = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(member.cast("decimal(38,0)")).alias("total"), F.bit_xor(member).alias("parity")
+    )
+    sets = sets.groupBy("n", "total", "parity").agg(F.min("bucket").alias("bucket"))
+    cut = rows.select("bucket", "key").join(sets.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = F.struct("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    places = cut.groupBy("key").agg(F.collect_list(place).alias("places"))
+    carried = _texts_at(docs, nodes, places)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("key").sort_values("key", ignore_index=True)
+        powers = Powers()
+        held, sizes, owners = [], [], []
+        for i, text in enumerate(rows["text"]):
+            shingles, counts = bag(text, powers)
+            # A shingle that stands n times is n different things: its first, second, ... time.
+            times = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            held.append(mixed(np.repeat(shingles, counts) + times.astype(np.uint64) * np.uint64(_GOLDEN)))
+            sizes.append(len(held[-1]))
+            owners.append(np.full(len(held[-1]), i))
+        things, owner, size = np.concatenate(held), np.concatenate(owners), np.array(sizes)
+        _, number, often = np.unique(things, return_inverse=True, return_counts=True)
+        shared = often[number] > 1
+        columns, number = np.unique(number[shared], return_inverse=True)
+        owner = owner[shared]
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        for first in range(0, len(columns), 4096):
+            low, high = np.searchsorted(number, [first, first + 4096])
+            part = np.zeros((len(rows), 4096), np.float32)
+            part[owner[low:high], number[low:high] - first] = 1
+            common += part @ part.T
+        near = np.triu(common >= similar * (size[:, None] + size[None, :] - common) - 1e-6, 1) & (common > 0)
+        root = np.arange(len(rows))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(*np.nonzero(near)):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+        roots = [find(i) for i in range(len(rows))]
+        linked = [(rows["key"][r], rows["key"][i]) for i, r in enumerate(roots) if i != r]
+        return pd.DataFrame(linked, columns=["a", "b"])
+
+    compared = carried.groupBy("bucket", "low", "high").applyInPandas(compare, "a binary, b binary")
+    return materialize(compared.distinct(), "near-linked", compression="zstd")
+
+
+def near_groups(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFrame | None:
+    """(node, root) of the groups of near copies; None if no band is shared."""
+    rows = _weighted_buckets(nodes)
+    if rows.isEmpty():
+        return None
+    leaders = rows.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("c")).select("bucket", F.col("c.key").alias("leader"))
+    pairs = rows.join(leaders, "bucket").where(F.col("key") != F.col("leader")).select("leader", F.col("key").alias("member"))
+    pairs = materialize(pairs.distinct(), "near-pairs", compression="zstd")
+    near = verify(docs, nodes, pairs, similar).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    roots = connected_components(near)
+    # Buckets whose keys are all connected by now have nothing left to find.
+    rooted = rows.select("bucket", "key").join(roots, rows["key"] == roots["node"], "left")
+    rooted = materialize(rooted.select("bucket", "key", F.coalesce("root", "key").alias("root")), "near-rooted", compression="zstd")
+    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket")
+    rest = materialize(rooted.join(open_buckets, "bucket").select("bucket", "key"), "near-rest", compression="zstd")
+    if rest.isEmpty():
+        return roots
+    more = block_links(docs, nodes, rest, similar)
+    return connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_copies(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
@@ -264,12 +329,11 @@ def near_copies(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     signs = signed(docs)
     nodes = signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     nodes = materialize(nodes, "near-nodes", compression="zstd")
-    links = near_links(docs, signs, nodes, similar)
+    roots = near_groups(docs, nodes, similar)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    if links is None:
+    if roots is None:
         least = nodes.select("key", own.alias("least"))
     else:
-        roots = connected_components(links)
         rooted = nodes.select("key", "doc_id").join(roots, nodes["key"] == roots["node"], "left")
         rooted = rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root"))
         classes = rooted.groupBy("root").agg(F.min(own).alias("least"))
