@@ -466,8 +466,8 @@ def table_fingerprint(spark, sf_dir):
 
 def manifest_compare(spark, sf_dir):
     df = printed(sensor_tables(spark, sf_dir))
-    expected = verify.table_fingerprint(without_cnc_ambient(df), CHART_KEYS)
-    return verify.manifest_compare(expected, verify.table_fingerprint(altered(df), CHART_KEYS), CHART_KEYS)
+    expected = verify.table_fingerprint(without_cnc_ambient(df), CHART_KEYS, digits=9)
+    return verify.manifest_compare(expected, verify.table_fingerprint(altered(df), CHART_KEYS, digits=9), CHART_KEYS)
 
 
 def verify_with_reuse(spark, sf_dir):
@@ -475,7 +475,7 @@ def verify_with_reuse(spark, sf_dir):
     early = df.where(F.col("ts") < moment("2024-01-08"))
 
     def manifest(frame, scope):
-        return verify.table_fingerprint(frame, CHART_KEYS).withColumn("scope", F.lit(scope))
+        return verify.table_fingerprint(frame, CHART_KEYS, digits=9).withColumn("scope", F.lit(scope))
 
     base = materialize(manifest(df, "base"), "manifest")
     expected = base.unionByName(manifest(without_cnc_ambient(early), "replot/early"))

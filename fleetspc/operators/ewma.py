@@ -74,7 +74,7 @@ def ewma(
     # A cut series opens its chunks like any other row; what went before is added below.
     opens = (F.col("_position") == 0) & (F.lit(not s.split) | (F.col("_block") > 0))
     rows = rows.withColumn("_term", F.when(opens, F.col("value")).otherwise(alpha * F.col("value")))
-    rows = decayed_sum(rows, [*s.by, "_block"], ROW_ORDER, "_position", "_term", decay, "_total")
+    rows = decayed_sum(rows, [*s.by, "_block"], ["_row"], "_position", "_term", decay, "_total")
     if not s.split:
         return rows.select(*df.columns, F.col("_total").alias("ewma"))
 

@@ -36,6 +36,10 @@ LongSeries = list[DataFrame]
 # Argument value: count the input of the operator to find the series that need cutting.
 FIND = "find"
 
+# Positions in a span at most, and spans after which every double has faded to zero.
+LONGEST_SPAN = 2**40
+FADED = 15
+
 # Stands in for a NULL key column, so that chunk rows join on plain equality.
 _NULL_KEY = "\u0000"
 
@@ -178,31 +182,35 @@ def decayed_sum(
 ) -> DataFrame:
     """Add out_i = sum over j <= i of decay ** (position_i - position_j) * term_j.
 
-    `position` never falls along `order`. The textbook form decay**p * cumsum(term * decay**-p)
-    overflows on long partitions, so positions are cut into spans over which decay**-p stays
-    below e**200, and a span takes over the last sum of the span before it. What lies two spans
-    back has faded below e**-200 of its size, far under the precision of a double.
+    `position` never falls along `order`, and no two rows of a partition are equal in `order`. The
+    textbook form decay**p * cumsum(term * decay**-p) overflows on long partitions, so positions
+    are cut into spans over which decay**-p stays below e**100, and the totals of earlier spans are
+    added, faded by their distance. From the greatest double to the least is a factor of e**1454:
+    what lies FADED spans back or more is zero whatever its size, so no term is cut off. Terms are
+    scaled by a power of two, so that readings up to the greatest double stay in range.
     """
     if decay == 0.0:
         return rows.withColumn(out, F.col(term))
-    span = max(1, math.floor(200.0 / -math.log(decay)))
+    rate = -math.log(decay)
+    span = max(1, math.floor(100.0 / rate)) if rate > 100.0 / LONGEST_SPAN else LONGEST_SPAN
     in_span = Window.partitionBy(*by, "_span").orderBy(*order)
     so_far = in_span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    across = Window.partitionBy(*by).orderBy("_span", *order)
-    base = F.lit(decay)
-    last = F.struct(F.col(position).alias("position"), F.col("_local").alias("total"))
-    carry = F.col("_carry")
+    earlier = Window.partitionBy(*by).orderBy("_span").rangeBetween(-FADED, -1)
+    base, scale = F.lit(decay), F.lit(2.0**-150)
+    at_end = F.lead("_span").over(in_span).isNull()
+    end = F.struct(F.col(position).alias("position"), F.col("_local").alias("total"))
+
+    def faded(total: Column, end: Column) -> Column:
+        return total + end["total"] * F.pow(base, (F.col(position) - end["position"]).cast("double"))
+
     return (
         rows.withColumn("_span", F.floor(F.col(position) / F.lit(span)))
         .withColumn("_offset", (F.col(position) - F.col("_span") * span).cast("double"))
-        .withColumn("_scaled", F.sum(F.col(term) * F.pow(base, -F.col("_offset"))).over(so_far))
+        .withColumn("_scaled", F.sum(F.col(term) * scale * F.pow(base, -F.col("_offset"))).over(so_far))
         .withColumn("_local", F.pow(base, F.col("_offset")) * F.col("_scaled"))
-        .withColumn("_before", F.lag(last).over(across))
-        .withColumn("_carry", F.first("_before").over(so_far))
-        .withColumn(
-            out,
-            F.col("_local")
-            + F.coalesce(F.pow(base, F.col(position) - carry["position"]) * carry["total"], F.lit(0.0)),
-        )
-        .drop("_span", "_offset", "_scaled", "_local", "_before", "_carry")
+        .withColumn("_end", F.when(at_end, end))
+        .withColumn("_ends", F.collect_list("_end").over(earlier))
+        .withColumn("_carried", F.when(F.size("_ends") > 0, F.aggregate(F.array_sort("_ends"), F.lit(0.0), faded)).otherwise(F.lit(0.0)))
+        .withColumn(out, (F.col("_local") + F.col("_carried")) / scale)
+        .drop("_span", "_offset", "_scaled", "_local", "_end", "_ends", "_carried")
     )

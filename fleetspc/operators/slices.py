@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspc.functions.predicates import days_and_hours, ts_literal
+from fleetspc.functions.predicates import days_and_hours, entity_list, ts_literal
 
 
 def entity_subset(df: DataFrame, entities=None) -> DataFrame:
@@ -13,9 +13,10 @@ def entity_subset(df: DataFrame, entities=None) -> DataFrame:
 
     Comes before time_slice, so that `window_days` counts back from the subset's last row.
     """
-    if not entities or "entity" not in df.columns:
+    names = entity_list(entities)
+    if not names or "entity" not in df.columns:
         return df
-    return df.where(F.col("entity").isin(list(entities)))
+    return df.where(F.col("entity").isin(names))
 
 
 def time_slice(df: DataFrame, start_ts=None, end_ts=None, window_days=None, mode: str = "run") -> DataFrame:

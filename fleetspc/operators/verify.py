@@ -13,14 +13,14 @@ from fleetspc.functions.predicates import micros_of
 FINGERPRINT = ["row_count", "digest_high", "digest_low"]
 
 
-def _canonical(field: T.StructField, digits: int) -> Column:
+def _canonical(field: T.StructField, digits: int | None) -> Column:
     """A cell as text with its length in front, so that neighbouring cells cannot run together.
 
-    Doubles count up to `digits` decimals: the order in which partial sums meet differs from
-    run to run and shows in the last bits only.
+    Doubles count as they are, with every digit that tells them apart; with `digits`, up to that
+    many decimals.
     """
     cell = F.col(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)) and digits is not None:
         fixed = F.round(cell, digits).try_cast(T.DecimalType(38, digits)).cast("string")
         text = F.coalesce(fixed, cell.cast("string"))
     elif isinstance(field.dataType, T.TimestampNTZType):
@@ -32,8 +32,11 @@ def _canonical(field: T.StructField, digits: int) -> Column:
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def table_fingerprint(df: DataFrame, by: Sequence[str] = (), *, digits: int = 6) -> DataFrame:
-    """Row count and two order-free sums of row digests, per value of `by`.
+def table_fingerprint(df: DataFrame, by: Sequence[str] = (), *, digits: int | None = None) -> DataFrame:
+    """Row count and two order-free sums of row digests (120 bits of each), per value of `by`.
+
+    Tables are compared exactly. Where two runs may differ in the last bits of a sum, `digits` gives
+    the decimals that count.
 
     Rows are digested over their columns in name order and folded by partial sums, so neither
     row order nor partitioning matters and no group is brought together. A table without `by`
@@ -55,11 +58,16 @@ def table_fingerprint(df: DataFrame, by: Sequence[str] = (), *, digits: int = 6)
     return folded
 
 
-def manifest_compare(expected: DataFrame, actual: DataFrame, by: Sequence[str]) -> DataFrame:
+def manifest_compare(expected: DataFrame, actual: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys of two fingerprint frames with `status`: ok, missing, extra or mismatched.
 
-    `missing` is expected only, `extra` is actual only. NULL keys match each other.
+    `missing` is expected only, `extra` is actual only. NULL keys match each other. Without `by`
+    the two whole tables are compared, which gives one row.
     """
+    if not by:
+        whole = F.lit(True).alias("_whole")
+        both = (df.select(whole, *FINGERPRINT) for df in (expected, actual))
+        return manifest_compare(*both, ["_whole"]).select("status")
     left = expected.select(*[F.col(c).alias(f"_e_{c}") for c in (*by, *FINGERPRINT)])
     right = actual.select(*[F.col(c).alias(f"_a_{c}") for c in (*by, *FINGERPRINT)])
     same_key = [F.col(f"_e_{c}").eqNullSafe(F.col(f"_a_{c}")) for c in by]
@@ -100,7 +108,7 @@ def all_ok(scopes: DataFrame) -> DataFrame:
     return scopes.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))
 
 
-def compare_runs(original: DataFrame, repeated: DataFrame, by: Sequence[str], *, digits: int = 6) -> DataFrame:
+def compare_runs(original: DataFrame, repeated: DataFrame, by: Sequence[str] = (), *, digits: int | None = None) -> DataFrame:
     """manifest_compare of two runs of the same output, keys that are ok left out."""
     both = (table_fingerprint(df, by, digits=digits) for df in (original, repeated))
     return manifest_compare(*both, by).where(F.col("status") != "ok")

@@ -217,3 +217,34 @@ def test_bursts_and_stray_timestamps_are_cut_again(spark):
 def test_rows_of_one_instant_stay_together(spark):
     series = {"E00": [(DAY0, 1.0, float(i)) for i in range(50)]}
     assert find_long_series(frame(spark, series), SERIES_KEYS, 10) is None
+
+
+def recursion(values, alpha):
+    out = []
+    for x in values:
+        out.append(x if not out else (1 - alpha) * out[-1] + alpha * x)
+    return out
+
+
+def test_repeated_rows_with_spilled_sorts(spark, history):
+    """Rows that are equal in every column must keep their places through all sorts."""
+    values = [((i * 7919) % 101) / 10 for i in range(1_500)]
+    rows = [reading(at=i, value=v, hours=1.0 + i) for i, v in enumerate(values) for _ in range(3)]
+    threshold = "spark.sql.windowExec.buffer.spill.threshold"
+    kept = spark.conf.get(threshold)
+    spark.conf.set(threshold, "100")
+    try:
+        got = [r.ewma for r in ewma(history(*rows[::-1]), 0.2, cuts=None).orderBy("ts").collect()]
+    finally:
+        spark.conf.set(threshold, kept)
+    expected = recursion([v for v in values for _ in range(3)], 0.2)
+    for i in range(0, len(got), 3):
+        assert sorted(got[i : i + 3]) == pytest.approx(sorted(expected[i : i + 3]), abs=1e-9)
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.9, 1e-17])
+def test_large_first_reading_fades_but_never_goes(history, alpha):
+    values = [1e250] + [1.0] * 2_699
+    rows = [reading(at=i, value=v, hours=1.0 + i) for i, v in enumerate(values)]
+    got = [r.ewma for r in ewma(history(*rows), alpha, cuts=None).orderBy("ts").collect()]
+    assert got == pytest.approx(recursion(values, alpha), rel=1e-9)
