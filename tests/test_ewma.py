@@ -232,7 +232,7 @@ def test_repeated_rows_with_spilled_sorts(spark, history):
     rows = [reading(at=i, value=v, hours=1.0 + i) for i, v in enumerate(values) for _ in range(3)]
     threshold = "spark.sql.windowExec.buffer.spill.threshold"
     kept = spark.conf.get(threshold)
-    spark.conf.set(threshold, "100")
+    spark.conf.set(threshold, "2000")
     try:
         got = [r.ewma for r in ewma(history(*rows[::-1]), 0.2, cuts=None).orderBy("ts").collect()]
     finally:
