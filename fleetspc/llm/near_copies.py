@@ -277,7 +277,7 @@ def block_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, similar: flo
         number, owner = number[order], owner[order]
         for first in range(0, len(columns), 4096):
             low, high = np.searchsorted(number, [first, first + 4096])
-            part = np.zeros((len(rows), 4096), np.float32)
+            part = np.zeros((len(rows), min(4096, len(columns) - first)), np.float32)
             part[owner[low:high], number[low:high] - first] = 1
             common += part @ part.T
         near = np.triu(common >= similar * (size[:, None] + size[None, :] - common) - 1e-6, 1) & (common > 0)
