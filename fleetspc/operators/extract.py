@@ -89,33 +89,50 @@ def entity_all_sensor_history(long, limits, entity_group: str, entity=None, star
     return join_limits(rows, limits).select(ALL_SENSOR_HISTORY)
 
 
-def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=FIND) -> DataFrame:
-    """Last normal-mode tick of an entity before its hours since maintenance drop.
+def event_ticks(rows: DataFrame, cuts=FIND, within: tuple[str, ...] = ()) -> DataFrame:
+    """Instants with a maintenance event: `_events` (hours_pre_pm, failure_type), and `_readings` then.
 
-    The time range is cut out first, so an event whose next tick lies outside is not reported.
-    `cuts` is over (entity_group, entity). Ticks are brought together by entity before they are
-    made distinct: the sensors of a tick live in different files, so removing repeats before
-    the shuffle would find few, and this way one shuffle serves both steps.
+    `rows` are normal-mode readings. One shuffle brings an entity together; the readings of an
+    instant become one row, whose size is the number of readings at that instant, and the next
+    instant tells whether the hours drop. Columns that are not asked for later are pruned, arrays
+    included. `within` names columns that divide an entity's rows further, such as a request id.
     """
-    s = split_series(
-        normal_readings(
-            long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts
-        ).select(*ENTITY_KEYS, "ts", F.col("hours_since_maintenance").alias("hours_pre_pm"), "failure_type"),
-        ENTITY_KEYS,
-        cuts,
-    )
-    order = ["ts", "hours_pre_pm", "failure_type"]
-    w = s.window(*order)
-    ticks = s.rows.repartition(*s.by).distinct()
-    ticks = ticks.withColumns(
-        {"_next": F.lead("hours_pre_pm").over(w), "_has_next": F.lead(F.lit(True)).over(w)}
+    s = split_series(rows, ENTITY_KEYS, cuts, within)
+    keys = list(dict.fromkeys([*s.by, *within, *ENTITY_KEYS]))
+    tick = F.struct(F.col("hours_since_maintenance").alias("hours_pre_pm"), "failure_type")
+    taken = F.struct(*[c for c in ("operating_mode", "sensor", "value") if c in rows.columns])
+    ticks = s.rows.repartition(*s.by).groupBy(*keys, "ts").agg(
+        F.array_sort(F.collect_set(tick)).alias("_ticks"), F.collect_list(taken).alias("_readings")
     )
+    ticks = ticks.withColumn("_next", F.lead(F.get("_ticks", F.lit(0))).over(s.window("ts")))
     following = F.col("_next")
     if s.split:
-        head = F.min(F.struct(*order, F.lit(True).alias("there")))
+        head = F.min(F.struct("ts", F.get("_ticks", F.lit(0)).alias("tick")))
         ticks = s.carry(ticks, {"_head": head}, {"_next_head": lambda up, down: F.lead("_head").over(up)})
-        following = F.when(F.col("_has_next"), following).otherwise(F.col("_next_head.hours_pre_pm"))
-    return ticks.where(F.col("hours_pre_pm") > following).select(*ENTITY_KEYS, *order)
+        following = F.coalesce(following, F.col("_next_head.tick"))
+    after = F.transform("_ticks", lambda t, i: F.struct(t.alias("tick"), F.coalesce(F.get("_ticks", i + 1), following).alias("next")))
+    drops = F.filter(after, lambda p: p["tick"]["hours_pre_pm"] > p["next"]["hours_pre_pm"])
+    events = F.transform(drops, lambda p: p["tick"])
+    return ticks.select(*within, *ENTITY_KEYS, "ts", events.alias("_events"), "_readings").where(F.size("_events") > 0)
+
+
+def readings_at_events(ticks: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Every reading of event_ticks, once per event at its instant."""
+    keys = [*within, *ENTITY_KEYS, "ts"]
+    return ticks.select(*keys, "_readings", F.inline("_events")).select(
+        *keys, "hours_pre_pm", "failure_type", F.inline("_readings")
+    )
+
+
+def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=FIND) -> DataFrame:
+    """Last normal-mode tick of an entity before its hours since maintenance drop.
+
+    The time range is cut out first, so an event whose next tick lies outside is not reported.
+    `cuts` is over (entity_group, entity).
+    """
+    rows = normal_readings(long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
+    rows = rows.select(*ENTITY_KEYS, "ts", "hours_since_maintenance", "failure_type", "operating_mode")
+    return event_ticks(rows, cuts).select(*ENTITY_KEYS, "ts", F.inline("_events"))
 
 
 def pm_event_readings(long: DataFrame, events: DataFrame, **filters) -> DataFrame:
@@ -125,10 +142,9 @@ def pm_event_readings(long: DataFrame, events: DataFrame, **filters) -> DataFram
 
 
 def pm_event_history(long, limits, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=FIND) -> DataFrame:
-    """Readings and limits at each maintenance event, for any choice of filters."""
-    filters = dict(entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
-    events = pm_events(long, **filters, cuts=cuts)
-    return join_limits(pm_event_readings(long, events, **filters), limits).select(PM_HISTORY)
+    """Readings and limits at each maintenance event, for any choice of filters: one scan, one shuffle."""
+    rows = normal_readings(long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
+    return join_limits(readings_at_events(event_ticks(rows, cuts)), limits).select(PM_HISTORY)
 
 
 def pm_event_sensor_history(long, limits, entity_group: str, entity=None, start_ts=None, end_ts=None, *, cuts=FIND) -> DataFrame:

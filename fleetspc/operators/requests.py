@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspc.functions.predicates import days_and_hours, micros_of, ts_literal
-from fleetspc.operators.extract import SENSOR_HISTORY, join_limits, normal_readings
+from fleetspc.functions.predicates import days_and_hours, micros_of
+from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, event_ticks, join_limits, normal_readings, readings_at_events
 from fleetspc.operators.ingest import entities_by_group
 from fleetspc.operators.series import FIND
 from fleetspc.operators.spc import ewma_spc
-from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, REQUESTS, SERIES_KEYS, require_columns
+from fleetspc.schemas import ENTITY_KEYS, REQUESTS, SERIES_KEYS, require_columns
 from fleetspc.sources.workspace import materialize
 
 # The filters each kind of history needs.
@@ -22,25 +22,40 @@ REQUIRED_FILTERS = {
     "entity_sensor_history": ["entity_group", "entity", "sensor"],
     "fleet_sensor_history": ["entity_group", "sensor"],
 }
+PM_KIND = "pm_event_sensor_history"
 
 MICROS_PER_HOUR = 3_600_000_000
 
+# Bins of a level are this many times as wide as those of the level before, and a closed range
+# goes to the first level on which it touches no more than one bin above that number.
+FINER = 32
+# The level of ranges with an open end, and of those that are too long for the others: one bin.
+OPEN = 3
+# Rows of ranges up to which the planner may choose to broadcast them.
+BROADCAST_ROWS = 200_000
 
-def _bin(ts: Column | str, bin_hours: int) -> Column:
-    return F.floor(micros_of(ts) / (bin_hours * MICROS_PER_HOUR))
 
+def _bin(ts: Column | str, bin_hours: int, level: int) -> Column:
+    if level == OPEN:
+        return F.lit(0).cast("long")
+    return F.floor(micros_of(ts) / (bin_hours * MICROS_PER_HOUR * FINER**level))
 
-def spread_ranges(ranges: DataFrame, span: tuple, *, bin_hours: int = 24) -> DataFrame:
-    """Ranges (start_ts, end_ts), one row per time bin they touch within `span`, as a written table.
 
-    A NULL bound is open. `span` is the first and last ts of the rows to match.
+def spread_ranges(ranges: DataFrame, *, bin_hours: int = 24) -> DataFrame:
+    """Ranges (start_ts, end_ts), one row per time bin they touch, as a written table.
+
+    A NULL bound is open. A range takes at most FINER + 1 rows however long it is, and an open
+    one takes one row, so the table grows with the number of ranges alone.
     """
-    lo, hi = (F.lit(None).cast("timestamp_ntz") if t is None else ts_literal(t) for t in span)
-    first = _bin(F.greatest("start_ts", lo), bin_hours)
-    last = _bin(F.least("end_ts", hi), bin_hours)
-    spread = ranges.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
-    spread = spread.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    return materialize(spread, "ranges")
+    level, bins = F.lit(OPEN), F.array(_bin("start_ts", bin_hours, OPEN))
+    for k in reversed(range(OPEN)):
+        first, last = _bin("start_ts", bin_hours, k), _bin("end_ts", bin_hours, k)
+        fits = last - first <= FINER
+        level = F.when(fits, k).otherwise(level)
+        bins = F.when(fits, F.sequence(first, last)).otherwise(bins)
+    in_order = F.coalesce(F.col("start_ts") <= F.col("end_ts"), F.lit(True))
+    spread = ranges.where(in_order).withColumn("_level", level.cast("int"))
+    return materialize(spread.withColumn("_bin", F.explode(bins)), "ranges")
 
 
 def match_ranges(
@@ -48,40 +63,81 @@ def match_ranges(
 ) -> DataFrame:
     """Join rows to spread ranges of the same keys: start_ts <= ts < end_ts, or <= end_ts if closed.
 
-    An equality on keys and bin, so a row meets only ranges of its own bin. The ranges are
-    broadcast while their table is small, else shuffled, where the bins break up hot keys and
-    adaptive execution splits what is still uneven.
+    An equality on keys, level and bin. A row stands once for each level that the ranges use, so
+    it meets the ranges of its own bins only. More ranges than BROADCAST_ROWS are shuffled, since the
+    size of their file says little about their number; adaptive execution splits what is uneven.
     """
     ts, start, end = F.col("ts"), F.col("start_ts"), F.col("end_ts")
     inside = (start.isNull() | (ts >= start)) & (end.isNull() | ((ts <= end) if closed else (ts < end)))
-    binned = rows.withColumn("_bin", _bin(ts, bin_hours))
-    return binned.join(spread, [*keys, "_bin"], "inner").where(inside).drop("_bin")
+    # At most four levels.
+    levels = sorted(r["_level"] for r in spread.select("_level").distinct().collect()) or [OPEN]
+    places = [F.struct(F.lit(k).alias("_level"), _bin("ts", bin_hours, k).alias("_bin")) for k in levels]
+    binned = rows.select("*", F.inline(F.array(*places)))
+    if spread.count() > BROADCAST_ROWS:
+        spread = spread.hint("merge")
+    return binned.join(spread, [*keys, "_level", "_bin"], "inner").where(inside).drop("_level", "_bin")
+
+
+def _name(column: Column) -> Column:
+    """A name without blanks around it; NULL if nothing is left."""
+    return F.nullif(F.trim(column), F.lit(""))
 
 
-def time_span(rows: DataFrame) -> tuple:
-    """First and last ts, two values."""
-    return tuple(rows.agg(F.min("ts"), F.max("ts")).first())
+def normal_requests(requests: DataFrame) -> DataFrame:
+    """Requests with trimmed names, NULL where blank, one row per entity that they name.
+
+    Entities are named by `entity`, by the array `entities` if there is one, or by both; other
+    columns pass through.
+    """
+    named = F.array(F.col("entity"))
+    if "entities" in requests.columns:
+        named = F.concat(named, F.coalesce("entities", F.array().cast("array<string>")))
+    named = F.array_distinct(F.filter(F.transform(named, _name), lambda e: e.isNotNull()))
+    trimmed = {c: _name(F.col(c)) for c in ("entity_group", "sensor") if c in requests.columns}
+    return requests.withColumns(trimmed).withColumn("entity", F.explode_outer(named)).drop("entities")
 
 
 def request_rows(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: int = 24) -> DataFrame:
     """Normal-mode readings of every request, with limits and the request's id.
 
-    A request names a group and a sensor, an entity or none for the whole fleet, and a half-open
-    time range whose bounds may be NULL. Entity and fleet requests are matched on their own
-    keys, so that an entity request is never paired with the readings of other entities.
+    A request names a group, a sensor or none for all of them, one or several entities or none
+    for the whole fleet (see normal_requests), and a half-open time range whose bounds may be NULL.
+    Readings are scanned once, and matched on the names that a request gives, so a request for
+    an entity is never paired with the readings of other entities.
     """
+    matched = _matched(long, requests, bin_hours)
+    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
+
+
+def _matched(long: DataFrame, requests: DataFrame, bin_hours: int) -> DataFrame:
     require_columns(requests, REQUESTS.fieldNames(), "requests")
-    readings = normal_readings(long)
-    wanted = requests.select(REQUESTS.fieldNames()).withColumn(
-        "entity", F.nullif(F.trim("entity"), F.lit(""))
+    names = ["entity", "sensor"]
+    wanted = normal_requests(requests).where(F.col("entity_group").isNotNull())
+    wanted = wanted.select(
+        "request_id", "entity_group", "start_ts", "end_ts",
+        *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in names],
+        *[F.col(c).isNotNull().alias(f"_by_{c}") for c in names],
     )
-    spread = spread_ranges(wanted, time_span(readings), bin_hours=bin_hours)
-    for_entity, for_fleet = (spread.where(c) for c in (F.col("entity").isNotNull(), F.col("entity").isNull()))
-    by_entity = match_ranges(readings, for_entity, SERIES_KEYS, bin_hours=bin_hours)
-    by_fleet = match_ranges(readings, for_fleet.drop("entity"), CHART_KEYS, bin_hours=bin_hours)
-    columns = ["request_id", *[c for c in SENSOR_HISTORY if c in long.columns]]
-    matched = by_entity.select(columns).unionByName(by_fleet.select(columns))
-    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
+    spread = spread_ranges(wanted, bin_hours=bin_hours)
+    # Which of the two names are given: at most four ways.
+    ways = sorted((r[0], r[1]) for r in spread.select("_by_entity", "_by_sensor").distinct().collect()) or [(True, True)]
+    asked_as = [
+        F.struct(
+            *[(F.col(c) if given else F.lit("")).alias(f"_{c}") for c, given in zip(names, way)],
+            *[F.lit(given).alias(f"_by_{c}") for c, given in zip(names, way)],
+        )
+        for way in ways
+    ]
+    readings = normal_readings(long).select("*", F.inline(F.array(*asked_as)))
+    keys = ["entity_group", "_entity", "_sensor", "_by_entity", "_by_sensor"]
+    matched = match_ranges(readings, spread, keys, bin_hours=bin_hours)
+    return matched.select("request_id", *[c for c in SENSOR_HISTORY if c in long.columns])
+
+
+def _of_kind(requests: DataFrame, pm: bool) -> DataFrame:
+    if "kind" not in requests.columns:
+        return requests
+    return requests.where(F.coalesce(F.col("kind") == PM_KIND, F.lit(False)) == F.lit(pm))
 
 
 def batch_requests(
@@ -93,21 +149,35 @@ def batch_requests(
     bin_hours: int = 24,
     cuts=FIND,
 ) -> DataFrame:
-    """request_rows with `ewma` and `spc_violation`, averaged within each request."""
-    rows = request_rows(long, limits, requests, bin_hours=bin_hours)
+    """request_rows with `ewma` and `spc_violation`, averaged within each request.
+
+    With a column `kind`, requests for maintenance events are left to batch_pm_events.
+    """
+    rows = request_rows(long, limits, _of_kind(requests, False), bin_hours=bin_hours)
     return ewma_spc(rows, ewma_alpha, within=("request_id",), cuts=cuts)
 
 
+def batch_pm_events(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: int = 24, cuts=FIND) -> DataFrame:
+    """Readings and limits at each maintenance event of every request, with the request's id.
+
+    Events are found within the time range of the request. With a column `kind`, only requests for
+    maintenance events are answered. `cuts` is over (entity_group, entity).
+    """
+    rows = _matched(long, _of_kind(requests, True), bin_hours)
+    ticks = event_ticks(rows, cuts, within=("request_id",))
+    return join_limits(readings_at_events(ticks, ("request_id",)), limits).select("request_id", *PM_HISTORY)
+
+
 def run_filter_inventory(requests: DataFrame) -> DataFrame:
     """Distinct groups, entities and sensors that a set of requests names, as rows (kind, name)."""
     named = F.array(
         *[
-            F.struct(F.lit(kind).alias("kind"), F.nullif(F.col(kind), F.lit("")).alias("name"))
+            F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"))
             for kind in ("entity_group", "entity", "sensor")
         ]
     )
     return (
-        requests.select(F.explode(named).alias("n"))
+        normal_requests(requests).select(F.explode(named).alias("n"))
         .select("n.kind", "n.name")
         .where(F.col("name").isNotNull())
         .distinct()
@@ -117,24 +187,26 @@ def run_filter_inventory(requests: DataFrame) -> DataFrame:
 def invalid_requests(requests: DataFrame, long: DataFrame) -> DataFrame:
     """Requests (with a `kind`) that cannot run, each with the first reason that applies.
 
-    The names known to the data are three written tables of distinct values, joined by equality.
+    Names are compared without blanks around them, as in request_rows, and returned as given. The
+    names known to the data are written tables of distinct values, joined by equality. A name
+    that is not given becomes a key of its own request, which is in no table.
     """
     require_columns(requests, ["request_id", "kind", *SERIES_KEYS], "invalid_requests")
     names = materialize(long.select(*SERIES_KEYS).distinct(), "names")
+    nothing = F.concat(F.lit("\u0000"), F.coalesce(F.col("request_id").cast("string"), F.lit("")))
 
     def known(column: str) -> DataFrame:
-        return names.select(column).where(F.col(column).isNotNull()).distinct().withColumn(f"_{column}", F.lit(True))
-
-    pairs = entities_by_group(names).withColumn("_pair", F.lit(True))
-    checked = (
-        requests.join(known("entity_group"), "entity_group", "left")
-        .join(known("entity"), "entity", "left")
-        .join(known("sensor"), "sensor", "left")
-        .join(pairs, ENTITY_KEYS, "left")
-    )
+        found = names.select(F.col(column).alias(f"_key_{column}")).where(F.col(column).isNotNull())
+        return found.distinct().withColumn(f"_{column}", F.lit(True))
+
+    pairs = entities_by_group(names).select(*[F.col(c).alias(f"_key_{c}") for c in ENTITY_KEYS], F.lit(True).alias("_pair"))
+    checked = requests.withColumns({f"_key_{c}": F.coalesce(_name(F.col(c)), nothing) for c in SERIES_KEYS})
+    for column in SERIES_KEYS:
+        checked = checked.join(known(column), f"_key_{column}", "left")
+    checked = checked.join(pairs, [f"_key_{c}" for c in ENTITY_KEYS], "left")
 
     def blank(column: str) -> Column:
-        return F.coalesce(F.trim(F.col(column)) == "", F.lit(True))
+        return _name(F.col(column)).isNull()
 
     reason = F.when(~F.coalesce(F.col("kind").isin(list(REQUIRED_FILTERS)), F.lit(False)), "unknown_kind")
     for column in SERIES_KEYS:
@@ -160,7 +232,7 @@ def pm_event_windows(long: DataFrame, limits: DataFrame, events: DataFrame, days
         (F.col("ts") + reach).alias("end_ts"),
     )
     readings = normal_readings(long).select(*ENTITY_KEYS, "ts", "sensor", "value")
-    near = match_ranges(readings, spread_ranges(ranges, time_span(readings)), ENTITY_KEYS, closed=True)
+    near = match_ranges(readings, spread_ranges(ranges), ENTITY_KEYS, closed=True)
     return join_limits(near, limits).select(
         *ENTITY_KEYS, "event_ts", "ts", "sensor", "value", "ucl", "centerline", "lcl"
     )
