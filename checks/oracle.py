@@ -315,6 +315,20 @@ union all select distinct 'group_entity', entity_group, entity from long""",
         LIMITS + events_cte() + event_history_cte(),
         f"""select entity_group, entity, ts, hours_pre_pm, failure_type, operating_mode, sensor, value, {ROUND_LIMITS}
 from pm_hist""",
+    ),
+    "batch_pm_events": q(
+        LIMITS + events_cte() + event_history_cte()
+        + events_cte(
+            "pair",
+            "entity in (entity_group || '02', entity_group || '06')"
+            " and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20 12:00:00'",
+        )
+        + event_history_cte("pair", "pair_hist"),
+        f"""select 'all/' || entity_group as request_id, entity_group, entity, ts, hours_pre_pm, failure_type, operating_mode, sensor, value, {ROUND_LIMITS}
+from pm_hist
+union all
+select 'pair/' || entity_group as request_id, entity_group, entity, ts, hours_pre_pm, failure_type, operating_mode, sensor, value, {ROUND_LIMITS}
+from pair_hist""",
     ),
     "maintenance_block": q(
         LONG,

@@ -377,6 +377,27 @@ def batch_requests(spark, sf_dir):
     return rounded(df.select("request_id", *SERIES_KEYS, "ts", "value", "ewma", "spc_violation"), "ewma")
 
 
+def batch_pm_events(spark, sf_dir):
+    """Maintenance events of each group, of two named entities within a range, and of an average's request."""
+    t = sensor_tables(spark, sf_dir)
+    nothing, events = F.lit(None).cast("string"), F.lit("pm_event_sensor_history")
+    columns = ["request_id", "kind", "entity_group", "entity", "entities", "sensor", "start_ts", "end_ts"]
+
+    def ask(name, kind, entities, start, end):
+        groups = t.long.select("entity_group").distinct()
+        return groups.select(
+            F.concat_ws("/", F.lit(name), "entity_group"), kind, "entity_group", nothing, entities, nothing, moment(start), moment(end)
+        ).toDF(*columns)
+
+    pair = F.array(F.concat("entity_group", F.lit("02")), F.concat(F.lit(" "), "entity_group", F.lit("06 ")), nothing)
+    asked = (
+        ask("all", events, F.lit(None).cast("array<string>"), None, None)
+        .unionByName(ask("pair", events, pair, "2024-01-10", "2024-01-20 12:00:00"))
+        .unionByName(ask("average", F.lit("entity_all_sensor_history"), pair, None, None))
+    )
+    return rounded(requests.batch_pm_events(t.long, t.limits, asked, cuts=t.long_entities), *LIMITS)
+
+
 def run_filter_inventory(spark, sf_dir):
     return requests.run_filter_inventory(data_requests(sensor_tables(spark, sf_dir)))
 
@@ -544,6 +565,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_sensor_health_cut": multi_sensor_health_cut,
     "fleet_boxplot_stats_cut": fleet_boxplot_stats_cut,
     "batch_requests": batch_requests,
+    "batch_pm_events": batch_pm_events,
     "run_filter_inventory": run_filter_inventory,
     "invalid_requests": invalid_requests,
     "pm_event_windows": pm_event_windows,
