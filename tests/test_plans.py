@@ -39,6 +39,9 @@ def test_one_shuffle_per_series_computation(readings, tables):
     assert shuffles(outputs.monitored_history(tables.long, tables.limits, cuts=None)) == 1
     assert shuffles(health.multi_sensor_health(readings, cuts=None)) == 1
     assert shuffles(extract.pm_events(tables.long, cuts=None)) == 1
+    history = extract.pm_event_history(tables.long, tables.limits, cuts=None)
+    # One scan of the readings, one of the limits.
+    assert shuffles(history) == 1 and plan(history).count("FileScan") == 2
     assert shuffles(charts.fleet_boxplot_stats(readings, cuts=None)) == 1
 
 

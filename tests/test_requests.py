@@ -118,3 +118,24 @@ def test_the_session_time_zone_does_not_matter(spark, history):
         assert results() == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_ranges_take_rows_by_their_number_not_by_the_calendar(spark):
+    asked = [("o%d" % i, "CPR", None, "rpm", None, None) for i in range(50)]
+    asked += [("century", "CPR", None, "rpm", 0, 24 * 36_500), ("year", "CPR", None, "rpm", 0, 24 * 365), ("day", "CPR", None, "rpm", 0, 24)]
+    spread = requests.spread_ranges(ask(spark, *asked))
+    n = {r["request_id"]: r["count"] for r in spread.groupBy("request_id").count().collect()}
+    assert all(n[f"o{i}"] == 1 for i in range(50)) and max(n.values()) <= requests.FINER + 1
+
+
+def test_all_sensors_and_several_entities(spark, plant):
+    long, limits = plant
+    asked = ask(spark, ("several", "CPR", " CPR02", None, None, None), ("group", "CPR", None, None, 10, 1e4))
+    asked = asked.selectExpr("*", "array(entity, 'CPR01 ', '') as entities").where("request_id = 'several'").unionByName(
+        asked.where("request_id = 'group'").selectExpr("*", "cast(null as array<string>) as entities")
+    )
+    got = as_set(requests.request_rows(long, limits, asked), "request_id", "entity", "sensor", "ts")
+    normal = long.where("operating_mode = 'normal'").collect()
+    want = [("several", r.entity, r.sensor, r.ts) for r in normal if r.entity]
+    want += [("group", r.entity, r.sensor, r.ts) for r in normal if r.ts >= DAY0 + timedelta(hours=10)]
+    assert got == sorted(want, key=repr)
