@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import string
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
@@ -24,6 +25,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """Results of a function by its argument; all are forgotten when there are too many."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class TextTokenizer:
     """Ids as bytes of little-endian unsigned 32-bit numbers, the same as of whole texts.
 
@@ -42,48 +56,36 @@ class TextTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.pieces = Remembered(self.piece)
+        self.words = Remembered(self.word)
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = self.packed([t.id for t in self.model.tokenize(written)])
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        rest = []
-        for piece in pieces:
-            if not (piece.isprintable() and max(piece) < PLAIN):
-                rest.append(piece)
-                continue
-            lower = piece.lower()
-            if lower.isalpha():
-                self.pieces[piece] = self.word(lower)
-            elif lower[-1] in ",." and lower[:-1].isalpha():
-                self.pieces[piece] = self.word(lower[:-1]) + self.word(lower[-1])
-            else:
-                self.pieces[piece] = b"".join(map(self.word, WORDS.findall(lower)))
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.pieces[piece] = self.packed(found.ids)
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(written)])
+
+    def piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        if not (piece.isprintable() and (piece.isascii() or max(piece) < PLAIN)):
+            return self.whole(piece)
+        lower = piece.lower()
+        # Most pieces are a word and what is written right after it.
+        word = lower.rstrip(string.punctuation)
+        if word.isalpha():
+            rest = lower[len(word) :]
+            return self.words[word] + self.words[rest] if rest else self.words[word]
+        return b"".join(map(self.words.__getitem__, WORDS.findall(lower)))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             if "<|" in text:
-                yield self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                continue
-            pieces = text.replace("\n", " ").split(" ")
-            new = {p for p in pieces if p not in self.pieces}
-            if new:
-                if len(self.pieces) > REMEMBERED:
-                    self.pieces = {"": b""}
-                    new = set(pieces)
-                self.learn(new)
-            yield b"".join(map(self.pieces.__getitem__, pieces))
+                yield self.whole(text)
+            else:
+                yield b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
