@@ -87,8 +87,7 @@ def op6_token_shards(spark, sf_dir):
     """Every sequence as it is read back from its shard."""
     folder = new_path(spark, "token-shards")
     token_shards.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_path())
-    kind = token_shards.id_type(tokenizer_path())
-    return token_shards.with_checksum(token_shards.read_slots(spark, folder), kind)
+    return token_shards.read_slots(spark, folder, checksum=True)
 
 
 def op7_fingerprints(spark, sf_dir):

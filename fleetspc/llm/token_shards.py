@@ -41,6 +41,8 @@ ROUNDS = 6
 NO_DOC = -(2**63)
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
+# Records that a task holds in one frame.
+RECORDS = 2_048
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -84,8 +86,12 @@ def make_sequences(docs: DataFrame, tokenizer_path: str, kind: str, sequence: in
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, task, number = TextTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         size = stride(sequence, kind) - 1
+        records = []
+
+        def framed() -> pd.DataFrame:
+            return pd.DataFrame({"task": task, "number": range(number - len(records), number), "record": records})
+
         for batch in batches:
-            records = []
             for doc, ids in zip(batch["doc_id"], tokenizer.encode(batch["text"])):
                 whole = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(kind).tobytes()
                 step = sequence * int(kind[-1])
@@ -93,8 +99,12 @@ def make_sequences(docs: DataFrame, tokenizer_path: str, kind: str, sequence: in
                     piece = whole[at : at + step]
                     head = struct.pack(HEAD, NO_DOC if doc is None else int(doc), at // int(kind[-1]), len(piece) // int(kind[-1]))
                     records.append((head + piece).ljust(size, b"\0"))
-            yield pd.DataFrame({"task": task, "number": range(number, number + len(records)), "record": records})
-            number += len(records)
+                    number += 1
+                    if len(records) == RECORDS:
+                        yield framed()
+                        records = []
+        if records:
+            yield framed()
 
     rows = docs.select(F.col("doc_id").cast("string"), text_or_empty().alias("text"))
     return rows.mapInPandas(cut, "task int, number long, record binary")
@@ -136,41 +146,40 @@ def write_shards(
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
 
 
-def read_slots(spark: SparkSession, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
+def read_slots(spark: SparkSession, folder: str, first: int = 0, last: int | None = None, *, checksum: bool = False) -> DataFrame:
     """(slot, shard, doc_id, start, length, ids) of the slots first <= slot < last, ids as bytes.
 
-    Only the shards that hold such slots are opened.
+    Only the shards that hold such slots are opened. With `checksum` there is `ids_crc32` in place
+    of `ids`, the CRC-32 of the ids as unsigned 32-bit numbers.
     """
     m = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
     last = m["sequences"] if last is None else min(last, m["sequences"])
-    rows, size, width = m["rows_per_shard"], m["stride"], int(m["ids"][-1])
+    rows, size, kind = m["rows_per_shard"], m["stride"], m["ids"]
     schema = "path string, modificationTime timestamp, length long, content binary, shard long"
     if not m["sequences"]:
         files = spark.createDataFrame([], schema)
     else:
         files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "part-*").load(f"{folder}/shards")
     wanted = files.where((F.col("shard") >= first // rows) & (F.col("shard") * rows < last)).select("shard", "content")
+    result = "ids_crc32 long" if checksum else "ids binary"
+
+    def read(content: bytes, shard: int, low: int, high: int) -> pd.DataFrame:
+        """Records low <= number < high of a shard."""
+        out = []
+        for number in range(low, high):
+            at = number * size
+            doc, start, length = struct.unpack_from(HEAD, content, at)
+            ids = content[at + HEAD_SIZE : at + HEAD_SIZE + length * int(kind[-1])]
+            told = zlib.crc32(np.frombuffer(ids, kind).astype("<u4")) if checksum else ids
+            out.append((shard * rows + number, shard, None if doc == NO_DOC else doc, start, length, told))
+        frame = pd.DataFrame(out, columns=["slot", "shard", "doc_id", "start", "length", result.split()[0]])
+        return frame.astype({"doc_id": "Int64"})
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, content in zip(batch["shard"], batch["content"]):
-                out = []
-                for at in range(0, len(content), size):
-                    slot = int(shard) * rows + at // size
-                    if first <= slot < last:
-                        doc, start, length = struct.unpack_from(HEAD, content, at)
-                        ids = content[at + HEAD_SIZE : at + HEAD_SIZE + length * width]
-                        out.append((slot, shard, None if doc == NO_DOC else doc, start, length, ids))
-                frame = pd.DataFrame(out, columns=["slot", "shard", "doc_id", "start", "length", "ids"])
-                yield frame.astype({"doc_id": "Int64"})
-
-    return wanted.mapInPandas(records, "slot long, shard long, doc_id long, start long, length long, ids binary")
-
-
-def with_checksum(rows: DataFrame, kind: str) -> DataFrame:
-    """Replace `ids` by `ids_crc32`, the CRC-32 of the ids as unsigned 32-bit numbers."""
-
-    def checksum(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda b: zlib.crc32(np.frombuffer(b, kind).astype("<u4").tobytes()))
+                low, high = max(0, first - int(shard) * rows), min(len(content) // size, last - int(shard) * rows)
+                for at in range(low, high, RECORDS):
+                    yield read(content, int(shard), at, min(at + RECORDS, high))
 
-    return rows.withColumn("ids_crc32", F.pandas_udf(checksum, "long")(F.col("ids"))).drop("ids")
+    return wanted.mapInPandas(records, f"slot long, shard long, doc_id long, start long, length long, {result}")

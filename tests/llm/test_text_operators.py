@@ -134,6 +134,8 @@ def test_shards(spark, documents):
     assert [r.slot for r in rows] == list(range(len(rows)))
     resumed = token_shards.read_slots(spark, folder, 11, 30).orderBy("slot").collect()
     assert resumed == rows[11:30]
+    told = token_shards.read_slots(spark, folder, checksum=True).orderBy("slot").collect()
+    assert [r.ids_crc32 for r in told] == [zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in rows]
     for total in (1, 2, 5, 1_000):
         assert sorted(token_shards.permuted(np.arange(total), total)) == list(range(total))
 
