@@ -12,7 +12,7 @@ import regex
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 # Entries that a task remembers; it forgets all of them when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 # Below it no letters combine and each is lowered by itself, so lowering and splitting are plain.
 PLAIN = "\u0250"
