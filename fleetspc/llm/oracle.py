@@ -114,4 +114,42 @@ select doc_id, size, source_size, target,
 from summed
 """
 
-ORACLE = {"op1_line_dedup": LINE_DEDUP, "op3_chat_format": CHAT_FORMAT, "op5_mixture": MIXTURE}
+DIVERGENCE = r"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+      lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as words
+  from documents
+),
+tokens as (select lang, source, d, unnest(words) as term from docs),
+kept as (select lang, term, count(*) as lang_n from tokens group by lang, term having count(distinct d) >= 30),
+langs as (select lang, count(*) as v, sum(lang_n) as total from kept group by lang),
+groups as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as n from tokens semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(n) as total from counts group by lang, source),
+cells as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n,
+    (1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (coalesce(t.total, 0) + 5 * v))::bigint as p,
+    (1 + 1000000000::hugeint * (lang_n + 5) // (l.total + 5 * v))::bigint as q
+  from groups g join kept k using (lang) join langs l using (lang) left join totals t using (lang, source)
+    left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value
+  from cells a join cells b using (lang, term) group by a.lang, a.source, b.source
+),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from cells where n > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 50
+"""
+
+ORACLE = {
+    "op1_line_dedup": LINE_DEDUP, "op3_chat_format": CHAT_FORMAT, "op5_mixture": MIXTURE,
+    "op13_source_divergence": DIVERGENCE,
+}

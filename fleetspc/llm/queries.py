@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspc.llm import chat, fingerprints, languages, line_dedup, mixing, near_copies, packing, secrets, token_shards, vectors
+from fleetspc.llm import (
+    chat, divergence, fingerprints, languages, line_dedup, mixing, near_copies, packing, secrets, token_shards, vectors,
+)
 from fleetspc.sources.workspace import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -110,10 +112,14 @@ def op10_near_copies(spark, sf_dir):
     return near_copies.near_copies(docs).select("doc_id", "class_id", "kept")
 
 
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_secret_scan, op3_chat_format, op4_pack, op5_mixture, op6_token_shards,
-        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies,
+        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies, op13_source_divergence,
     )
 }
