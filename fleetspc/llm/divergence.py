@@ -228,6 +228,8 @@ def source_distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
         is_peer = rows["term_id"].isna().to_numpy()
         listed, held = rows[is_peer].sort_values("source"), rows[~is_peer]
         names = listed["source"].tolist()
+        if len(names) < 2:
+            return
         place = {name: i for i, name in enumerate(names)}
         bases = listed["base"].to_numpy(np.int64)
         lang = rows["lang"].iloc[0]
