@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspc.llm import (
-    chat, divergence, fingerprints, languages, line_dedup, mixing, near_copies, packing, secrets, token_shards, vectors,
+    chat, divergence, fingerprints, languages, line_dedup, mixing, near_copies, packing, resharding, secrets, token_shards,
+    vectors,
 )
 from fleetspc.sources.workspace import new_path
 
@@ -112,6 +113,25 @@ def op10_near_copies(spark, sf_dir):
     return near_copies.near_copies(docs).select("doc_id", "class_id", "kept")
 
 
+# The query's documents stand in this many shards before they move to SHARDS.
+OLD_SHARDS, SHARDS = 6, 8
+
+
+def op12_resharding(spark, sf_dir):
+    """Documents of a layout by id, moved to shards of equal bytes and read back from their files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_path(spark, "sharded")
+    resharding.lay_out(docs, folder, OLD_SHARDS)
+    version = resharding.reshard(spark, folder, 0, SHARDS, docs.schema)
+    placed = resharding.read_shards(spark, folder, version, docs.schema)
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    return placed.select(
+        F.col("doc.doc_id").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -120,6 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_secret_scan, op3_chat_format, op4_pack, op5_mixture, op6_token_shards,
-        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies, op13_source_divergence,
+        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies, op12_resharding,
+        op13_source_divergence,
     )
 }
