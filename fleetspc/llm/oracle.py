@@ -149,7 +149,42 @@ from (select * from pairs union all select * from terms)
 qualify part = 'pair' or rank <= 50
 """
 
+PREFIX_TRIE = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as r, coalesce(text, '') as x,
+    row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null
+),
+own as (
+  select conv_id, list({'r': r, 'x': x} order by place) as turns,
+    -- CRC-32 bit by bit over the digits of the id.
+    xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+      lambda s, b: list_reduce([xor(s, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 4 as h
+  from turns group by conv_id
+),
+rebuilt as (
+  select a.conv_id, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] as turns
+  from own a left join own b on b.conv_id = a.conv_id - a.conv_id % 20
+),
+nodes as (
+  select turns[1:d] as prefix, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (d = len(turns)) as ending,
+    len(regexp_extract_all(coalesce(turns[1:d][-1].x, ''), '[^\x20\x09-\x0D]+')) as words
+  from (select *, unnest(range(len(turns) + 1)) as d from rebuilt) group by turns[1:d], d, turns[1:d][-1].x
+),
+children as (select prefix[1:depth - 1] as prefix, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by all),
+counted as (select *, coalesce(n_children, 0) as kids from nodes left join children using (prefix, depth)),
+below as (
+  select prefix[1:k] as prefix, k as depth, count(*) filter (kids = 0) as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens
+  from (select *, unnest(range(depth + 1)) as k from counted) group by all
+)
+select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.kids as n_children, n_leaves, saved_tokens,
+  sha256(coalesce(c.ending, '')) as ends_sha256
+from counted c join below using (prefix, depth)
+  left join nodes p on p.depth = c.depth - 1 and p.prefix = c.prefix[1:c.depth - 1]
+"""
+
 ORACLE = {
     "op1_line_dedup": LINE_DEDUP, "op3_chat_format": CHAT_FORMAT, "op5_mixture": MIXTURE,
-    "op13_source_divergence": DIVERGENCE,
+    "op11_prefix_trie": PREFIX_TRIE, "op13_source_divergence": DIVERGENCE,
 }

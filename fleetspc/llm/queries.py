@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspc.llm import (
-    chat, divergence, fingerprints, languages, line_dedup, mixing, near_copies, packing, resharding, secrets, token_shards,
-    vectors,
+    chat, divergence, fingerprints, languages, line_dedup, mixing, near_copies, packing, prefix_trie, resharding, secrets,
+    token_shards, vectors,
 )
 from fleetspc.sources.workspace import new_path
 
@@ -113,6 +113,15 @@ def op10_near_copies(spark, sf_dir):
     return near_copies.near_copies(docs).select("doc_id", "class_id", "kept")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Conversations in groups of twenty share up to three first turns with the first of the group."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rebuilt = prefix_trie.rebuild(
+        prefix_trie.own_turns(turns), lambda c: c - c % 20, lambda c: F.crc32(c.cast("string").cast("binary")) % 4, 3
+    )
+    return prefix_trie.trie(rebuilt)
+
+
 # The query's documents stand in this many shards before they move to SHARDS.
 OLD_SHARDS, SHARDS = 6, 8
 
@@ -140,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_secret_scan, op3_chat_format, op4_pack, op5_mixture, op6_token_shards,
-        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies, op12_resharding,
-        op13_source_divergence,
+        op7_fingerprints, op8_near_vectors, op9_language, op10_near_copies, op11_prefix_trie,
+        op12_resharding, op13_source_divergence,
     )
 }
