@@ -6,15 +6,14 @@ profile is compared with each language's by the out-of-place measure: the sum ov
 n-grams of how far their ranks are apart, an n-gram that the language lacks counting as far as can
 be. The nearest language is predicted.
 
-Profiles count all training documents. Each task counts its own documents and sends one row per
-language and n-gram, which are as many as the alphabets allow for.
+Profiles count all training documents. Each task counts its own documents, SLICE characters at a
+time, and sends one row per language and n-gram, which are as many as the alphabets allow for.
 
 A document whose text is NULL, empty or without letters is `und`, with score 0. Documents without
 lang are not learned from. Ties go to the language that comes first in order of code points.
 Columns with the names that are added are replaced, all others pass through.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,9 @@ ORDERS = 3
 MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
 
+# Characters that a task turns into n-grams at once.
+SLICE = 500_000
+
 # Bits of a code point in an n-gram's number.
 _POINT = 21
 _BLANK = 32
@@ -43,15 +45,27 @@ def letter_table() -> np.ndarray:
 
 def letters_of(text: str, is_letter: np.ndarray) -> np.ndarray:
     """Lower-case letters with single blanks around words; empty if there are no letters."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(is_letter[points], points, _BLANK)
-    points = np.concatenate(([_BLANK], points, [_BLANK])).astype(np.int64)
-    keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != _BLANK) | (points[:-1] != _BLANK)
-    points = points[keep]
+    points = np.concatenate([np.zeros(0, np.int64), *letter_slices(text, is_letter)])
     return points if len(points) > 1 else points[:0]
 
 
+def letter_slices(text: str, is_letter: np.ndarray) -> Iterator[np.ndarray]:
+    """Letters and blanks of a text, SLICE characters at a time; joined they are letters_of."""
+    # In one go, since the lower case of a letter may depend on those around it.
+    text, last = text.lower(), -1
+    for start in range(0, max(len(text), 1), SLICE):
+        raw = np.frombuffer(text[start : start + SLICE].encode("utf-32-le", "replace"), np.uint32)
+        ends = ([_BLANK] if start == 0 else [], [_BLANK] if start + SLICE >= len(text) else [])
+        points = np.concatenate((ends[0], np.where(is_letter[raw], raw, _BLANK), ends[1])).astype(np.int64)
+        keep = points != _BLANK
+        keep[1:] |= points[:-1] != _BLANK
+        keep[:1] |= last != _BLANK
+        points = points[keep]
+        if len(points):
+            last = points[-1]
+        yield points
+
+
 def grams_of(points: np.ndarray) -> np.ndarray:
     """Numbers of all n-grams but the blank alone."""
     found = [points[points != _BLANK]]
@@ -62,13 +76,11 @@ def grams_of(points: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def count_grams(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different n-grams of the texts and their numbers of occurrences.
+def count_points(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of letters and blanks, in order, and their numbers of occurrences.
 
-    Letters are numbered within the batch, so that counts of n-grams are counts of small integers.
+    Letters are numbered within the slice, so that counts of n-grams are counts of small integers.
     """
-    # Each text has blanks at both ends; no n-gram of a letter crosses to the next text.
-    points = np.concatenate([letters_of(t, is_letter) for t in texts] or [np.zeros(0, np.int64)])
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     letters, small = np.unique(points, return_inverse=True)
@@ -76,7 +88,7 @@ def count_grams(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np
         grams, counts = np.unique(grams_of(points), return_counts=True)
     else:
         grams, counts = [], []
-        for n in range(ORDERS):
+        for n in range(min(ORDERS, len(points))):
             size, number = len(letters), small[: len(small) - n].copy()
             for k in range(1, n + 1):
                 number = number * size + small[k : len(small) - n + k]
@@ -90,30 +102,79 @@ def count_grams(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np
             counts.append(tally[codes])
         grams, counts = np.concatenate(grams), np.concatenate(counts)
     blanks = grams == _BLANK
+    # Between two texts stand two blanks; no n-gram of a letter crosses them.
     crossing = (grams & ((1 << 2 * _POINT) - 1)) == (_BLANK | _BLANK << _POINT)
     middle = (grams >> _POINT) == (_BLANK | _BLANK << _POINT)
     keep = ~(blanks | crossing | middle)
     return grams[keep], counts[keep]
 
 
+class GramCounts:
+    """Counts of the n-grams of any number of texts, in memory for SLICE characters and the counts."""
+
+    def __init__(self, is_letter: np.ndarray):
+        self.is_letter = is_letter
+        self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        slices = letter_slices(text, self.is_letter)
+        points, following = next(slices), next(slices, None)
+        if following is None:
+            self.waiting.append(points)
+            self.size += len(points)
+            if self.size >= SLICE:
+                self._flush()
+            return
+        self._count(points, 1)
+        while following is not None:
+            # What is repeated carries n-grams over the cut; those within it are counted already.
+            repeated = points[1 - ORDERS :]
+            points = np.concatenate((repeated, following))
+            self._count(points, 1)
+            self._count(repeated, -1)
+            following = next(slices, None)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self._flush()
+        return self.grams, self.counts
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self._count(np.concatenate(self.waiting), 1)
+        self.waiting, self.size = [], 0
+
+    def _count(self, points: np.ndarray, times: int) -> None:
+        grams, counts = count_points(points)
+        grams, place = np.unique(np.concatenate((self.grams, grams)), return_inverse=True)
+        # Sums of doubles are exact up to 2 ** 53 occurrences in a task.
+        counts = np.bincount(place, np.concatenate((self.counts, counts * times)), len(grams)).astype(np.int64)
+        self.grams, self.counts = grams[counts != 0], counts[counts != 0]
+
+
+def grams_of_text(text: str, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of a text, in order, and their numbers of occurrences."""
+    if len(text) <= SLICE:
+        return np.unique(grams_of(letters_of(text, is_letter)), return_counts=True)
+    counted = GramCounts(is_letter)
+    counted.add(text)
+    return counted.total()
+
+
 def learn_profiles(labelled: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, place): the `size` most frequent n-grams of each language, from place 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_letter = letter_table()
-        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        totals: dict[str, GramCounts] = {}
         for batch in batches:
-            texts = defaultdict(list)
             for name, content in zip(batch["lang"], batch["text"]):
-                texts[name].append(content)
-            for name, contents in texts.items():
-                grams, counts = count_grams(contents, is_letter)
-                if name in totals:
-                    grams = np.concatenate((totals[name][0], grams))
-                    grams, place = np.unique(grams, return_inverse=True)
-                    counts = np.bincount(place, np.concatenate((totals[name][1], counts))).astype(np.int64)
-                totals[name] = grams, counts
-        for name, (grams, counts) in totals.items():
+                if name not in totals:
+                    totals[name] = GramCounts(is_letter)
+                totals[name].add(content)
+        for name, total in totals.items():
+            grams, counts = total.total()
             yield pd.DataFrame({"lang": name, "gram": grams, "n": counts})
 
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), text_or_empty(text).alias("text"))
@@ -155,11 +216,10 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, *, size: int = PROFI
     def predicted_rows(texts: pd.Series, is_letter: np.ndarray) -> list:
         out = []
         for content in texts:
-            points = letters_of(content or "", is_letter)
-            if not len(points) or not names:
+            grams, counts = grams_of_text(content or "", is_letter)
+            if not len(grams) or not names:
                 out.append((UNKNOWN, 0.0))
                 continue
-            grams, counts = np.unique(grams_of(points), return_counts=True)
             # The most frequent ones; equal counts in order of the n-gram, as unique leaves them.
             mine = grams[np.argsort(-counts, kind="stable")[:size]]
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
