@@ -104,14 +104,14 @@ def event_summary(history: str = "pm_hist") -> str:
 from {history} group by entity_group, entity, ts"""
 
 
-def ewma_cte(source: str, alpha: float, name: str = "ew", by: str = SERIES, reset: bool = True) -> str:
-    """Folds the readings so far of a block, for every row."""
-    rest = 1.0 - alpha
+def ewma_cte(source: str, alpha: float | str, name: str = "ew", by: str = SERIES, reset: bool = True) -> str:
+    """Folds the readings so far of a block, for every row; `alpha` is a number or a column."""
+    alpha, rest = (alpha, f"(1 - {alpha})") if isinstance(alpha, str) else (repr(alpha), repr(1.0 - alpha))
     flag = "case when hours_since_maintenance = 0 then 1 else 0 end" if reset else "0"
     return f""",
 {name}_blocks as (select *, sum({flag}) over (partition by {by} order by ts, hours_since_maintenance, value
                   rows unbounded preceding) as block from {source}),
-{name} as materialized (select * exclude (xs, block), list_reduce(xs, lambda y, x: {rest!r} * y + {alpha!r} * x) as ewma from (
+{name} as materialized (select * exclude (xs, block), list_reduce(xs, lambda y, x: {rest} * y + {alpha} * x) as ewma from (
        select *, list(value) over (partition by {by}, block order by ts, hours_since_maintenance, value
                   rows unbounded preceding) as xs from {name}_blocks))"""
 
@@ -200,6 +200,49 @@ select 'late/' || entity_group || '/' || entity || '/vibration_rms', entity_grou
 union all
 select 'all/' || entity_group || '/' || entity || '/rpm', entity_group, entity, 'rpm', null, null from each)"""
 
+ASKED = """,
+asked as (select request_id, h.* from hist h join requests q on h.entity_group = q.entity_group and h.sensor = q.sensor
+   and (q.entity is null or q.entity = h.entity) and (q.start_ts is null or h.ts >= q.start_ts)
+   and (q.end_ts is null or h.ts < q.end_ts))"""
+
+# Health with the parameters of each request: the latest state by row number, averages as folds.
+BATCH_HEALTH = f"""
+wanted as (
+  select 'usual/' || g as request_id, g, null::varchar[] as names, null::timestamp as since, 0.2::double as alpha, 2 as days, 24 as hours, 1.0::double as drift from groups
+  union all select 'fast/' || g, g, null, null, 0.9, 5, 48, 0.5 from groups
+  union all select 'pair/' || g, g, [g || '02', g || '06'], timestamp '2024-01-12', 0.4, 3, 24, 1.0 from groups
+),
+held as (
+  select w.*, h.*, max(ts) over (partition by request_id, {SERIES}) as last_ts,
+    row_number() over (partition by request_id, {SERIES} order by ts desc, value desc) as age,
+    case when ucl > centerline then (ucl - centerline) / 3 end as sigma,
+    coalesce(value > ucl and lcl is not null or value < lcl and ucl is not null, false) as ooc
+  from wanted w join hist h on h.entity_group = w.g and (names is null or list_contains(names, h.entity)) and (since is null or ts >= since)
+),
+summed as (
+  select request_id, {SERIES}, any_value(alpha) as alpha, any_value(drift) as drift,
+    max(case when age = 1 then value end) as latest_value, max(case when age = 1 then centerline end) as centerline,
+    max(case when age = 1 then sigma end) as std, list(value order by age desc) as xs,
+    list(value order by age desc) filter (where ts >= last_ts - to_hours(hours)) as slope_xs,
+    date_diff('microsecond', min(ts) filter (where ts >= last_ts - to_hours(hours)), max(ts)) / 86400000000.0::double as span,
+    avg(ooc::int) filter (where ts >= last_ts - to_days(days)) as ooc_rate
+  from held group by request_id, {SERIES}
+),
+folded as (
+  select *, list_reduce(xs, lambda y, x: (1 - alpha) * y + alpha * x) as latest_ewma,
+    list_reduce(slope_xs, lambda y, x: (1 - alpha) * y + alpha * x) as slope_end from summed
+),
+scores as (
+  select *, case when centerline is not null then (latest_ewma - centerline) / std end as z,
+    case when centerline is not null and len(slope_xs) > 1 and span > 0 then (slope_end - slope_xs[1]) / std / span end as slope from folded
+),
+labels as (
+  select *, case when abs(z) > 3 then 'ooc' when slope >= drift then 'drifting_up' when slope <= -drift then 'drifting_down'
+    when ooc_rate >= 0.05 then 'volatile' when abs(slope) <= 0.8 and coalesce(abs(z), 0) <= 1 then 'stable_baseline'
+    when abs(z) > 1 then 'trending_baseline' else 'stable_baseline' end as baseline_trend
+  from scores
+)"""
+
 CELL = "coalesce(cast(length({0}) as varchar) || ':' || {0}, '-')"
 PRINTED_COLUMNS = "ts, entity_group, entity, sensor, operating_mode, failure_type, value"
 
@@ -398,14 +441,41 @@ from ({event_summary()})""",
         HIST + box_cte("hist"), "select entity_group, sensor, entity, ts, y from fenced where y < low or y > high"
     ),
     "batch_requests": q(
+        HIST + REQUESTS + ASKED + ewma_cte("asked", 0.2, by="request_id, " + SERIES),
+        f"select request_id, {SERIES}, ts, value, {r('ewma')}, {flag()} as spc_violation from ew",
+    ),
+    "batch_alphas": q(
         HIST
         + REQUESTS
+        + ASKED
         + """,
-asked as (select request_id, h.* from hist h join requests q on h.entity_group = q.entity_group and h.sensor = q.sensor
-   and (q.entity is null or q.entity = h.entity) and (q.start_ts is null or h.ts >= q.start_ts)
-   and (q.end_ts is null or h.ts < q.end_ts))"""
-        + ewma_cte("asked", 0.2, by="request_id, " + SERIES),
-        f"select request_id, {SERIES}, ts, value, {r('ewma')}, {flag()} as spc_violation from ew",
+weighed as (select *, case split_part(request_id, '/', 1) when 'late' then 0.7::double when 'middle' then 1.0::double else 0.2::double end as ewma_alpha from asked)"""
+        + ewma_cte("weighed", "ewma_alpha", by="request_id, " + SERIES),
+        f"select request_id, {SERIES}, ts, ewma_alpha, {r('ewma')}, {flag()} as spc_violation from ew",
+    ),
+    "batch_ooc_sliced": q(
+        HIST
+        + REQUESTS
+        + ASKED
+        + """,
+a as (select *, split_part(request_id, '/', 1) as kind from asked),
+cut as (
+  select *, 'pair' as output, 2 as days from a where kind = 'early' and entity in (entity_group || '02', entity_group || '06')
+  union all select *, 'whole', null from a where kind = 'early'
+  union all select *, 'closed', null from a where kind = 'middle' and ts between timestamp '2024-01-11' and timestamp '2024-01-12 06:00:00'
+  union all select *, 'last', 0 from a where kind = 'all'
+  union all select *, null, null from a where kind = 'late'),
+lasts as (select request_id, output, max(ts) as last_ts from cut group by 1, 2),
+slice as (select cut.* from cut join lasts l on l.request_id = cut.request_id and l.output is not distinct from cut.output
+  where days is null or ts >= last_ts - to_days(days))""",
+        ooc_table("slice", "request_id, output,"),
+    ),
+    "batch_health": q(
+        HIST + ", groups as (select distinct entity_group as g from long)," + BATCH_HEALTH,
+        f"""select request_id, {SERIES}, latest_value, {r('latest_ewma')}, {r('centerline')}, {r('std')}, {r('z', 'latest_z_score')},
+  {r('ooc_rate')}, {r('slope', 'ewma_slope_z_per_day')}, baseline_trend,
+  case baseline_trend when 'ooc' then 'ooc' when 'stable_baseline' then 'stable' else 'attention' end as health_status
+from labels""",
     ),
     "run_filter_inventory": q(
         LONG + REQUESTS,

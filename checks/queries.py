@@ -373,10 +373,65 @@ def data_requests(t: SensorTables) -> DataFrame:
 
 def batch_requests(spark, sf_dir):
     t = sensor_tables(spark, sf_dir)
-    df = requests.batch_requests(t.long, t.limits, data_requests(t), cuts=t.long_series)
+    df = requests.batch_requests(t.long, t.limits, data_requests(t), cuts=t.long_series, series=t.series)
     return rounded(df.select("request_id", *SERIES_KEYS, "ts", "value", "ewma", "spc_violation"), "ewma")
 
 
+def batch_alphas(spark, sf_dir):
+    """Averages of many requests, each with its own factor: 0.7, 1, or the usual one."""
+    t = sensor_tables(spark, sf_dir)
+    kind = F.split("request_id", "/")[0]
+    asked = data_requests(t).withColumn("ewma_alpha", F.when(kind == "late", 0.7).when(kind == "middle", 1.0))
+    df = requests.batch_requests(t.long, t.limits, asked, cuts=t.long_series, series=t.series)
+    return rounded(df.select("request_id", *SERIES_KEYS, "ts", "ewma_alpha", "ewma", "spc_violation"), "ewma")
+
+
+def batch_ooc_sliced(spark, sf_dir):
+    """Rates of many requests, over the last days of two entities, between two times, at the last tick, and whole."""
+    t = sensor_tables(spark, sf_dir)
+    nothing, no_time, no_days = F.lit(None).cast("array<string>"), moment(None), F.lit(None).cast("int")
+    pair = F.array(F.concat("entity_group", F.lit("02")), F.concat(F.lit(" "), "entity_group", F.lit("06 ")), F.lit(""))
+    asked = data_requests(t)
+
+    def outputs_of(kind, output, entities, start, end, days):
+        return asked.where(F.split("request_id", "/")[0] == kind).select(
+            "request_id", F.lit(output).alias("output"), entities.alias("slice_entities"),
+            start.alias("slice_start_ts"), end.alias("slice_end_ts"), days.alias("slice_window_days"),
+        )
+
+    slices = (
+        outputs_of("early", "pair", pair, no_time, no_time, F.lit(2))
+        .unionByName(outputs_of("early", "whole", nothing, no_time, no_time, no_days))
+        .unionByName(outputs_of("middle", "closed", nothing, moment("2024-01-11"), moment("2024-01-12 06:00:00"), F.lit(1)))
+        .unionByName(outputs_of("all", "last", nothing, no_time, no_time, F.lit(0)))
+    )
+    return rounded(requests.batch_ooc(t.long, t.limits, asked, slices, series=t.series), "percent_ooc")
+
+
+def batch_health(spark, sf_dir):
+    """Health of every group with two factors and two windows, and of two entities within a range."""
+    t = sensor_tables(spark, sf_dir)
+    groups = t.long.select("entity_group").distinct()
+    nothing, usual = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def ask(name, entities, start, alpha, days, hours, steady):
+        return groups.select(
+            F.concat_ws("/", F.lit(name), "entity_group").alias("request_id"), "entity_group", nothing.alias("entity"),
+            entities.cast("array<string>").alias("entities"), nothing.alias("sensor"), moment(start).alias("start_ts"),
+            moment(None).alias("end_ts"), alpha.alias("ewma_alpha"), F.lit(days).cast("int").alias("window_days"),
+            F.lit(hours).cast("int").alias("slope_window_hours"), steady.alias("drifting_slope_z_per_day"),
+        )
+
+    pair = F.array(F.concat("entity_group", F.lit("02")), F.concat("entity_group", F.lit("06")))
+    asked = (
+        ask("usual", F.lit(None), None, usual, None, None, usual)
+        .unionByName(ask("fast", F.lit(None), None, F.lit(0.9), 5, 48, F.lit(0.5)))
+        .unionByName(ask("pair", pair, "2024-01-12", F.lit(0.4), 3, None, usual))
+    )
+    df = requests.batch_health(t.long, t.limits, asked, cuts=t.long_series, series=t.series)
+    return rounded(df, *_HEALTH_DOUBLES, "ooc_rate", "ewma_slope_z_per_day")
+
+
 def batch_pm_events(spark, sf_dir):
     """Maintenance events of each group, of two named entities within a range, and of an average's request."""
     t = sensor_tables(spark, sf_dir)
@@ -395,7 +450,7 @@ def batch_pm_events(spark, sf_dir):
         .unionByName(ask("pair", events, pair, "2024-01-10", "2024-01-20 12:00:00"))
         .unionByName(ask("average", F.lit("entity_all_sensor_history"), pair, None, None))
     )
-    return rounded(requests.batch_pm_events(t.long, t.limits, asked, cuts=t.long_entities), *LIMITS)
+    return rounded(requests.batch_pm_events(t.long, t.limits, asked, cuts=t.long_entities, series=t.series), *LIMITS)
 
 
 def run_filter_inventory(spark, sf_dir):
@@ -566,6 +621,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fleet_boxplot_stats_cut": fleet_boxplot_stats_cut,
     "batch_requests": batch_requests,
     "batch_pm_events": batch_pm_events,
+    "batch_alphas": batch_alphas,
+    "batch_ooc_sliced": batch_ooc_sliced,
+    "batch_health": batch_health,
     "run_filter_inventory": run_filter_inventory,
     "invalid_requests": invalid_requests,
     "pm_event_windows": pm_event_windows,

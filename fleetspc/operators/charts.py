@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspc.operators.series import FIND, ROWS_PER_CHUNK
+from fleetspc.operators.series import ROWS_PER_CHUNK
 from fleetspc.schemas import CHART_KEYS, LIMIT_COLUMNS, SERIES_KEYS, require_columns, with_limit_columns
 from fleetspc.sources.workspace import materialize
 
@@ -184,7 +184,7 @@ def _boxed(df: DataFrame, entity_group, sensor, show_ewma: bool, cuts) -> DataFr
     return _with_fences(_box_rows(chart, show_ewma), _long_groups(chart, cuts))
 
 
-def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=FIND) -> DataFrame:
+def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=None) -> DataFrame:
     """Per entity: count, quartiles, whiskers and number of outliers.
 
     Whiskers end at the furthest reading within 1.5 IQR of the box, and at the box when no
@@ -208,7 +208,7 @@ def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_e
     )
 
 
-def fleet_boxplot_outliers(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=FIND) -> DataFrame:
+def fleet_boxplot_outliers(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=None) -> DataFrame:
     """The readings beyond the whiskers, one row each."""
     fenced = _boxed(df, entity_group, sensor, show_ewma, cuts)
     beyond = (F.col("y") < F.col("fence_low")) | (F.col("y") > F.col("fence_high"))

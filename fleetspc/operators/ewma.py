@@ -7,16 +7,22 @@ in the order of the other columns.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspc.operators.series import CHUNK, FIND, decayed_sum, split_series
+from fleetspc.operators.series import CHUNK, decayed_sum, split_series
 from fleetspc.schemas import SERIES_KEYS, require_columns
 
 ROW_ORDER = ["ts", "hours_since_maintenance", "value"]
 
 
-def check_alpha(alpha: float) -> float:
+def check_alpha(alpha: float | Column) -> float | Column:
+    """The factor; that of a column is checked row by row when it is used."""
+    if isinstance(alpha, Column):
+        wrong = F.raise_error(F.format_string("ewma_alpha must be in (0, 1], got %s", alpha.cast("string")))
+        return F.when((alpha > 0) & (alpha <= 1.0), alpha).otherwise(wrong.cast("double"))
     alpha = float(alpha)
     if not 0 < alpha <= 1.0:
         raise ValueError(f"ewma_alpha must be in (0, 1], got {alpha}")
@@ -27,7 +33,7 @@ def _reset() -> Column:
     return F.when(F.col("hours_since_maintenance") == 0, 1).otherwise(0)
 
 
-def maintenance_block(df: DataFrame, *, cuts=FIND) -> DataFrame:
+def maintenance_block(df: DataFrame, *, cuts=None) -> DataFrame:
     """Add `maintenance_block`: zero-hour rows up to and including this one, per series."""
     require_columns(df, [*SERIES_KEYS, *ROW_ORDER], "maintenance_block")
     s = split_series(df, SERIES_KEYS, cuts)
@@ -43,21 +49,27 @@ def maintenance_block(df: DataFrame, *, cuts=FIND) -> DataFrame:
 
 def ewma(
     df: DataFrame,
-    alpha: float = 0.2,
+    alpha: float | Column = 0.2,
     *,
     reset_on_maintenance: bool = True,
     within: tuple[str, ...] = (),
-    cuts=FIND,
+    cuts=None,
 ) -> DataFrame:
     """Add `ewma` per (entity_group, entity, sensor).
 
     Readings that are NULL are left out, as they are at ingest. `within` names columns that
-    divide a series further, such as a request id.
+    divide a series further, such as a request id. `alpha` may be a column that is the same in all
+    rows of a series, or of what `within` makes of it.
     """
     alpha = check_alpha(alpha)
     require_columns(df, [*SERIES_KEYS, *ROW_ORDER, *within], "ewma")
-    decay = 1.0 - alpha
     s = split_series(df.where(F.col("value").isNotNull()), SERIES_KEYS, cuts, within)
+    if isinstance(alpha, Column):
+        s = replace(s, rows=s.rows.withColumn("_alpha", alpha))
+        alpha = F.col("_alpha")
+    # A literal stays one, so that its powers are folded.
+    decay = 1.0 - alpha
+    weight = decay if isinstance(decay, Column) else F.lit(decay)
     w = s.window(*ROW_ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -81,7 +93,7 @@ def ewma(
     def previous_average(chunks: DataFrame, up, down) -> DataFrame:
         """ewma at the end of the chunk before: the same recursion, one row per chunk."""
         first = F.row_number().over(up) == 1
-        start = F.pow(F.lit(decay), F.col("_rows")) * F.col("_opening")
+        start = F.pow(weight, F.col("_rows")) * F.col("_opening")
         chunks = chunks.withColumn("_chunk_block", F.sum("_has_reset").over(up)).withColumn(
             "_chunk_term",
             F.col("_end") + F.when(first & (F.col("_has_reset") == 0), start).otherwise(F.lit(0.0)),
@@ -102,9 +114,10 @@ def ewma(
             "_has_reset": F.max("_reset"),
             "_end": F.max_by("_total", "_row"),
             "_opening": F.min_by("value", "_row"),
+            **({"_alpha": F.max("_alpha")} if "_alpha" in rows.columns else {}),
         },
         previous_average,
     )
-    faded = F.pow(F.lit(decay), F.col("_position") + 1) * F.coalesce(F.col("_previous"), F.col("_first"))
+    faded = F.pow(weight, F.col("_position") + 1) * F.coalesce(F.col("_previous"), F.col("_first"))
     average = F.col("_total") + F.when(F.col("_block") == 0, faded).otherwise(F.lit(0.0))
     return rows.select(*df.columns, average.alias("ewma"))

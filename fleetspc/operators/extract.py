@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import is_normal, where_entity, where_time_range
-from fleetspc.operators.series import FIND, split_series
+from fleetspc.operators.series import split_series
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, LIMIT_COLUMNS
 
 SENSOR_HISTORY = [
@@ -89,7 +89,7 @@ def entity_all_sensor_history(long, limits, entity_group: str, entity=None, star
     return join_limits(rows, limits).select(ALL_SENSOR_HISTORY)
 
 
-def event_ticks(rows: DataFrame, cuts=FIND, within: tuple[str, ...] = ()) -> DataFrame:
+def event_ticks(rows: DataFrame, cuts=None, within: tuple[str, ...] = ()) -> DataFrame:
     """Instants with a maintenance event: `_events` (hours_pre_pm, failure_type), and `_readings` then.
 
     `rows` are normal-mode readings. One shuffle brings an entity together; the readings of an
@@ -124,7 +124,7 @@ def readings_at_events(ticks: DataFrame, within: tuple[str, ...] = ()) -> DataFr
     )
 
 
-def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=FIND) -> DataFrame:
+def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=None) -> DataFrame:
     """Last normal-mode tick of an entity before its hours since maintenance drop.
 
     The time range is cut out first, so an event whose next tick lies outside is not reported.
@@ -141,13 +141,13 @@ def pm_event_readings(long: DataFrame, events: DataFrame, **filters) -> DataFram
     return events.join(at_tick, [*ENTITY_KEYS, "ts"], "inner")
 
 
-def pm_event_history(long, limits, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=FIND) -> DataFrame:
+def pm_event_history(long, limits, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=None) -> DataFrame:
     """Readings and limits at each maintenance event, for any choice of filters: one scan, one shuffle."""
     rows = normal_readings(long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
     return join_limits(readings_at_events(event_ticks(rows, cuts)), limits).select(PM_HISTORY)
 
 
-def pm_event_sensor_history(long, limits, entity_group: str, entity=None, start_ts=None, end_ts=None, *, cuts=FIND) -> DataFrame:
+def pm_event_sensor_history(long, limits, entity_group: str, entity=None, start_ts=None, end_ts=None, *, cuts=None) -> DataFrame:
     """Readings and limits at each maintenance event of a group."""
     _given(entity_group=entity_group)
     return pm_event_history(

@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspc.functions.predicates import (
-    days_and_hours,
-    micros_between,
-    sigma_from_limits,
-    two_sided_violation,
-)
+from fleetspc.functions.predicates import micros_between, sigma_from_limits, two_sided_violation
 from fleetspc.operators.ewma import check_alpha
-from fleetspc.operators.series import FIND, split_series
+from fleetspc.operators.series import split_series
 from fleetspc.schemas import LIMIT_COLUMNS, SERIES_KEYS, require_columns
 
 MICROS_PER_DAY = 86_400_000_000
@@ -22,9 +17,9 @@ def _newest_first() -> list[Column]:
     return [F.col("ts").desc(), F.col("value").desc()]
 
 
-def _with_age(df: DataFrame, cuts) -> DataFrame:
+def _with_age(df: DataFrame, cuts, within: tuple[str, ...]) -> DataFrame:
     """Add `_age`, the number of newer readings in the series, and `_last_ts`."""
-    s = split_series(df, SERIES_KEYS, cuts)
+    s = split_series(df, SERIES_KEYS, cuts, within)
     w = s.window(*_newest_first())
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = s.rows.withColumns(
@@ -56,7 +51,7 @@ def multi_sensor_health(
     drifting_slope_z_per_day: float = 1.0,
     volatile_ooc_rate: float = 0.05,
     slope_window_hours: int = 24,
-    cuts=FIND,
+    cuts=None,
 ) -> DataFrame:
     """One row per (entity_group, entity, sensor) with z-score, violation rate, slope and label.
 
@@ -66,26 +61,67 @@ def multi_sensor_health(
     starts at the first reading of the slope window. Readings that are NULL are left out.
     """
     require_columns(df, [*SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS], "multi_sensor_health")
-    alpha = check_alpha(ewma_alpha)
     window_days, slope_window_hours = int(window_days), int(slope_window_hours)
-    ooc_rate = f"ooc_rate_{window_days}d"
-    slope = f"ewma_slope_z_per_day_{slope_window_hours}h"
-    age, value, decay = F.col("_age"), F.col("value"), F.lit(1.0 - alpha)
+    return _health(
+        df,
+        {
+            "ewma_alpha": F.lit(check_alpha(ewma_alpha)),
+            "window_days": F.lit(window_days),
+            "slope_window_hours": F.lit(slope_window_hours),
+            "stable_slope_z_per_day": F.lit(float(stable_slope_z_per_day)),
+            "drifting_slope_z_per_day": F.lit(float(drifting_slope_z_per_day)),
+            "volatile_ooc_rate": F.lit(float(volatile_ooc_rate)),
+        },
+        f"ooc_rate_{window_days}d",
+        f"ewma_slope_z_per_day_{slope_window_hours}h",
+        cuts,
+    )
+
+
+# The parameters of health and their usual values.
+HEALTH_PARAMETERS = {
+    "window_days": 2,
+    "ewma_alpha": 0.2,
+    "stable_slope_z_per_day": 0.8,
+    "drifting_slope_z_per_day": 1.0,
+    "volatile_ooc_rate": 0.05,
+    "slope_window_hours": 24,
+}
+
+
+def health_within(df: DataFrame, within: tuple[str, ...], *, cuts=None) -> DataFrame:
+    """multi_sensor_health of what `within`, such as a request id, makes of a series.
+
+    The columns of HEALTH_PARAMETERS hold the parameters of each row; within a series they are the
+    same. The rate and the slope are called `ooc_rate` and `ewma_slope_z_per_day`, as their windows
+    differ from row to row.
+    """
+    require_columns(df, [*within, *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS, *HEALTH_PARAMETERS], "health_within")
+    parameters = {c: F.col(c) for c in HEALTH_PARAMETERS}
+    return _health(df, parameters, "ooc_rate", "ewma_slope_z_per_day", cuts, within)
+
+
+def _health(df: DataFrame, parameters: dict[str, Column], ooc_rate: str, slope: str, cuts, within: tuple[str, ...] = ()) -> DataFrame:
+    """Parameters are literals, or columns that come along as keys of the aggregate."""
+    carried = list(parameters) if within else []
+    alpha = check_alpha(parameters["ewma_alpha"]) if within else parameters["ewma_alpha"]
+    age, value, decay = F.col("_age"), F.col("value"), F.lit(1.0) - alpha
 
     rows = (
-        df.select(*SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS)
+        df.select(*within, *carried, *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS)
         .where(value.isNotNull())
-        .transform(_with_age, cuts)
+        .transform(_with_age, cuts, within)
         .withColumns({"_sigma": sigma_from_limits(), "_ooc": two_sided_violation().cast("double")})
     )
-    in_slope = F.col("ts") >= F.col("_last_ts") - days_and_hours(hours=slope_window_hours)
-    recent = F.col("ts") >= F.col("_last_ts") - days_and_hours(days=window_days)
+    in_slope = F.col("ts") >= F.col("_last_ts") - F.make_dt_interval(F.lit(0), parameters["slope_window_hours"])
+    recent = F.col("ts") >= F.col("_last_ts") - F.make_dt_interval(parameters["window_days"])
     weighted = alpha * F.pow(decay, age.cast("double")) * value
 
     def at_newest(column: str) -> Column:
         return F.max(F.when(age == 0, F.col(column)))
 
-    sums = rows.groupBy(*SERIES_KEYS).agg(
+    # The keys come first: what brought a series together serves this aggregate too.
+    sums = rows.groupBy(*within, *SERIES_KEYS, *carried).agg(
         at_newest("value").alias("latest_value"),
         at_newest("centerline").alias("centerline"),
         at_newest("_sigma").alias("std"),
@@ -101,7 +137,7 @@ def multi_sensor_health(
     )
 
     def average(total: str, oldest: str, oldest_value: str) -> Column:
-        rest = (1.0 - alpha) * F.pow(decay, F.col(oldest).cast("double")) * F.col(oldest_value)
+        rest = decay * F.pow(decay, F.col(oldest).cast("double")) * F.col(oldest_value)
         return F.col(total) + rest
 
     std = F.col("std")
@@ -119,10 +155,10 @@ def multi_sensor_health(
     # The trend labels; the first rule that holds decides.
     trend = (
         F.when(z > 3.0, "ooc")
-        .when(per_day >= drifting_slope_z_per_day, "drifting_up")
-        .when(per_day <= -drifting_slope_z_per_day, "drifting_down")
-        .when(F.col(ooc_rate) >= volatile_ooc_rate, "volatile")
-        .when((F.abs(per_day) <= stable_slope_z_per_day) & (z.isNull() | (z <= 1.0)), "stable_baseline")
+        .when(per_day >= parameters["drifting_slope_z_per_day"], "drifting_up")
+        .when(per_day <= -parameters["drifting_slope_z_per_day"], "drifting_down")
+        .when(F.col(ooc_rate) >= parameters["volatile_ooc_rate"], "volatile")
+        .when((F.abs(per_day) <= parameters["stable_slope_z_per_day"]) & (z.isNull() | (z <= 1.0)), "stable_baseline")
         .when(z > 1.0, "trending_baseline")
         .otherwise("stable_baseline")
     )
@@ -135,6 +171,7 @@ def multi_sensor_health(
         sums.withColumn("baseline_trend", trend)
         .withColumn("health_status", status)
         .select(
+            *within,
             *SERIES_KEYS,
             "latest_value",
             "latest_ewma",

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import days_and_hours, micros_of
 from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, event_ticks, join_limits, normal_readings, readings_at_events
+from fleetspc.operators.health import HEALTH_PARAMETERS, health_within
 from fleetspc.operators.ingest import entities_by_group
-from fleetspc.operators.series import FIND
+from fleetspc.operators.ranges import closed_end, match_segments
+from fleetspc.operators.series import series_counts
+from fleetspc.operators.slices import sliced_within
 from fleetspc.operators.spc import ewma_spc
-from fleetspc.schemas import ENTITY_KEYS, REQUESTS, SERIES_KEYS, require_columns
+from fleetspc.operators.summary import fleet_ooc_summary
+from fleetspc.schemas import ENTITY_KEYS, LIMIT_COLUMNS, REQUESTS, SERIES_KEYS, require_columns
 from fleetspc.sources.workspace import materialize
 
 # The filters each kind of history needs.
@@ -97,41 +102,63 @@ def normal_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns(trimmed).withColumn("entity", F.explode_outer(named)).drop("entities")
 
 
-def request_rows(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: int = 24) -> DataFrame:
-    """Normal-mode readings of every request, with limits and the request's id.
+def request_ranges(requests: DataFrame, series: DataFrame) -> DataFrame:
+    """What each request asks of each series: (SERIES_KEYS, request_id, start_ts, end_ts), half-open.
 
-    A request names a group, a sensor or none for all of them, one or several entities or none
-    for the whole fleet (see normal_requests), and a half-open time range whose bounds may be NULL.
-    Readings are scanned once, and matched on the names that a request gives, so a request for
-    an entity is never paired with the readings of other entities.
+    `series` are series_counts over SERIES_KEYS; they turn names that are not given into all names
+    there are, and open bounds into a series' first and last time. The names of requests meet
+    those of series by equality, in each of the four ways of giving an entity and a sensor or not.
     """
-    matched = _matched(long, requests, bin_hours)
-    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
-
-
-def _matched(long: DataFrame, requests: DataFrame, bin_hours: int) -> DataFrame:
-    require_columns(requests, REQUESTS.fieldNames(), "requests")
     names = ["entity", "sensor"]
-    wanted = normal_requests(requests).where(F.col("entity_group").isNotNull())
-    wanted = wanted.select(
+    wanted = normal_requests(requests).where(F.col("entity_group").isNotNull()).select(
         "request_id", "entity_group", "start_ts", "end_ts",
         *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in names],
         *[F.col(c).isNotNull().alias(f"_by_{c}") for c in names],
     )
-    spread = spread_ranges(wanted, bin_hours=bin_hours)
-    # Which of the two names are given: at most four ways.
-    ways = sorted((r[0], r[1]) for r in spread.select("_by_entity", "_by_sensor").distinct().collect()) or [(True, True)]
     asked_as = [
         F.struct(
             *[(F.col(c) if given else F.lit("")).alias(f"_{c}") for c, given in zip(names, way)],
             *[F.lit(given).alias(f"_by_{c}") for c, given in zip(names, way)],
         )
-        for way in ways
+        for way in product((True, False), repeat=2)
     ]
-    readings = normal_readings(long).select("*", F.inline(F.array(*asked_as)))
-    keys = ["entity_group", "_entity", "_sensor", "_by_entity", "_by_sensor"]
-    matched = match_ranges(readings, spread, keys, bin_hours=bin_hours)
-    return matched.select("request_id", *[c for c in SENSOR_HISTORY if c in long.columns])
+    named = series.where(F.col("sensor").isNotNull()).select(*SERIES_KEYS, "first_ts", "last_ts", F.inline(F.array(*asked_as)))
+    met = named.join(wanted, ["entity_group", "_entity", "_sensor", "_by_entity", "_by_sensor"])
+    return met.select(
+        *SERIES_KEYS, "request_id", F.coalesce("start_ts", "first_ts").alias("start_ts"),
+        F.coalesce(F.col("end_ts"), closed_end("last_ts")).alias("end_ts"),
+    )
+
+
+def request_rows(
+    long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: float = 1, series: DataFrame | None = None
+) -> DataFrame:
+    """Normal-mode readings of every request, with limits and the request's id.
+
+    A request names a group, a sensor or none for all of them, one or several entities or none
+    for the whole fleet (see normal_requests), and a half-open time range whose bounds may be NULL.
+    Readings are scanned once, and only folders of groups and sensors that are asked for; a
+    reading enters the join once, whatever asks for it (see match_segments). Readings without a
+    sensor's name are in no request. `series`, series_counts over SERIES_KEYS of the stored table,
+    saves a scan of its names and times.
+    """
+    matched = _matched(long, requests, bin_hours, series)
+    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
+
+
+# Stands in for the entity of readings without one, so that they join on plain equality.
+_NO_ENTITY = "\u0000"
+
+
+def _matched(long: DataFrame, requests: DataFrame, bin_hours: float, series: DataFrame | None) -> DataFrame:
+    require_columns(requests, REQUESTS.fieldNames(), "requests")
+    ranges = request_ranges(requests, series_counts(long, SERIES_KEYS) if series is None else series)
+    key = F.coalesce("entity", F.lit(_NO_ENTITY)).alias("_key")
+    ranges = ranges.select("entity_group", "sensor", key, "request_id", "start_ts", "end_ts")
+    columns = [c for c in SENSOR_HISTORY if c in long.columns]
+    readings = normal_readings(long).select(*columns, key)
+    matched = match_segments(readings, ranges, ["entity_group", "sensor", "_key"], least_hours=bin_hours)
+    return matched.select("request_id", *columns)
 
 
 def _of_kind(requests: DataFrame, pm: bool) -> DataFrame:
@@ -146,28 +173,82 @@ def batch_requests(
     requests: DataFrame,
     ewma_alpha: float = 0.2,
     *,
-    bin_hours: int = 24,
-    cuts=FIND,
+    bin_hours: float = 1,
+    cuts=None,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """request_rows with `ewma` and `spc_violation`, averaged within each request.
 
-    With a column `kind`, requests for maintenance events are left to batch_pm_events.
+    With a column `kind`, requests for maintenance events are left to batch_pm_events. With a column
+    `ewma_alpha`, each request is averaged with its own, or with the argument where that is NULL.
     """
-    rows = request_rows(long, limits, _of_kind(requests, False), bin_hours=bin_hours)
-    return ewma_spc(rows, ewma_alpha, within=("request_id",), cuts=cuts)
+    asked = _of_kind(requests, False)
+    rows = request_rows(long, limits, asked, bin_hours=bin_hours, series=series)
+    if "ewma_alpha" not in requests.columns:
+        return ewma_spc(rows, ewma_alpha, within=("request_id",), cuts=cuts)
+    rows = _with_parameters(rows, asked, {"ewma_alpha": float(ewma_alpha)})
+    averaged = ewma_spc(rows, F.col("ewma_alpha"), within=("request_id",), cuts=cuts)
+    return averaged.select("request_id", *SENSOR_HISTORY, "ewma_alpha", "ewma", "spc_violation")
+
 
+def _with_parameters(rows: DataFrame, requests: DataFrame, usual: dict[str, float | int]) -> DataFrame:
+    """Add each request's own parameters, or the usual one where it is NULL or not a column.
 
-def batch_pm_events(long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: int = 24, cuts=FIND) -> DataFrame:
+    One row per request_id, written, so the planner knows its size; of several rows under one
+    request_id the greatest parameter counts.
+    """
+    given = [c for c in usual if c in requests.columns]
+    if not given:
+        return rows.withColumns({c: F.lit(v) for c, v in usual.items()})
+    kinds = {c: "int" if isinstance(v, int) else "double" for c, v in usual.items()}
+    own = requests.groupBy("request_id").agg(*[F.max(F.col(c).cast(kinds[c])).alias(f"_{c}") for c in given])
+    joined = rows.join(materialize(own, "request-parameters"), "request_id", "left")
+    chosen = {c: F.coalesce(f"_{c}", F.lit(v)) if c in given else F.lit(v) for c, v in usual.items()}
+    return joined.withColumns(chosen).drop(*[f"_{c}" for c in given])
+
+
+def batch_pm_events(
+    long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: float = 1, cuts=None, series: DataFrame | None = None
+) -> DataFrame:
     """Readings and limits at each maintenance event of every request, with the request's id.
 
     Events are found within the time range of the request. With a column `kind`, only requests for
     maintenance events are answered. `cuts` is over (entity_group, entity).
     """
-    rows = _matched(long, _of_kind(requests, True), bin_hours)
+    rows = _matched(long, _of_kind(requests, True), bin_hours, series)
     ticks = event_ticks(rows, cuts, within=("request_id",))
     return join_limits(readings_at_events(ticks, ("request_id",)), limits).select("request_id", *PM_HISTORY)
 
 
+def batch_ooc(
+    long: DataFrame, limits: DataFrame, requests: DataFrame, slices: DataFrame, *, mode: str = "run",
+    bin_hours: float = 1, series: DataFrame | None = None,
+) -> DataFrame:
+    """Out-of-control rates of every request, over each of its output slices (see sliced_within).
+
+    The readings of all requests are found in one scan and stored; the slices and the last ts that
+    windows count back from are taken of those.
+    """
+    matched = _matched(long, _of_kind(requests, False), bin_hours, series).select("request_id", *SERIES_KEYS, "ts", "value")
+    sliced = sliced_within(materialize(matched, "request-readings"), slices, mode)
+    by = tuple(c for c in ("request_id", "output") if c in sliced.columns)
+    return fleet_ooc_summary(join_limits(sliced, limits), by)
+
+
+def batch_health(
+    long: DataFrame, limits: DataFrame, requests: DataFrame, *, bin_hours: float = 1, cuts=None, series: DataFrame | None = None
+) -> DataFrame:
+    """Health of every series of every request, each with the parameters of its own request.
+
+    Columns of HEALTH_PARAMETERS among the requests' are its parameters; NULL, or no such column,
+    means the usual value.
+    """
+    asked = _of_kind(requests, False)
+    rows = request_rows(long, limits, asked, bin_hours=bin_hours, series=series)
+    rows = rows.select("request_id", *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS)
+    return health_within(_with_parameters(rows, asked, HEALTH_PARAMETERS), ("request_id",), cuts=cuts)
+
+
 def run_filter_inventory(requests: DataFrame) -> DataFrame:
     """Distinct groups, entities and sensors that a set of requests names, as rows (kind, name)."""
     named = F.array(
@@ -232,7 +313,8 @@ def pm_event_windows(long: DataFrame, limits: DataFrame, events: DataFrame, days
         (F.col("ts") + reach).alias("end_ts"),
     )
     readings = normal_readings(long).select(*ENTITY_KEYS, "ts", "sensor", "value")
-    near = match_ranges(readings, spread_ranges(ranges), ENTITY_KEYS, closed=True)
+    ranges = ranges.withColumn("end_ts", closed_end("end_ts"))
+    near = match_segments(readings, ranges, ENTITY_KEYS)
     return join_limits(near, limits).select(
         *ENTITY_KEYS, "event_ts", "ts", "sensor", "value", "ucl", "centerline", "lcl"
     )

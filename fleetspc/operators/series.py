@@ -177,7 +177,7 @@ def decayed_sum(
     order: Sequence[Column | str],
     position: str,
     term: str,
-    decay: float,
+    decay: float | Column,
     out: str,
 ) -> DataFrame:
     """Add out_i = sum over j <= i of decay ** (position_i - position_j) * term_j.
@@ -187,16 +187,25 @@ def decayed_sum(
     are cut into spans over which decay**-p stays below e**100, and the totals of earlier spans are
     added, faded by their distance. From the greatest double to the least is a factor of e**1454:
     what lies FADED spans back or more is zero whatever its size, so no term is cut off. Terms are
-    scaled by a power of two, so that readings up to the greatest double stay in range.
+    scaled by a power of two, so that readings up to the greatest double stay in range. A decay that
+    is a column is the same in all rows of a partition.
     """
-    if decay == 0.0:
+    if isinstance(decay, Column):
+        rate = -F.ln(decay)
+        fitting = F.greatest(F.floor(F.lit(100.0) / rate), F.lit(1)).cast("long")
+        # A decay of 0 has no logarithm; nothing is carried from one position to the next.
+        span = F.when(decay == 0.0, F.lit(1)).when(rate > 100.0 / LONGEST_SPAN, fitting).otherwise(F.lit(LONGEST_SPAN))
+        base = decay
+    elif decay == 0.0:
         return rows.withColumn(out, F.col(term))
-    rate = -math.log(decay)
-    span = max(1, math.floor(100.0 / rate)) if rate > 100.0 / LONGEST_SPAN else LONGEST_SPAN
+    else:
+        rate = -math.log(decay)
+        span = F.lit(max(1, math.floor(100.0 / rate)) if rate > 100.0 / LONGEST_SPAN else LONGEST_SPAN)
+        base = F.lit(decay)
     in_span = Window.partitionBy(*by, "_span").orderBy(*order)
     so_far = in_span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*by).orderBy("_span").rangeBetween(-FADED, -1)
-    base, scale = F.lit(decay), F.lit(2.0**-150)
+    scale = F.lit(2.0**-150)
     at_end = F.lead("_span").over(in_span).isNull()
     end = F.struct(F.col(position).alias("position"), F.col("_local").alias("total"))
 
@@ -204,7 +213,7 @@ def decayed_sum(
         return total + end["total"] * F.pow(base, (F.col(position) - end["position"]).cast("double"))
 
     return (
-        rows.withColumn("_span", F.floor(F.col(position) / F.lit(span)))
+        rows.withColumn("_span", F.floor(F.col(position) / span))
         .withColumn("_offset", (F.col(position) - F.col("_span") * span).cast("double"))
         .withColumn("_scaled", F.sum(F.col(term) * scale * F.pow(base, -F.col("_offset"))).over(so_far))
         .withColumn("_local", F.pow(base, F.col("_offset")) * F.col("_scaled"))

@@ -17,7 +17,6 @@ from fleetspc.operators.extract import (
     pm_event_sensor_history,
 )
 from fleetspc.operators.health import by_severity, health_table, multi_sensor_health
-from fleetspc.operators.series import FIND
 from fleetspc.operators.slices import entity_subset, time_slice
 from fleetspc.operators.spc import ewma_spc
 from fleetspc.operators.summary import fleet_ooc_summary, pm_event_ooc_summary, pm_event_table
@@ -25,7 +24,7 @@ from fleetspc.sources.workspace import materialize
 
 
 def monitored_history(
-    long, limits, ewma_alpha: float = 0.2, *, violation_on: str = "value", cuts=FIND, **filters
+    long, limits, ewma_alpha: float = 0.2, *, violation_on: str = "value", cuts=None, **filters
 ) -> DataFrame:
     """ewma_spc of a sensor_history, with the limits joined after the average.
 
@@ -51,7 +50,7 @@ def fleet_ooc_table(processed: DataFrame, **slice_arguments) -> DataFrame:
     return fleet_ooc_summary(sliced(processed, **slice_arguments))
 
 
-def fleet_ooc_report(long, limits, entity_group, sensor, start_ts=None, end_ts=None, *, cuts=FIND, **slice_arguments) -> DataFrame:
+def fleet_ooc_report(long, limits, entity_group, sensor, start_ts=None, end_ts=None, *, cuts=None, **slice_arguments) -> DataFrame:
     """Out-of-control rate of every entity of a group for one sensor.
 
     The average is not part of the answer, so its windows drop out of the plan.
@@ -60,7 +59,7 @@ def fleet_ooc_report(long, limits, entity_group, sensor, start_ts=None, end_ts=N
     return fleet_ooc_table(ewma_spc(history, cuts=cuts), **slice_arguments).orderBy("entity")
 
 
-def pm_event_report(long, limits, entity_group, entity=None, start_ts=None, end_ts=None, *, cuts=FIND) -> DataFrame:
+def pm_event_report(long, limits, entity_group, entity=None, start_ts=None, end_ts=None, *, cuts=None) -> DataFrame:
     """Maintenance events of a group with the sensors out of control at them."""
     history = pm_event_sensor_history(long, limits, entity_group, entity, start_ts, end_ts, cuts=cuts)
     return pm_event_table(pm_event_ooc_summary(history)).orderBy("timestamp", "entity")

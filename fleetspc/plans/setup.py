@@ -16,10 +16,14 @@ from fleetspc.sources.workspace import materialize
 
 @dataclass(frozen=True)
 class SensorTables:
-    """The stored tables, and the series that need cutting, found once for all questions."""
+    """The stored tables, and what is known of their series, found once for all questions.
+
+    `series` has the rows, first and last time of each series.
+    """
 
     long: DataFrame
     limits: DataFrame
+    series: DataFrame
     long_series: LongSeries | None
     long_entities: LongSeries | None
 
@@ -54,6 +58,7 @@ def open_tables(spark: SparkSession, folder: str) -> SensorTables:
     return SensorTables(
         long=long,
         limits=read_limits(spark, f"{folder}/sensor_spc_limits"),
+        series=counts,
         long_series=find_long_series(long, SERIES_KEYS, counts=counts),
         long_entities=find_long_series(long, ENTITY_KEYS, counts=counts),
     )

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import micros_between
-from fleetspc.operators.series import FIND, split_series
+from fleetspc.operators.series import split_series
 from fleetspc.schemas import RAW
 
 MICROS_PER_HOUR = 3_600_000_000
 MICROS_PER_DAY = 86_400_000_000
 
 
-def machine_log(events: DataFrame, *, cuts=FIND) -> DataFrame:
+def machine_log(events: DataFrame, *, cuts=None) -> DataFrame:
     """Wide log of schema RAW. `cuts` is over (user_id)."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     ticks = events.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
