@@ -557,5 +557,9 @@ group by {PRINTED_COLUMNS} having sum(l) <> sum(n)""",
     ),
 }
 ORACLE["monitored_history"] = ORACLE["ewma_spc"]
+# However many logs brought the readings.
+ORACLE["ingest_two_batches"] = ORACLE["ingest"]
+ORACLE["incremental_averages"] = ORACLE["incremental_late"] = ORACLE["ewma_spc"]
+ORACLE["incremental_events"] = ORACLE["pm_event_sensor_history"]
 for _name in ("ewma_spc", "maintenance_block", "pm_events", "multi_sensor_health", "fleet_boxplot_stats"):
     ORACLE[f"{_name}_cut"] = ORACLE[_name]

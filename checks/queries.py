@@ -17,12 +17,12 @@ from fleetspc.operators import charts, ewma, extract, health, requests, spc, sum
 from fleetspc.operators import ingest as ingesting
 from fleetspc.operators.series import find_long_series
 from fleetspc.operators.slices import time_slice
-from fleetspc.plans import outputs
+from fleetspc.plans import incremental, outputs
 from fleetspc.plans.setup import SensorTables, ingest
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, SERIES_KEYS
 from fleetspc.sources.events_log import machine_log
 from fleetspc.sources.tables import write_frame
-from fleetspc.sources.workspace import materialize, shared_folder
+from fleetspc.sources.workspace import materialize, new_path, shared_folder
 
 _tables: dict[tuple[str, str], SensorTables] = {}
 
@@ -89,6 +89,48 @@ def ingested(spark, sf_dir):
     return rounded(stored.join(t.limits, CHART_KEYS, "left"), "mean", "std", *LIMITS)
 
 
+def plant_of_logs(spark, sf_dir, name: str, *when: Column) -> incremental.Plant:
+    """The log of a plant, arriving in the parts that the conditions make of it, each in time or late."""
+    raw = materialize(raw_log(spark, sf_dir), "raw-log")
+    folder = new_path(spark, name)
+    for condition in when:
+        plant = incremental.append_log(raw.where(condition), folder)
+    return plant
+
+
+def ingest_two_batches(spark, sf_dir):
+    """Counts, times and limits after two logs."""
+    early = F.col("timestamp") < moment("2024-01-15 07:30:00")
+    plant = plant_of_logs(spark, sf_dir, "two-logs", early, ~early)
+    stored = plant.long().groupBy(*CHART_KEYS).agg(
+        F.count(F.lit(1)).alias("readings"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    return rounded(stored.join(plant.limits(), CHART_KEYS, "left"), "mean", "std", *LIMITS)
+
+
+def incremental_averages(spark, sf_dir):
+    """Averages and flags after three logs that follow each other."""
+    first, second = F.col("timestamp") < moment("2024-01-09"), F.col("timestamp") < moment("2024-01-20 12:00:00")
+    plant = plant_of_logs(spark, sf_dir, "three-logs", first, ~first & second, ~second)
+    return rounded(plant.processed(), "ewma", *LIMITS)
+
+
+def incremental_late(spark, sf_dir):
+    """Averages after a log that brings what two earlier logs lacked of some machines."""
+    early = F.col("timestamp") < moment("2024-01-15")
+    late = F.col("timestamp").between(moment("2024-01-11"), moment("2024-01-16")) & (F.col("machine_id") % 7 == 2)
+    plant = plant_of_logs(spark, sf_dir, "late-log", early & ~late, ~early & ~late, late)
+    return rounded(plant.processed(), "ewma", *LIMITS)
+
+
+def incremental_events(spark, sf_dir):
+    """Readings at maintenance events after two logs and a late one."""
+    early = F.col("timestamp") < moment("2024-01-15")
+    late = F.col("timestamp").between(moment("2024-01-04"), moment("2024-01-20")) & (F.col("machine_id") % 5 == 1)
+    plant = plant_of_logs(spark, sf_dir, "event-logs", early & ~late, ~early & ~late, late)
+    return rounded(plant.pm_event_history(), *LIMITS)
+
+
 def spc_limits(spark, sf_dir):
     return rounded(ingesting.spc_limits(sensor_tables(spark, sf_dir).long), "mean", "std", *LIMITS)
 
@@ -577,6 +619,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derive_entity": derive_entity,
     "unpivot_sensors": unpivot_sensors,
     "ingest": ingested,
+    "ingest_two_batches": ingest_two_batches,
+    "incremental_averages": incremental_averages,
+    "incremental_late": incremental_late,
+    "incremental_events": incremental_events,
     "spc_limits": spc_limits,
     "catalog": catalog,
     "entities_by_group": entities_by_group,

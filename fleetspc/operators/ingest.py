@@ -64,23 +64,31 @@ def spc_limits(long: DataFrame) -> DataFrame:
     """
     require_columns(long, [*CHART_KEYS, "operating_mode", "value"], "spc_limits")
     known = F.col("entity_group").isNotNull() & F.col("sensor").isNotNull()
-    mean, std = F.col("mean"), F.col("std")
-    return (
+    return _limits(
         long.where(is_normal() & known)
         .groupBy(*CHART_KEYS)
         .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-        .select(
-            *CHART_KEYS,
-            mean,
-            std,
-            (mean + 3 * std).alias("ucl"),
-            mean.alias("centerline"),
-            (mean - 3 * std).alias("lcl"),
-        )
-        .select(LIMITS.fieldNames())
     )
 
 
+def _limits(moments: DataFrame) -> DataFrame:
+    mean, std = F.col("mean"), F.col("std")
+    return moments.select(
+        *CHART_KEYS,
+        mean,
+        std,
+        (mean + 3 * std).alias("ucl"),
+        mean.alias("centerline"),
+        (mean - 3 * std).alias("lcl"),
+    ).select(LIMITS.fieldNames())
+
+
+def limits_of_moments(moments: DataFrame) -> DataFrame:
+    """spc_limits out of (CHART_KEYS, n, mean, squares), squares being the sum of squared deviations."""
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return _limits(moments.withColumn("std", std))
+
+
 def entities_by_group(long: DataFrame) -> DataFrame:
     """Distinct (entity_group, entity). One row per pair, so a group may be of any size."""
     return long.select(*ENTITY_KEYS).distinct()

@@ -5,7 +5,7 @@ The ranges of a key may overlap in any way. Their bounds cut the key's time into
 lies in one segment of its key or in none, and meets that segment's ranges.
 
 Segments are found by equality on the key and a time bin. Each key has bins of its own width, such
-that it has about as many bins as segments: a key with n segments takes 2 * n + 1 rows at most, be
+that it has as many bins as segments and gaps, n of them: they take 2 * n + 1 rows at most, be
 its ranges long or short, and readings are never copied to several bins.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import micros_between, micros_of
@@ -23,21 +23,28 @@ MICROS_PER_HOUR = 3_600_000_000
 _MICROSECOND = "interval '0.000001' second"
 
 
-def range_segments(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def range_segments(ranges: DataFrame, keys: Sequence[str], least_hours: float = 1.0) -> DataFrame:
     """Disjoint segments (keys, from_ts, to_ts, ranges) of half-open ranges (keys, start_ts, end_ts, ...).
 
+    `_origin` and `_width` say where the bins of the key begin and how wide they are.
+
     `ranges` of a segment is an array of the other columns of the ranges that cover it. Both bounds
     are given; empty ranges cover nothing. Key columns are not NULL. A range is counted through
     the segments it covers, so the work is the number of (segment, range) pairs.
     """
     carried = [c for c in ranges.columns if c not in (*keys, "start_ts", "end_ts")]
-    proper = ranges.where(F.col("start_ts") < F.col("end_ts")).select(
-        *keys, "start_ts", "end_ts", F.struct(*carried).alias("_range")
+    proper = materialize(
+        ranges.where(F.col("start_ts") < F.col("end_ts")).select(*keys, "start_ts", "end_ts", F.struct(*carried).alias("_range")),
+        "ranges",
     )
-    bounds = proper.select(*keys, F.explode(F.array("start_ts", "end_ts")).alias("from_ts")).distinct()
-    in_time = Window.partitionBy(*keys).orderBy("from_ts")
-    places = bounds.withColumns({"_place": F.row_number().over(in_time), "to_ts": F.lead("from_ts").over(in_time)})
-    places = materialize(places, "range-bounds")
+    # One row per key with its bounds in order, and the bins that suit their number.
+    bounds = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("start_ts", "end_ts")))))
+    of_key = proper.groupBy(*keys).agg(bounds.alias("_bounds"))
+    first, last, n = F.element_at("_bounds", 1), F.element_at("_bounds", -1), F.size("_bounds") - 1
+    width = F.greatest(F.ceil(micros_between(first, last) / n), F.lit(least_hours * MICROS_PER_HOUR)).cast("long")
+    between = F.transform("_bounds", lambda t, i: F.struct(t.alias("from_ts"), F.get("_bounds", i + 1).alias("to_ts")))
+    places = of_key.select(*keys, micros_of(first).alias("_origin"), width.alias("_width"), F.posexplode(between).alias("_place", "_b"))
+    places = places.select(*keys, "_origin", "_width", "_place", "_b.from_ts", "_b.to_ts")
 
     def place_of(bound: str) -> DataFrame:
         return places.select(*keys, F.col("from_ts").alias(bound), F.col("_place").alias(f"_{bound}"))
@@ -47,26 +54,22 @@ def range_segments(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, F.explode(F.sequence(F.col("_start_ts"), F.col("_end_ts") - 1)).alias("_place"), "_range"
     )
     listed = covering.groupBy(*keys, "_place").agg(F.collect_list("_range").alias("ranges"))
-    return listed.join(places, [*keys, "_place"]).select(*keys, "from_ts", "to_ts", "ranges")
+    return listed.join(places, [*keys, "_place"]).drop("_place")
 
 
 def _bin(ts: str) -> Column:
     return F.floor((micros_of(ts) - F.col("_origin")) / F.col("_width"))
 
 
-def binned_segments(segments: DataFrame, keys: Sequence[str], least_hours: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Bins per key (keys, _origin, _width), and segments with one row per bin they touch, as written tables."""
-    segments = materialize(segments, "segments")
-    span = micros_between(F.min("from_ts"), F.max("to_ts"))
-    width = F.greatest(F.ceil(span / F.count(F.lit(1))), F.lit(least_hours * MICROS_PER_HOUR)).cast("long")
-    grid = segments.groupBy(*keys).agg(micros_of(F.min("from_ts")).alias("_origin"), width.alias("_width"))
-    grid = materialize(grid, "segment-bins")
-    last = F.expr(f"to_ts - {_MICROSECOND}").alias("_last")
-    spread = segments.select("*", last).join(grid, list(keys))
+def binned_segments(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segments with one row per bin they touch, as a written table."""
+    spread = segments.withColumn("_last", F.expr(f"to_ts - {_MICROSECOND}"))
     spread = spread.withColumn("_bin", F.explode(F.sequence(_bin("from_ts"), _bin("_last"))))
     # Names that no reading has.
-    named = spread.select(*keys, "_bin", F.col("from_ts").alias("_from"), F.col("to_ts").alias("_to"), F.col("ranges").alias("_ranges"))
-    return grid, materialize(named, "segments-in-bins")
+    named = spread.select(
+        *keys, "_origin", "_width", "_bin", F.col("from_ts").alias("_from"), F.col("to_ts").alias("_to"), F.col("ranges").alias("_ranges")
+    )
+    return materialize(named, "segments")
 
 
 def match_segments(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], *, least_hours: float = 1.0) -> DataFrame:
@@ -75,10 +78,11 @@ def match_segments(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], *, l
     Both joins are equalities, the first of them on the keys alone: where those are folders of a
     stored table, only the folders of keys that have ranges are opened.
     """
-    grid, spread = binned_segments(range_segments(ranges, keys), keys, least_hours)
-    # A key's grid is not empty; that is stated so that the planner prunes folders by it.
-    met = rows.join(grid.where(F.col("_width") > 0), list(keys)).withColumn("_bin", _bin("ts"))
-    met = met.join(spread, [*keys, "_bin"]).where((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to")))
+    spread = binned_segments(range_segments(ranges, keys, least_hours), keys)
+    # A bin's width is positive; that is stated so that the planner prunes folders by it.
+    grid = spread.where(F.col("_width") > 0).select(*keys, "_origin", "_width").distinct()
+    met = rows.join(grid, list(keys)).withColumn("_bin", _bin("ts"))
+    met = met.join(spread.drop("_origin", "_width"), [*keys, "_bin"]).where((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to")))
     return met.select(*rows.columns, F.inline("_ranges"))
 
 

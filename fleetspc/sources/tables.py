@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,8 +60,10 @@ def write_long(long: DataFrame, path: str, files: int | None = None) -> None:
     )
 
 
-def read_long(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LONG).parquet(path).select(LONG.fieldNames())
+def read_long(spark: SparkSession, *paths: str) -> DataFrame:
+    """The long table, or all of several ones."""
+    tables = [spark.read.schema(LONG).parquet(path).select(LONG.fieldNames()) for path in paths]
+    return reduce(DataFrame.union, tables)
 
 
 def write_limits(limits: DataFrame, path: str) -> None:

@@ -44,13 +44,13 @@ def materialize(df: DataFrame, label: str, *, compression: str = "snappy") -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _file_system(spark, path)
+    files, where = file_system(spark, path)
     return files.exists(where)
 
 
@@ -61,11 +61,11 @@ def drop(df: DataFrame) -> None:
     own = own.removeprefix("file:").replace("///", "/")
     for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
         if folder.removeprefix("file:").replace("///", "/").startswith(own + "/"):
-            files, where = _file_system(spark, folder)
+            files, where = file_system(spark, folder)
             files.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
-    files, where = _file_system(spark, shared_folder(spark))
+    files, where = file_system(spark, shared_folder(spark))
     files.delete(where, True)
