@@ -296,6 +296,14 @@ ORACLE: dict[str, str] = {
         f"""select entity_group, sensor, readings, first_ts, last_ts, {r('mean')}, {r('std')}, {ROUND_LIMITS}
 from (select entity_group, sensor, count(*) as readings, min(ts) as first_ts, max(ts) as last_ts from long group by 1, 2)
 left join limits using (entity_group, sensor)""",
+    ),
+    "csv_folder": q(
+        LONG,
+        """select entity, ts, operating_mode, sensor, value from long
+where cast(regexp_extract(entity, '([0-9]+)$', 1) as int) % 2 = 0 or sensor in ('rpm', 'ambient_temp', 'pressure_level')
+union all
+select null, null, null, reason, (select count(distinct machine_id) from raw_log where machine_id % 2 = 1)::double
+from (values ('torn'), ('rpm')) as reasons(reason)""",
     ),
     "spc_limits": q(LIMITS, f"select entity_group, sensor, {r('mean')}, {r('std')}, {ROUND_LIMITS} from limits"),
     "catalog": q(
@@ -561,5 +569,7 @@ ORACLE["monitored_history"] = ORACLE["ewma_spc"]
 ORACLE["ingest_two_batches"] = ORACLE["ingest"]
 ORACLE["incremental_averages"] = ORACLE["incremental_late"] = ORACLE["ewma_spc"]
 ORACLE["incremental_events"] = ORACLE["pm_event_sensor_history"]
+for _name in ("ewma_spc", "multi_sensor_health", "pm_events"):
+    ORACLE[f"{_name}_by_series"] = ORACLE[_name]
 for _name in ("ewma_spc", "maintenance_block", "pm_events", "multi_sensor_health", "fleet_boxplot_stats"):
     ORACLE[f"{_name}_cut"] = ORACLE[_name]

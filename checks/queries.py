@@ -21,7 +21,8 @@ from fleetspc.plans import incremental, outputs
 from fleetspc.plans.setup import SensorTables, ingest
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, SERIES_KEYS
 from fleetspc.sources.events_log import machine_log
-from fleetspc.sources.tables import write_frame
+from fleetspc.sources.logs import read_csv_logs
+from fleetspc.sources.tables import read_series, write_frame, write_series
 from fleetspc.sources.workspace import materialize, new_path, shared_folder
 
 _tables: dict[tuple[str, str], SensorTables] = {}
@@ -89,6 +90,32 @@ def ingested(spark, sf_dir):
     return rounded(stored.join(t.limits, CHART_KEYS, "left"), "mean", "std", *LIMITS)
 
 
+# Fixed values of the checks: machine types that a log may name, and what its files call its columns.
+_SHUFFLED = ["machine_type", "rpm", "timestamp", "operating_mode", "machine_id", "ambient_temp", "pressure_level", "plant"]
+
+
+def csv_folder(spark, sf_dir):
+    """Readings of a log whose files have their columns in different orders, and torn rows per reason."""
+    raw = materialize(raw_log(spark, sf_dir), "raw-log")
+    folder = new_path(spark, "csv-log")
+    text = raw.select([F.col(c).cast("string").alias(c) for c in raw.columns])
+    odd = F.col("machine_id") % 2 == 1
+    text.where(~odd).write.option("header", True).csv(f"{folder}/even")
+    # Another order, columns that are missing, and one that no log knows.
+    text.where(odd).withColumn("plant", F.lit("x,y")).select(_SHUFFLED).write.option("header", True).csv(f"{folder}/odd")
+    # One row too short and one with a word for a number, for each of these machines.
+    ids = raw.where(odd).select(F.col("machine_id").cast("string").alias("id")).distinct()
+    lines = F.array(F.concat("id", F.lit(",2024-01-01")), F.concat("id", F.lit(",2024-01-01 00:00:00,fast")))
+    plain = ids.select(F.explode(lines).alias("machine_id,timestamp,rpm")).write.option("header", True).option("quote", "")
+    plain.option("sep", "|").csv(f"{folder}/torn")
+    log, rejected = read_csv_logs(spark, f"{folder}/*")
+    long = ingesting.unpivot_sensors(ingesting.derive_entity(log)).select("entity", "ts", "operating_mode", "sensor", "value")
+    counted = rejected.groupBy(F.col("reason").alias("sensor")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    nothing = F.lit(None).cast("string")
+    counted = counted.select(nothing.alias("entity"), moment(None).alias("ts"), nothing.alias("operating_mode"), "sensor", "value")
+    return long.unionByName(counted)
+
+
 def plant_of_logs(spark, sf_dir, name: str, *when: Column) -> incremental.Plant:
     """The log of a plant, arriving in the parts that the conditions make of it, each in time or late."""
     raw = materialize(raw_log(spark, sf_dir), "raw-log")
@@ -256,6 +283,34 @@ def monitored_history(spark, sf_dir):
     return rounded(processed(sensor_tables(spark, sf_dir)), "ewma", *LIMITS)
 
 
+# --- the same on the table stored by series, whose plans shuffle nothing -----------------------
+
+BUCKETS = 16
+_by_series: dict[tuple[str, str], str] = {}
+
+
+def stored_by_series(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t, key = sensor_tables(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _by_series:
+        _by_series[key] = new_path(spark, "by-series")
+        write_series(t.long, _by_series[key], BUCKETS)
+    return read_series(spark, _by_series[key]), t.limits
+
+
+def ewma_spc_by_series(spark, sf_dir):
+    long, limits = stored_by_series(spark, sf_dir)
+    return rounded(outputs.monitored_history(long, limits), "ewma", *LIMITS)
+
+
+def multi_sensor_health_by_series(spark, sf_dir):
+    df = health.multi_sensor_health(extract.sensor_history(*stored_by_series(spark, sf_dir)))
+    return rounded(df, *_HEALTH_DOUBLES, "ooc_rate_2d", "ewma_slope_z_per_day_24h")
+
+
+def pm_events_by_series(spark, sf_dir):
+    return extract.pm_events(stored_by_series(spark, sf_dir)[0])
+
+
 # --- summaries ------------------------------------------------------------------------------
 
 
@@ -619,6 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derive_entity": derive_entity,
     "unpivot_sensors": unpivot_sensors,
     "ingest": ingested,
+    "csv_folder": csv_folder,
     "ingest_two_batches": ingest_two_batches,
     "incremental_averages": incremental_averages,
     "incremental_late": incremental_late,
@@ -645,6 +701,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ewma_spc": ewma_spc,
     "ewma_violation_variant": ewma_violation_variant,
     "monitored_history": monitored_history,
+    "ewma_spc_by_series": ewma_spc_by_series,
+    "multi_sensor_health_by_series": multi_sensor_health_by_series,
+    "pm_events_by_series": pm_events_by_series,
     "fleet_ooc_summary": fleet_ooc_summary,
     "fleet_ooc_table": fleet_ooc_table,
     "fleet_ooc_report": fleet_ooc_report,

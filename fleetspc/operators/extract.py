@@ -5,13 +5,14 @@ Frames come back unordered; sort them where they are shown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import is_normal, where_entity, where_time_range
 from fleetspc.operators.series import split_series
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, LIMIT_COLUMNS
 
+# The columns of the histories.
 SENSOR_HISTORY = [
     "entity",
     "entity_group",
@@ -89,39 +90,35 @@ def entity_all_sensor_history(long, limits, entity_group: str, entity=None, star
     return join_limits(rows, limits).select(ALL_SENSOR_HISTORY)
 
 
-def event_ticks(rows: DataFrame, cuts=None, within: tuple[str, ...] = ()) -> DataFrame:
-    """Instants with a maintenance event: `_events` (hours_pre_pm, failure_type), and `_readings` then.
+def readings_at_events(rows: DataFrame, cuts=None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Normal-mode readings of instants with a maintenance event, once per event, and `_last` of each event.
 
-    `rows` are normal-mode readings. One shuffle brings an entity together; the readings of an
-    instant become one row, whose size is the number of readings at that instant, and the next
-    instant tells whether the hours drop. Columns that are not asked for later are pruned, arrays
-    included. `within` names columns that divide an entity's rows further, such as a request id.
+    `rows` are normal-mode readings. A tick is an instant with its hours and failure type, and an
+    event is a tick whose next one has fewer hours. One sort per entity: the last reading of a
+    tick sees the next tick, and its finding holds for all readings of the tick. `_last` is true
+    for one reading of each event. `within` names columns that divide an entity's rows further,
+    such as a request id.
     """
     s = split_series(rows, ENTITY_KEYS, cuts, within)
-    keys = list(dict.fromkeys([*s.by, *within, *ENTITY_KEYS]))
-    tick = F.struct(F.col("hours_since_maintenance").alias("hours_pre_pm"), "failure_type")
-    taken = F.struct(*[c for c in ("operating_mode", "sensor", "value") if c in rows.columns])
-    ticks = s.rows.repartition(*s.by).groupBy(*keys, "ts").agg(
-        F.array_sort(F.collect_set(tick)).alias("_ticks"), F.collect_list(taken).alias("_readings")
-    )
-    ticks = ticks.withColumn("_next", F.lead(F.get("_ticks", F.lit(0))).over(s.window("ts")))
-    following = F.col("_next")
+    hours = F.col("hours_since_maintenance")
+    tick = ["ts", "hours_since_maintenance", "failure_type"]
+    following = F.lead(F.struct(*tick)).over(s.window(*tick))
+    ticks = s.rows.withColumn("_next", following)
+    same = F.lit(True)
+    for c in tick:
+        same = same & F.col(c).eqNullSafe(F.col("_next")[c])
+    ticks = ticks.withColumn("_last", F.col("_next").isNull() | ~same)
+    next_hours = F.col("_next.hours_since_maintenance")
     if s.split:
-        head = F.min(F.struct("ts", F.get("_ticks", F.lit(0)).alias("tick")))
-        ticks = s.carry(ticks, {"_head": head}, {"_next_head": lambda up, down: F.lead("_head").over(up)})
-        following = F.coalesce(following, F.col("_next_head.tick"))
-    after = F.transform("_ticks", lambda t, i: F.struct(t.alias("tick"), F.coalesce(F.get("_ticks", i + 1), following).alias("next")))
-    drops = F.filter(after, lambda p: p["tick"]["hours_pre_pm"] > p["next"]["hours_pre_pm"])
-    events = F.transform(drops, lambda p: p["tick"])
-    return ticks.select(*within, *ENTITY_KEYS, "ts", events.alias("_events"), "_readings").where(F.size("_events") > 0)
-
-
-def readings_at_events(ticks: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """Every reading of event_ticks, once per event at its instant."""
-    keys = [*within, *ENTITY_KEYS, "ts"]
-    return ticks.select(*keys, "_readings", F.inline("_events")).select(
-        *keys, "hours_pre_pm", "failure_type", F.inline("_readings")
-    )
+        ticks = s.carry(ticks, {"_head": F.min(F.struct(*tick))}, {"_next_head": lambda up, down: F.lead("_head").over(up)})
+        # The last reading of a chunk has no next one in it; ticks are never cut.
+        next_hours = F.when(F.col("_next").isNull(), F.col("_next_head.hours_since_maintenance")).otherwise(next_hours)
+    drops = F.col("_last") & F.coalesce(hours > next_hours, F.lit(False))
+    of_tick = Window.partitionBy(*s.by, *tick)
+    events = ticks.withColumn("_drops", F.max(drops).over(of_tick)).where("_drops")
+    named = {"hours_since_maintenance": "hours_pre_pm"}
+    kept = [c for c in ("operating_mode", "sensor", "value") if c in rows.columns]
+    return events.withColumnsRenamed(named).select(*within, *ENTITY_KEYS, "ts", "hours_pre_pm", "failure_type", *kept, "_last")
 
 
 def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=None) -> DataFrame:
@@ -132,7 +129,7 @@ def pm_events(long: DataFrame, *, entity_group=None, entity=None, start_ts=None,
     """
     rows = normal_readings(long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
     rows = rows.select(*ENTITY_KEYS, "ts", "hours_since_maintenance", "failure_type", "operating_mode")
-    return event_ticks(rows, cuts).select(*ENTITY_KEYS, "ts", F.inline("_events"))
+    return readings_at_events(rows, cuts).where("_last").select(*ENTITY_KEYS, "ts", "hours_pre_pm", "failure_type")
 
 
 def pm_event_readings(long: DataFrame, events: DataFrame, **filters) -> DataFrame:
@@ -144,7 +141,7 @@ def pm_event_readings(long: DataFrame, events: DataFrame, **filters) -> DataFram
 def pm_event_history(long, limits, *, entity_group=None, entity=None, start_ts=None, end_ts=None, cuts=None) -> DataFrame:
     """Readings and limits at each maintenance event, for any choice of filters: one scan, one shuffle."""
     rows = normal_readings(long, entity_group=entity_group, entity=entity, start_ts=start_ts, end_ts=end_ts)
-    return join_limits(readings_at_events(event_ticks(rows, cuts)), limits).select(PM_HISTORY)
+    return join_limits(readings_at_events(rows, cuts), limits).select(PM_HISTORY)
 
 
 def pm_event_sensor_history(long, limits, entity_group: str, entity=None, start_ts=None, end_ts=None, *, cuts=None) -> DataFrame:

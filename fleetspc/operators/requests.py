@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import days_and_hours, micros_of
-from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, event_ticks, join_limits, normal_readings, readings_at_events
+from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, join_limits, normal_readings, readings_at_events
 from fleetspc.operators.health import HEALTH_PARAMETERS, health_within
 from fleetspc.operators.ingest import entities_by_group
 from fleetspc.operators.ranges import closed_end, match_segments
@@ -216,8 +216,7 @@ def batch_pm_events(
     maintenance events are answered. `cuts` is over (entity_group, entity).
     """
     rows = _matched(long, _of_kind(requests, True), bin_hours, series)
-    ticks = event_ticks(rows, cuts, within=("request_id",))
-    return join_limits(readings_at_events(ticks, ("request_id",)), limits).select("request_id", *PM_HISTORY)
+    return join_limits(readings_at_events(rows, cuts, within=("request_id",)), limits).select("request_id", *PM_HISTORY)
 
 
 def batch_ooc(

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import is_normal, one_sided_violation
 from fleetspc.operators.ewma import ROW_ORDER, check_alpha, ewma, maintenance_block
-from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, event_ticks, join_limits, normal_readings, readings_at_events
+from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, join_limits, normal_readings, readings_at_events
 from fleetspc.operators.ingest import derive_entity, limits_of_moments, unpivot_sensors
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, LIMIT_COLUMNS, SERIES_KEYS
 from fleetspc.sources.tables import read_long, write_long
@@ -190,10 +190,10 @@ def append_log(raw: DataFrame, folder: str, ewma_alpha: float = 0.2, *, files: i
 
     averages = _averages(rows, alpha, before.state("series") if before else None, cuts)
     candidates = rows if pending is None else rows.unionByName(pending)
-    events = readings_at_events(event_ticks(candidates, cuts=None))
+    events = readings_at_events(candidates)
     if again is not None:
         averages = averages.unionByName(_averages(again, alpha, None, None))
-        events = events.unionByName(readings_at_events(event_ticks(again, cuts=None)))
+        events = events.unionByName(readings_at_events(again))
         candidates = candidates.unionByName(again)
     averages.write.parquet(f"{here}/averages")
     events.select(_EVENTS).write.parquet(f"{here}/events")

@@ -34,7 +34,7 @@ SERIES_KEYS = ["entity_group", "entity", "sensor"]
 CHART_KEYS = ["entity_group", "sensor"]
 LIMIT_COLUMNS = ["ucl", "centerline", "lcl"]
 
-# Columns of a tick that stay beside every sensor reading.
+# The columns of a tick that stay beside every sensor reading, and of the tables.
 TICK_COLUMNS = [
     "ts",
     "entity",

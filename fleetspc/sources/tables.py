@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetspc.schemas import LIMITS, LONG, RAW
+from fleetspc.schemas import ENTITY_KEYS, LIMITS, LONG, RAW, SERIES_KEYS
 
 
 def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -66,6 +67,43 @@ def read_long(spark: SparkSession, *paths: str) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
+def write_series(long: DataFrame, path: str, buckets: int) -> None:
+    """Store the long table by series: what one machine measured is in one file, in order.
+
+    Files are buckets of (entity_group, entity), so averages, health and events, whose windows are
+    over series or machines, need no shuffle on the table read_series gives. `buckets` bounds how
+    many tasks such a question has, and a machine is never in two of them: take a few times
+    the cores, and keep write_long for tables in which one machine is larger than a task may be.
+    """
+    order = [*SERIES_KEYS, "ts", "hours_since_maintenance", "value"]
+    name = _series_name(path)
+    long.sparkSession.sql(f"drop table if exists {name}")
+    # Dealt as the buckets are, so that each is written by one task.
+    dealt = long.select(LONG.fieldNames()).repartition(buckets, *ENTITY_KEYS)
+    writer = dealt.write.format("parquet").bucketBy(buckets, *ENTITY_KEYS).sortBy(*order)
+    writer.option("path", f"{path}/files").saveAsTable(name)
+    long.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """The table of write_series, from any session: its layout is declared to this one's catalog."""
+    name = _series_name(path)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LONG.fields)
+        order = ", ".join([*SERIES_KEYS, "ts", "hours_since_maintenance", "value"])
+        keys = ", ".join(ENTITY_KEYS)
+        spark.sql(
+            f"create table {name} ({columns}) using parquet clustered by ({keys}) sorted by ({order}) into {buckets} buckets "
+            f"location '{path}/files'"
+        )
+    return spark.table(name)
+
+
+def _series_name(path: str) -> str:
+    return f"series_{sha256(path.encode()).hexdigest()[:24]}"
+
+
 def write_limits(limits: DataFrame, path: str) -> None:
     """Replace the limits table: one row per (entity_group, sensor)."""
     limits.write.mode("overwrite").parquet(path)

@@ -119,6 +119,8 @@ def test_small_sides_may_outgrow_broadcasting(spark, tables):
     finally:
         for s in settings:
             spark.conf.unset(s)
-    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans[:5])
+    # Filters of partitions at run time are in the plan too, and are empty where nothing is broadcast.
+    joins = [re.sub(r"SubqueryAdaptiveBroadcast", "", p) for p in plans[:5]]
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
     assert all("NestedLoop" not in p and "Cartesian" not in p for p in plans)
     assert all(a.equals(b) for a, b in zip(want, got))
