@@ -444,6 +444,10 @@ from ({event_summary()})""",
   {ROUND_LIMITS} from ew""",
     ),
     "fleet_boxplot_stats": q(HIST + box_cte("hist"), BOX),
+    "fleet_boxplot_chart": q(
+        HIST + box_cte("hist") + f", boxes as ({BOX})",
+        f"select boxes.*, {ROUND_LIMITS} from boxes left join limits using (entity_group, sensor)",
+    ),
     "fleet_boxplot_ewma": q(HIST + ewma_cte("hist", 0.2) + box_cte("ew", "ewma"), BOX),
     "fleet_boxplot_outliers": q(
         HIST + box_cte("hist"), "select entity_group, sensor, entity, ts, y from fenced where y < low or y > high"

@@ -392,6 +392,12 @@ def fleet_boxplot_stats(spark, sf_dir):
     return rounded(df, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+def fleet_boxplot_chart(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    df = charts.fleet_boxplot_chart(history(t), cuts=t.long_series)
+    return rounded(df, "q1", "median", "q3", "whisker_low", "whisker_high", *LIMITS)
+
+
 def fleet_boxplot_ewma(spark, sf_dir):
     t = sensor_tables(spark, sf_dir)
     df = charts.fleet_boxplot_stats(processed(t), show_ewma=True, cuts=t.long_series)
@@ -717,6 +723,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spc_chart_series": spc_chart_series,
     "fleet_trend_series": fleet_trend_series,
     "fleet_boxplot_stats": fleet_boxplot_stats,
+    "fleet_boxplot_chart": fleet_boxplot_chart,
     "fleet_boxplot_ewma": fleet_boxplot_ewma,
     "fleet_boxplot_outliers": fleet_boxplot_outliers,
     "ewma_spc_cut": ewma_spc_cut,

@@ -208,6 +208,14 @@ def fleet_boxplot_stats(df: DataFrame, entity_group=None, sensor=None, *, show_e
     )
 
 
+def fleet_boxplot_chart(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=None) -> DataFrame:
+    """fleet_boxplot_stats with the limit lines of the chart: the last limits of its group and sensor."""
+    boxes = fleet_boxplot_stats(df, entity_group, sensor, show_ewma=show_ewma, cuts=cuts)
+    limits = materialize(latest_limits(chart_rows(df, entity_group, sensor)), "chart-limits")
+    same = [boxes[k].eqNullSafe(limits[k]) for k in CHART_KEYS]
+    return boxes.join(limits, same, "left").select(*[boxes[c] for c in boxes.columns], *LIMIT_COLUMNS)
+
+
 def fleet_boxplot_outliers(df: DataFrame, entity_group=None, sensor=None, *, show_ewma: bool = False, cuts=None) -> DataFrame:
     """The readings beyond the whiskers, one row each."""
     fenced = _boxed(df, entity_group, sensor, show_ewma, cuts)

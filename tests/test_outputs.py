@@ -212,3 +212,13 @@ def test_box_finds_large_groups_itself(history, monkeypatch):
     want = as_set(charts.fleet_boxplot_stats(df))
     monkeypatch.setattr(charts, "ROWS_PER_CHUNK", 10)
     assert as_set(charts.fleet_boxplot_stats(df)) == want
+
+
+def test_boxes_have_the_limits_of_their_chart(history):
+    from fleetspc.operators.charts import fleet_boxplot_chart
+
+    rows = [reading("CPR01", at=t, value=float(t), ucl=9.0 if t < 5 else 8.0, centerline=1.0) for t in range(8)]
+    rows += [reading("CPR02", at=9, value=1.0), reading(None, "temp", at=1, value=2.0, group=None, lcl=-1.0)]
+    got = as_set(fleet_boxplot_chart(history(*rows)), "entity", "n", "median", "ucl", "centerline", "lcl")
+    assert got == sorted([("CPR01", 8, 3.5, 8.0, 1.0, None), ("CPR02", 1, 1.0, 8.0, 1.0, None), (None, 1, 2.0, None, None, -1.0)], key=repr)
+    assert fleet_boxplot_chart(history(*rows), "CPR", "temp").count() == 0
