@@ -1,14 +1,15 @@
 """Line deduplication by an edit join on segments, in DataFrame operations only.
 
-A line is dropped when the same line stands earlier in the corpus, or a different earlier line is
-within `max_edits` insertions, deletions and substitutions of code points. Earlier means smaller
-(doc_id, hash of the text, line number); NULL ids come first. Lines shorter than `min_chars` are
-never compared and always stay: braces, bullets and headings repeat for good reasons.
+A line is dropped when the same line stands earlier in the corpus, or a near one does. Lines are
+near within `max_edits` insertions, deletions and substitutions of code points, and at most one for
+every `chars_per_edit` characters of the shorter: "Step 1" and "Step 2" are different lines.
+Earlier means smaller (doc_id, hash of the text, line number); NULL ids come first. Equal lines are
+found at any length. Lines of white space only hold nothing to repeat and stay where they are.
 
 Two lines within k edits share one of k + 1 segments of the shorter one, at a place that the
-difference of their lengths bounds. So the k + 1 segments of every distinct line are indexed under
-(length, segment number, segment), each line looks up the few substrings at those places, and
-what meets is verified by a banded bit-parallel edit distance.
+difference of their lengths bounds. So the k + 1 segments of every distinct line, k being what its
+length allows, are indexed under (length, segment number, segment), each line looks up the few
+substrings at those places, and what meets is verified by a banded bit-parallel edit distance.
 
 NULL text is empty. Rows with the same doc_id and text count as one document and get the same
 result. Columns other than doc_id and text are not looked at and pass through.
@@ -26,7 +27,7 @@ from fleetspc.llm.frames import same, small, text_or_empty
 from fleetspc.sources.workspace import materialize
 
 MAX_EDITS = 2
-MIN_CHARS = 32
+CHARS_PER_EDIT = 16
 
 # Letters whose numbers are compared before two lines are: one edit changes at most two of these
 # numbers, by one each. Any letters are right; frequent ones tell more lines apart.
@@ -34,16 +35,18 @@ COUNTED = "etaoinsrhldcumfpg"
 
 ORDER = "struct<doc_id:bigint,text_key:bigint,line_no:int>"
 
+INKED = r"[^\x20\x09-\x0D]"
 
-def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_key, line_no, line, line_key) of every line long enough to compare."""
+
+def document_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, line, line_key) of every line that is not white space."""
     text = text_or_empty()
     lines = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_key"),
         F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
     )
-    return lines.where(F.length("line") >= min_chars).withColumn("line_key", F.unhex(F.md5("line")))
+    return lines.where(F.col("line").rlike(INKED)).withColumn("line_key", F.unhex(F.md5("line")))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -58,32 +61,52 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return found.withColumn("id", F.xxhash64("line_key").bitwiseAND(F.lit(-2)))
 
 
-def segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
+def allowed_edits(length: Column, max_edits: int, chars_per_edit: int) -> Column:
+    """Edits within which a line of this length, the shorter of two, is near the other."""
+    return F.least(F.lit(max_edits), F.floor(length / chars_per_edit)).cast("int")
+
+
+def segment_keys(lines: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """(bucket, entry) rows: a line's own segments and the substrings it looks up.
 
     Segment number i of a line of length l starts at p. A line longer by d, in which it may stand
     unchanged, has it at p + s, where the edits to its left and right bound s: at most i and at
-    most max_edits - i from either end. The lowest bit of an entry marks an own segment.
+    most edits - i from either end. The lowest bit of an entry marks an own segment. A line looks
+    for shorter ones under the edits that their lengths allow.
     """
-    n, parts = F.length("line"), max_edits + 1
-    keys = []
-    for d in range(parts):
-        length = n - d
+    n = F.length("line")
+
+    def keys(d: int, edits: int) -> list[Column]:
+        length, parts, found = n - d, edits + 1, []
         base = F.floor(length / parts).cast("int")
         short = F.lit(parts) - F.pmod(length, F.lit(parts))
         for i in range(parts):
             start = base * i + F.greatest(F.lit(i) - short, F.lit(0))
             size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-            for s in range(max(-i, d - (max_edits - i)), min(i, d + max_edits - i) + 1):
+            for s in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
                 piece = F.substring("line", start + s + 1, size)
                 own = 1 if d == 0 and s == 0 else 0
-                keys.append(
+                found.append(
                     F.struct(
                         F.xxhash64(length, F.lit(i), piece).alias("bucket"),
                         F.col("id").bitwiseOR(F.lit(own)).alias("entry"),
                     )
                 )
-    return lines.select(F.inline(F.array(*keys)))
+        return found
+
+    none = F.array().cast("array<struct<bucket:bigint,entry:bigint>>")
+
+    def keys_by_length(d: int) -> Column:
+        edits = allowed_edits(n - d, max_edits, chars_per_edit)
+        chosen = none
+        for e in range(max(d, 1), max_edits + 1):
+            chosen = F.when(edits == e, F.array(*keys(d, e))).otherwise(chosen)
+        return chosen
+
+    # Most lines allow for all edits, whatever they are compared with, and need no choice.
+    whole = F.array(*[key for d in range(max_edits + 1) for key in keys(d, max_edits)])
+    chosen = F.concat(*[keys_by_length(d) for d in range(max_edits + 1)])
+    return lines.select(F.inline(F.when(n >= max_edits * (chars_per_edit + 1), whole).otherwise(chosen)))
 
 
 def _through(value: Column, *steps) -> Column:
@@ -189,14 +212,14 @@ def edit_distance(a: str, b: str, max_edits: int) -> Column:
     return _through(pair, heads, tails, middles, lambda s: _banded_distance(s["a"], s["b"], max_edits))
 
 
-def line_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def line_links(distinct: DataFrame, max_edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(line_key_a, first_a, line_key_b, first_b, distance), once for each pair of near lines, stored.
 
     Buckets with one line only go in the shuffle that forms them. Lines of one bucket meet only if
     their letter counts allow for it, so lines that share a long passage but differ in a word or
     two are told apart inside the join.
     """
-    entries = segment_keys(distinct.select("id", "line"), max_edits)
+    entries = segment_keys(distinct.select("id", "line"), max_edits, chars_per_edit)
     bucket = Window.partitionBy("bucket")
     own = F.col("entry").bitwiseAND(F.lit(1)) == 1
     shared = (
@@ -225,22 +248,24 @@ def line_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
         )
 
     texts = pairs.join(named("a", "a"), "id_a").join(named("b", "b"), "id_b")
-    measured = texts.select("line_key_a", "first_a", "line_key_b", "first_b", edit_distance("a", "b", max_edits).alias("distance"))
+    measured = texts.select(
+        "line_key_a", "first_a", "line_key_b", "first_b", edit_distance("a", "b", max_edits).alias("distance"),
+        allowed_edits(F.least(F.length("a"), F.length("b")), max_edits, chars_per_edit).alias("allowed"),
+    )
     # Stored before the filter, which would otherwise compute the distance again below the join.
-    return materialize(measured, "line-links").where(F.col("distance") <= max_edits)
+    return materialize(measured, "line-links").where(F.col("distance") <= F.col("allowed")).drop("allowed")
 
 
-def repeated_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Documents that hold a repeated or a near line, one row per (doc_id, text_key).
 
-    `lines` are structs (line_no, n_links, dropped), n_links being the different lines within
-    max_edits of it.
+    `lines` are structs (line_no, n_links, dropped), n_links being the different lines near it.
     """
-    if min_chars < (max_edits + 1) ** 2:
-        raise ValueError("min_chars must be at least (max_edits + 1) squared")
-    lines = document_lines(docs, min_chars)
+    if chars_per_edit < 2:
+        raise ValueError("chars_per_edit must be at least 2, so that no segment is empty")
+    lines = document_lines(docs)
     distinct = materialize(distinct_lines(lines), "lines", compression="zstd")
-    links = line_links(distinct, max_edits)
+    links = line_links(distinct, max_edits, chars_per_edit)
     ends = links.select(F.col("line_key_a").alias("line_key"), F.col("first_b").alias("other")).unionByName(
         links.select(F.col("line_key_b").alias("line_key"), F.col("first_a").alias("other"))
     )
@@ -263,20 +288,20 @@ def repeated_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: in
     )
 
 
-def with_repeated_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def with_repeated_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """`docs` with `line_marks`, the structs of repeated_lines; NULL where a document has none."""
-    found = repeated_lines(docs, max_edits=max_edits, min_chars=min_chars)
+    found = repeated_lines(docs, max_edits=max_edits, chars_per_edit=chars_per_edit)
     found = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("lines").alias("line_marks"))
     keyed = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text_or_empty()) == F.col("_text_key"))
     return docs.join(found, keyed, "left").drop("_doc_id", "_text_key")
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`docs` without the repeated lines in their texts; a document that loses all of them goes.
+def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """`docs` without the repeated lines in their texts; a document left with white space only goes.
 
-    A document of empty text stays as it is.
+    A document that loses no line stays as it is, empty or not.
     """
-    marked = with_repeated_lines(docs, max_edits=max_edits, min_chars=min_chars)
+    marked = with_repeated_lines(docs, max_edits=max_edits, chars_per_edit=chars_per_edit)
     lines = F.split("text", "\n")
     dropped = F.transform(F.filter("line_marks", lambda m: m["dropped"]), lambda m: m["line_no"])
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
@@ -284,4 +309,4 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     changed = F.size(dropped) > 0
     marked = marked.withColumn("_kept", F.when(changed, F.size(kept)))
     marked = marked.withColumn("text", F.when(changed, cleaned).otherwise(F.col("text")))
-    return marked.where(F.col("_kept").isNull() | (F.trim("text") != "")).select(*docs.columns)
+    return marked.where(F.col("_kept").isNull() | F.col("text").rlike(INKED)).select(*docs.columns)

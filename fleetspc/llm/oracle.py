@@ -6,26 +6,27 @@ lines as (
   select doc_id, unnest(range(len(parts))) as line_no, unnest(parts) as line
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
 ),
-long_lines as (select * from lines where length(line) >= 32),
+inked_lines as (select * from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 firsts as (
-  select line, count(*) as copies, min({'d': doc_id, 'l': line_no}) as place from long_lines group by line
+  select line, count(*) as copies, min({'d': doc_id, 'l': line_no}) as place from inked_lines group by line
 ),
--- An edit of a code point is at most four edits of bytes, which is what levenshtein counts.
+-- An edit of a code point is at most four edits of bytes, which is what levenshtein counts. One edit
+-- is allowed for every 16 characters of the shorter line.
 pairs as (
-  select a.line as x, b.line as y, a.place as px, b.place as py
+  select a.line as x, b.line as y, a.place as px, b.place as py, least(2, length(b.line) // 16) as allowed
   from firsts a join firsts b on length(b.line) between length(a.line) - 2 and length(a.line) and a.line <> b.line
     and (length(b.line) < length(a.line) or b.line < a.line)
-  where levenshtein(a.line, b.line) <= 8
+  where length(b.line) >= 16 and levenshtein(a.line, b.line) <= 8
 ),
 -- Up to two edits: go past what both begin with, then spend an edit in one of three ways.
 walk as (
-  select x, y, x as a, y as b, 0 as spent from pairs
+  select x, y, x as a, y as b, 0 as spent, allowed from pairs
   union all
-  select x, y, a[p + 1 + da:], b[p + 1 + db:], spent + 1
+  select x, y, a[p + 1 + da:], b[p + 1 + db:], spent + 1, allowed
   from (
     select *, coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), true) - 1,
                        least(length(a), length(b))) as p
-    from walk where spent < 2 and a <> b
+    from walk where spent < allowed and a <> b
   ), (values (0, 1), (1, 0), (1, 1)) as ways(da, db)
 ),
 near as (select distinct x, y from walk where a = b),
@@ -35,7 +36,7 @@ links as (select line, count(*) as n_links, min(other) as other from ends group
 marks as (
   select l.doc_id, l.line_no, coalesce(n.n_links, 0) as n_links,
     {'d': l.doc_id, 'l': l.line_no} <> f.place or coalesce(n.other < f.place, false) as dropped
-  from long_lines l join firsts f using (line) left join links n using (line)
+  from inked_lines l join firsts f using (line) left join links n using (line)
 ),
 per_doc as (
   select doc_id, count(*) filter (dropped) as n_dropped, sum(n_links) as n_links,
