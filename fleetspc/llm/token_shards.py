@@ -81,11 +81,10 @@ def stride(sequence: int, kind: str) -> int:
 
 
 def make_sequences(docs: DataFrame, tokenizer_path: str, kind: str, sequence: int, end_id: int) -> DataFrame:
-    """(task, number, record): numbers run from 0 within each task."""
+    """(task, number, record): numbers run from 0 within each task; records end with their ids."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, task, number = TextTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        size = stride(sequence, kind) - 1
         records = []
 
         def framed() -> pd.DataFrame:
@@ -98,7 +97,7 @@ def make_sequences(docs: DataFrame, tokenizer_path: str, kind: str, sequence: in
                 for at in range(0, len(whole), step):
                     piece = whole[at : at + step]
                     head = struct.pack(HEAD, NO_DOC if doc is None else int(doc), at // int(kind[-1]), len(piece) // int(kind[-1]))
-                    records.append((head + piece).ljust(size, b"\0"))
+                    records.append(head + piece)
                     number += 1
                     if len(records) == RECORDS:
                         yield framed()
@@ -137,8 +136,10 @@ def write_shards(
     placed = stored.join(F.broadcast(tasks.drop("n")), "task").withColumn("slot", slot(F.col("number") + F.col("first")))
     placed = placed.select("slot", F.floor(F.col("slot") / rows_per_shard).alias("shard"), "record")
     shards = -(-total // rows_per_shard)
-    dealt = placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
-    dealt.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(f"{folder}/shards")
+    # A partition is the range of slots of one shard. Records get their full length as they are written.
+    dealt = placed.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    full = F.rpad("record", stride(sequence, kind) - 1, F.lit(b"\0"))
+    dealt.select(full.cast("string").alias("value"), "shard").write.partitionBy("shard").text(f"{folder}/shards")
     manifest = dict(
         sequences=total, sequence=sequence, ids=kind, stride=stride(sequence, kind), rows_per_shard=rows_per_shard,
         end_id=end_id, key=key,
