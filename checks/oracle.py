@@ -281,6 +281,26 @@ def scope(name: str, expected: str, actual: str) -> str:
   bool_and(status = 'ok') as ok from {compared(expected, actual)}"""
 
 
+def drawn(y: str, pixels: int, axis: str, shown: str) -> str:
+    """What shows of `ew`: the ends and extremes of each column of pixels, and every violation."""
+    return HIST + ewma_cte("hist", 0.2) + f""",
+timed as (
+  select {SERIES}, ts, {y} as y, {flag()} as violation, epoch_us(ts) as tick,
+    min(epoch_us(ts)) over (partition by {axis}) as low, max(epoch_us(ts)) over (partition by {axis}) as high from ew
+),
+placed as (select *, (tick - low) // ((high - low) // {pixels} + 1) as pixel from timed where y is not null),
+ranked as (
+  select *, row_number() over (spot order by ts, y) as from_first, row_number() over (spot order by ts desc, y desc) as from_last,
+    row_number() over (spot order by y, ts) as from_least, row_number() over (spot order by y desc, ts desc) as from_greatest
+  from placed window spot as (partition by {SERIES}, pixel, violation)
+),
+points as (
+  select distinct {SERIES}, pixel, ts, y, violation from ranked
+  where violation or 1 in (from_first, from_last, from_least, from_greatest)
+)
+select {SERIES}, pixel, ts, {shown}, violation from points"""
+
+
 def q(ctes: str, select: str) -> str:
     return f"with {ctes.strip()}\n{select}"
 
@@ -443,6 +463,8 @@ from ({event_summary()})""",
         f"""select {SERIES}, ts, value, {r('ewma')}, {r('case when ' + flag() + ' then ewma end', 'violation_ewma')},
   {ROUND_LIMITS} from ew""",
     ),
+    "spc_chart_drawn": q(drawn("value", 40, SERIES, "y as value"), ""),
+    "fleet_trend_drawn": q(drawn("ewma", 60, "entity_group, sensor", r("y", "ewma")), ""),
     "fleet_boxplot_stats": q(HIST + box_cte("hist"), BOX),
     "fleet_boxplot_chart": q(
         HIST + box_cte("hist") + f", boxes as ({BOX})",

@@ -386,6 +386,18 @@ def fleet_trend_series(spark, sf_dir):
     return rounded(df, "ewma", "violation_ewma", *LIMITS)
 
 
+def spc_chart_drawn(spark, sf_dir):
+    """Raw points of every series as they show on a chart of 40 columns."""
+    chart = charts.spc_chart_series(processed(sensor_tables(spark, sf_dir)))
+    return charts.drawn_points(chart, "value", pixels=40)
+
+
+def fleet_trend_drawn(spark, sf_dir):
+    """Averaged traces on the time axis of their fleet, 60 columns."""
+    trend = charts.fleet_trend_series(processed(sensor_tables(spark, sf_dir)))
+    return rounded(charts.drawn_points(trend, "ewma", pixels=60, axis=CHART_KEYS), "ewma")
+
+
 def fleet_boxplot_stats(spark, sf_dir):
     t = sensor_tables(spark, sf_dir)
     df = charts.fleet_boxplot_stats(history(t), cuts=t.long_series)
@@ -722,6 +734,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_limits": latest_limits,
     "spc_chart_series": spc_chart_series,
     "fleet_trend_series": fleet_trend_series,
+    "spc_chart_drawn": spc_chart_drawn,
+    "fleet_trend_drawn": fleet_trend_drawn,
     "fleet_boxplot_stats": fleet_boxplot_stats,
     "fleet_boxplot_chart": fleet_boxplot_chart,
     "fleet_boxplot_ewma": fleet_boxplot_ewma,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspc.functions.predicates import micros_of
 from fleetspc.operators.series import ROWS_PER_CHUNK
 from fleetspc.schemas import CHART_KEYS, LIMIT_COLUMNS, SERIES_KEYS, require_columns, with_limit_columns
 from fleetspc.sources.workspace import materialize
@@ -13,6 +17,9 @@ QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("q1", "median", "q3")
 BOX_KEYS = ["entity_group", "sensor", "entity"]
 
+# Columns of a chart: eight inches at a hundred dots.
+PIXELS = 800
+
 
 def chart_rows(df: DataFrame, entity_group=None, sensor=None, entity=None) -> DataFrame:
     """Rows of one chart; an argument that is not given does not filter."""
@@ -63,6 +70,59 @@ def fleet_trend_series(df: DataFrame, entity_group=None, sensor=None) -> DataFra
     )
 
 
+def drawn_points(
+    series: DataFrame, y: str, *, pixels: int = PIXELS, axis: list[str] | None = None, ts_range: tuple | None = None
+) -> DataFrame:
+    """The points of a chart that show: (series, pixel, ts, y, violation), each point once.
+
+    `series` are rows of spc_chart_series or fleet_trend_series. The time axis is cut into at most
+    `pixels` columns of equal width. Of the points in a column that are no violations, the first,
+    the last, the least and the greatest stay, which draw the same line as all of them; of equal
+    ones the earliest is the least and the latest the greatest. Every violation stays. So what is
+    drawn is bounded by the width of the chart and the violations, however long a series is.
+
+    The axis runs from the first to the last reading of a chart, `axis` being its keys (one series
+    unless given, CHART_KEYS for a fleet), or over `ts_range`, whose bounds belong to it; readings
+    outside it are not drawn. Points without `y` or time are not drawn; they end no axis if their
+    time is known. NULL keys are keys.
+
+    One aggregate that is combined before its shuffle: rows leave a task as points of columns.
+    """
+    require_columns(series, [*SERIES_KEYS, "ts", y], "drawn_points")
+    if pixels < 1:
+        raise ValueError("pixels must be at least 1")
+    marked = F.col("violation_ewma").isNotNull() if "violation_ewma" in series.columns else F.coalesce("violation", F.lit(False))
+    time = micros_of(F.col("ts"))
+    rows = series.select(*SERIES_KEYS, "ts", F.col(y).alias("_y"), marked.alias("violation"))
+    if ts_range is not None:
+        low, high = (micros_of(F.lit(bound).cast("timestamp_ntz")) for bound in ts_range)
+        rows = rows.where(F.col("ts").between(*[F.lit(bound).cast("timestamp_ntz") for bound in ts_range]))
+    else:
+        axis = list(axis or SERIES_KEYS)
+        ends = series.groupBy(*axis).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
+        # Stored, so that its size is known to the planner.
+        ends = materialize(ends.select(*[F.col(c).alias(f"_{c}") for c in axis], "_low", "_high"), "chart-axes")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in axis]
+        rows = rows.join(ends, reduce(and_, same))
+        low, high = F.col("_low"), F.col("_high")
+    # Rounded up, so that the last reading falls into the last column and products cannot overflow.
+    width = F.floor((high - low) / pixels) + 1
+    point = F.struct(F.col("ts").alias("ts"), F.col("_y").alias("y"))
+    height = F.struct(F.col("_y").alias("y"), F.col("ts").alias("ts"))
+    placed = rows.where(F.col("_y").isNotNull() & F.col("ts").isNotNull()).select(
+        *SERIES_KEYS, F.floor((time - low) / width).cast("long").alias("pixel"), "ts", "_y",
+        # A violation is a group of its own.
+        F.when(F.col("violation"), point).alias("_violation"),
+    )
+    columns = placed.groupBy(*SERIES_KEYS, "pixel", "_violation").agg(
+        F.min(point).alias("_first"), F.max(point).alias("_last"), F.min(height).alias("_least"), F.max(height).alias("_greatest")
+    )
+    heights = [F.struct(F.col(c)["ts"].alias("ts"), F.col(c)["y"].alias("y")) for c in ("_least", "_greatest")]
+    shown = F.explode(F.array_distinct(F.array("_first", "_last", *heights))).alias("_point")
+    drawn = columns.select(*SERIES_KEYS, "pixel", F.col("_violation").isNotNull().alias("violation"), shown)
+    return drawn.select(*SERIES_KEYS, "pixel", F.col("_point")["ts"].alias("ts"), F.col("_point")["y"].alias(y), "violation")
+
+
 def _flagged(df: DataFrame) -> DataFrame:
     return df if "spc_violation" in df.columns else df.withColumn("spc_violation", F.lit(False))
 

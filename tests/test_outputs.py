@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -12,7 +12,7 @@ from fleetspc.operators.slices import entity_subset, time_slice
 from fleetspc.operators.spc import ewma_spc
 from fleetspc.operators.summary import fleet_ooc_summary
 from fleetspc.plans import outputs
-from fleetspc.schemas import SERIES_KEYS
+from fleetspc.schemas import CHART_KEYS, SERIES_KEYS
 
 
 def hours_left(df):
@@ -120,6 +120,57 @@ def test_chart_series(history):
         charts.spc_chart_series(df.drop("ewma"), "CPR", "CPR01", "rpm")
 
 
+def test_drawn_points_against_a_plain_loop(spark):
+    """Ends and extremes of every column and all violations, with repeated rows, NULLs and NULL keys."""
+    rnd, start = random.Random(3), datetime(2024, 1, 1)
+    rows = []
+    for entity in ("CPR01", "CPR02", None, "empty"):
+        for _ in range(400 if entity != "empty" else 2):
+            y = None if entity == "empty" or rnd.random() < 0.05 else float(rnd.randint(0, 30))
+            ts = None if rnd.random() < 0.02 else start + timedelta(seconds=rnd.randint(0, 5_000))
+            rows.append(("CPR", entity, "rpm", ts, y, rnd.choice([True, *[False] * 30, None])))
+    rows += rows[:50]
+    df = spark.createDataFrame(
+        rows, "entity_group string, entity string, sensor string, ts timestamp_ntz, value double, violation boolean"
+    )
+
+    def plain(axis, pixels, low=None, high=None):
+        out = set()
+        for entity in {r[1] for r in rows}:
+            times = [r[3] for r in rows if r[3] and (axis == CHART_KEYS or r[1] == entity)]
+            a, b = (low, high) if low else (min(times), max(times))
+            micro = timedelta(microseconds=1)
+            width = (b - a) // micro // pixels + 1
+            columns = {}
+            for r in rows:
+                if r[1] == entity and r[3] and r[4] is not None and a <= r[3] <= b:
+                    pixel = (r[3] - a) // micro // width
+                    if r[5]:
+                        out.add((entity, pixel, r[3], r[4], True))
+                    else:
+                        columns.setdefault(pixel, set()).add((r[3], r[4]))
+            for pixel, points in columns.items():
+                by_height = sorted(points, key=lambda p: (p[1], p[0]))
+                for ts, y in (min(points), max(points), by_height[0], by_height[-1]):
+                    out.add((entity, pixel, ts, y, False))
+        return sorted(out, key=repr)
+
+    def got(**options):
+        shown = charts.drawn_points(df, "value", **options)
+        return as_set(shown, "entity", "pixel", "ts", "value", "violation")
+
+    assert got(pixels=20) == plain(SERIES_KEYS, 20)
+    assert got(pixels=20, axis=CHART_KEYS) == plain(CHART_KEYS, 20)
+    assert got(pixels=1) == plain(SERIES_KEYS, 1)
+    assert got() == plain(SERIES_KEYS, charts.PIXELS)
+    bounds = (start + timedelta(seconds=1_000), start + timedelta(seconds=2_000))
+    assert got(pixels=7, ts_range=bounds) == plain(SERIES_KEYS, 7, *bounds)
+    assert charts.drawn_points(df.limit(0), "value").count() == 0
+    for wrong in ({"y": "missing"}, {"y": "value", "pixels": 0}):
+        with pytest.raises((KeyError, ValueError)):
+            charts.drawn_points(df, **wrong)
+
+
 def box_of(values):
     q1, median, q3 = np.percentile(values, [25, 50, 75])
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
