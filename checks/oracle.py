@@ -590,6 +590,25 @@ b as (select entity, list(row(ts, hours_pre_pm, failure_type, ooc_sensors) order
 group by {PRINTED_COLUMNS} having sum(l) <> sum(n)""",
     ),
 }
+ORACLE["located_differences"] = ORACLE["differing_rows"]
+ORACLE["difference_tree"] = q(
+    LONG
+    + f""",
+copies as (
+  select {PRINTED_COLUMNS}, sum(l) as l, sum(n) as n from (
+    select {PRINTED_COLUMNS}, 1 as l, 0 as n from {NO_AMBIENT.format('long')}
+    union all select {PRINTED_COLUMNS}, 0, 1 from {ALTERED.format('long')})
+  group by {PRINTED_COLUMNS}
+),
+nodes as (
+  select 3 - bit_count(grouping_id(entity_group, entity, sensor)) as level, entity_group, entity, sensor,
+    sum(l) as l, sum(n) as n, bool_or(l <> n) as differs
+  from copies group by rollup (entity_group, entity, sensor)
+)""",
+    """select cast(level as int) as level, entity_group, entity, sensor, cast(l as bigint) as rows_original, cast(n as bigint) as rows_repeated,
+  case when n = 0 then 'missing' when l = 0 then 'extra' else 'mismatched' end as status
+from nodes where differs""",
+)
 ORACLE["monitored_history"] = ORACLE["ewma_spc"]
 # However many logs brought the readings.
 ORACLE["ingest_two_batches"] = ORACLE["ingest"]

@@ -683,6 +683,17 @@ def compare_runs(spark, sf_dir):
     return verify.compare_runs(original, summary.pm_event_ooc_summary(later), ["entity"])
 
 
+def difference_tree(spark, sf_dir):
+    df = printed(sensor_tables(spark, sf_dir))
+    both = (verify.table_fingerprint(side, SERIES_KEYS) for side in (without_cnc_ambient(df), altered(df)))
+    return verify.difference_tree(*both, SERIES_KEYS)
+
+
+def located_differences(spark, sf_dir):
+    df = printed(sensor_tables(spark, sf_dir))
+    return verify.located_differences(without_cnc_ambient(df), altered(df), CHART_KEYS)
+
+
 def differing_rows(spark, sf_dir):
     df = printed(sensor_tables(spark, sf_dir))
     return verify.differing_rows(without_cnc_ambient(df), altered(df))
@@ -760,4 +771,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verify_with_reuse": verify_with_reuse,
     "compare_runs": compare_runs,
     "differing_rows": differing_rows,
+    "difference_tree": difference_tree,
+    "located_differences": located_differences,
 }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetspc.functions.predicates import micros_of
+from fleetspc.sources.workspace import materialize
 
 FINGERPRINT = ["row_count", "digest_high", "digest_low"]
 
@@ -128,3 +131,54 @@ def differing_rows(original: DataFrame, repeated: DataFrame) -> DataFrame:
         .agg(F.sum("_l").alias("copies_original"), F.sum("_r").alias("copies_repeated"))
         .where(F.col("copies_original") != F.col("copies_repeated"))
     )
+
+
+def difference_tree(original: DataFrame, repeated: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Where two fingerprint frames differ, from the whole tables down to the values of `by`.
+
+    Fingerprints are sums, so those of a node are the sums of its children's: (level, by...,
+    rows_original, rows_repeated, status) for every node that differs, level being the number of
+    leading columns of `by` that are fixed, the others NULL; a NULL key is told from these by its
+    level. `missing` has no rows in the repeated table, `extra` none in the original. Only
+    fingerprints are read, and a repeated key counts with all its fingerprints.
+    """
+    signed = None
+    for df, other in ((original, False), (repeated, True)):
+        ours, theirs = ("_r", "_o") if other else ("_o", "_r")
+        sums = [F.col(c).cast("decimal(28,0)" if c != "row_count" else "long") for c in FINGERPRINT]
+        side = df.select(
+            *by, *[v.alias(f"{ours}_{c}") for c, v in zip(FINGERPRINT, sums)],
+            *[F.lit(0).cast("decimal(28,0)" if c != "row_count" else "long").alias(f"{theirs}_{c}") for c in FINGERPRINT],
+        )
+        signed = side if signed is None else signed.unionByName(side)
+    totals = [F.sum(f"{side}_{c}").alias(f"{side}_{c}") for side in ("_o", "_r") for c in FINGERPRINT]
+    level = (len(by) - F.bit_count(F.grouping_id())).cast("int").alias("level")
+    nodes = signed.rollup(*by).agg(level, *totals)
+    same = F.lit(True)
+    for c in FINGERPRINT:
+        same = same & F.col(f"_o_{c}").eqNullSafe(F.col(f"_r_{c}"))
+    status = F.when(F.col("_r_row_count") == 0, "missing").when(F.col("_o_row_count") == 0, "extra").otherwise("mismatched")
+    return nodes.where(~same).select(
+        "level", *by, F.col("_o_row_count").alias("rows_original"), F.col("_r_row_count").alias("rows_repeated"),
+        status.alias("status"),
+    )
+
+
+def located_differences(
+    original: DataFrame,
+    repeated: DataFrame,
+    by: Sequence[str],
+    fingerprints: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """differing_rows, reading again only the values of `by` whose fingerprints differ.
+
+    `fingerprints` are table_fingerprint(..., by) of both tables, exact and stored when the tables
+    were; without them both tables are read once for it. If `by` names the folders of a stored
+    table, the folders of equal values are not opened. NULL keys match each other.
+    """
+    known = fingerprints or tuple(table_fingerprint(df, by) for df in (original, repeated))
+    compared = materialize(manifest_compare(*known, by), "compared-keys")
+    unequal = compared.where(F.col("status") != "ok").select(*[F.col(c).alias(f"_{c}") for c in by])
+    # Structs are equal where both hold NULL, and unlike <=> their equality prunes folders at run time.
+    same = reduce(and_, [F.struct(F.col(c).alias("key")) == F.struct(F.col(f"_{c}").alias("key")) for c in by])
+    return differing_rows(*(df.join(unequal, same, "left_semi") for df in (original, repeated)))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_set, reading
 from fleetspc.operators import verify
+from fleetspc.sources.workspace import materialize, new_path
 
 
 def test_row_order_and_partitioning_do_not_matter(history):
@@ -71,3 +72,55 @@ def test_runs_and_differing_rows(history):
     assert as_set(verify.compare_runs(a, b, ["entity"])) == sorted([("A", "mismatched"), (None, "mismatched")], key=repr)
     got = as_set(verify.differing_rows(a, b), "entity", "value", "copies_original", "copies_repeated")
     assert got == sorted([("A", 1.0, 2, 1), (None, 1.0, 1, 0), (None, 2.0, 0, 1)], key=repr)
+
+
+def test_differences_are_found_from_the_top(history):
+    rows = [reading(entity, at=i, value=i / 3, sensor=sensor) for entity in ("CPR01", "CPR02", None) for sensor in ("rpm", "temp") for i in range(4)]
+    changed = [*rows[:-1], reading(None, at=3, value=9.0, sensor="temp"), reading("CPR03", sensor="rpm")]
+    changed = [r for r in changed if r != rows[0]] + [rows[9]]
+    by = ["entity_group", "entity", "sensor"]
+    a, b = history(*rows), history(*changed)
+    tree = verify.difference_tree(verify.table_fingerprint(a, by), verify.table_fingerprint(b, by), by)
+    assert as_set(tree) == sorted([
+        (0, None, None, None, 24, 25, "mismatched"),
+        (1, "CPR", None, None, 24, 25, "mismatched"),
+        (2, "CPR", "CPR01", None, 8, 7, "mismatched"), (2, "CPR", "CPR02", None, 8, 9, "mismatched"),
+        (2, "CPR", None, None, 8, 8, "mismatched"), (2, "CPR", "CPR03", None, 0, 1, "extra"),
+        (3, "CPR", "CPR01", "rpm", 4, 3, "mismatched"), (3, "CPR", "CPR02", "rpm", 4, 5, "mismatched"),
+        (3, "CPR", None, "temp", 4, 4, "mismatched"), (3, "CPR", "CPR03", "rpm", 0, 1, "extra"),
+    ], key=repr)
+    same = verify.table_fingerprint(a, by)
+    assert verify.difference_tree(same, same, by).count() == 0
+    assert as_set(verify.located_differences(a, b, by)) == as_set(verify.differing_rows(a, b)) != []
+    assert verify.located_differences(a, a, by).count() == 0
+    assert verify.located_differences(a.limit(0), b, by).count() == verify.differing_rows(a.limit(0), b).count()
+
+
+def test_equal_folders_are_not_read_again(spark, history):
+    rows = [reading(entity, at=i, value=float(i), sensor=f"s{j}") for entity in ("CPR01", "CPR02") for j in range(20) for i in range(3)]
+    paths, keys = [], ["entity_group", "sensor"]
+    for changed in (0.0, 1.0):
+        df = history(*rows).withColumn("value", F.when(F.col("sensor") == "s7", F.col("value") + changed).otherwise(F.col("value")))
+        paths.append(new_path(spark, "printed"))
+        df.write.partitionBy(*keys).parquet(paths[-1])
+    a, b = (spark.read.parquet(path) for path in paths)
+    stored = tuple(materialize(verify.table_fingerprint(df, keys), "fingerprints") for df in (a, b))
+    frame = verify.located_differences(a, b, keys, stored)
+    assert as_set(frame) == as_set(verify.differing_rows(a, b)) != []
+    frame.collect()
+    read = [
+        s.metrics().apply("numOutputRows").value() for s in scans(frame._jdf.queryExecution().executedPlan())
+        if any(path in s.relation().location().rootPaths().toString() for path in paths)
+    ]
+    assert read == [6, 6]
+
+
+def scans(node):
+    if "FileSourceScan" in node.getClass().getSimpleName():
+        yield node
+    if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+        yield from scans(node.executedPlan())
+    if "QueryStage" in node.getClass().getSimpleName():
+        yield from scans(node.plan())
+    for i in range(node.children().size()):
+        yield from scans(node.children().apply(i))
