@@ -180,6 +180,32 @@ def test_shards(spark, documents):
         assert sorted(token_shards.permuted(np.arange(total), total)) == list(range(total))
 
 
+def test_secrets_against_plain_patterns(spark, documents):
+    """Base spans of random texts, repeated blobs under several ids and a very long text; then a scan of what is new only."""
+    parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "AKIA", "é", '"', "'", " ", "  ", ":", "=", "\n", "\t", "0123abcd" * 2,
+             "ABCDEFGHIJKLMN", "x/y+z=_.-", "deadbeef", "f" * 16, "AKIA" + "Q" * 14, "𝄞"]
+    texts = ["".join(RND.choices(parts, k=RND.randint(0, 30))) for _ in range(400)]
+    texts += [*ODD, "".join(RND.choices(parts, k=20_000)), *texts[:40], texts[0]]
+
+    def plain(text):
+        text = text or ""
+        assign = [m.span() for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
+        access = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        hexes = [m.span() for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        found = [(a, i, b) for i, spans in enumerate((assign, access, hexes)) for a, b in spans]
+        return [(("assign", "access", "hex")[i], a, b) for a, i, b in sorted(found)]
+
+    docs = documents(*enumerate(texts))
+    folder, base = new_path(spark, "ledger"), {rule.kind for rule in secrets.BASE_RULES}
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in base] for r in secrets.find_secrets(docs, folder).collect()}
+    assert got == {doc: plain(text) for doc, text in enumerate(texts)} and sum(map(len, got.values())) > 300
+    more = documents(*enumerate([*texts, "token = brand/new/value", texts[1]]))
+    unseen = secrets.unseen_blobs(more, secrets.read_ledger(spark, folder), secrets.RULES, "text")
+    assert unseen.select("blob").distinct().count() == 1
+    again = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in base] for r in secrets.find_secrets(more, folder).collect()}
+    assert again == got | {len(texts): [("assign", 0, 23)], len(texts) + 1: plain(texts[1])}
+
+
 def test_shards_against_plain_order(spark, documents):
     """Ids by the tokenizer, slots by a permutation in whole numbers, bytes by the layout."""
     from tokenizers import Tokenizer
