@@ -260,6 +260,48 @@ def test_fingerprints(spark, documents):
     assert fingerprints.compare_with_next(documents((1, "x")).limit(0)).count() == 0
 
 
+def test_fingerprints_against_a_plain_digest(documents):
+    """Digests and likenesses in whole Python numbers, byte by byte."""
+    word, (one, two, three) = 2**32 - 1, fingerprints._MULTIPLIERS
+
+    def digest(text):
+        data, counts = text.encode(), [0] * fingerprints.BUCKETS
+        for k, (second, third) in enumerate(fingerprints.TRIPLETS):
+            for i in range(len(data) - third):
+                x = (data[i] + k + 1) * one & word
+                x = (x ^ data[i + second]) * two & word
+                x = (x ^ (x >> 15) ^ data[i + third]) * three & word
+                x = (x ^ (x >> 13)) * one & word
+                counts[x >> 24] += 1
+        ordered = sorted(counts)
+        quartiles = [ordered[63], ordered[127], ordered[191]]
+        codes = [sum(c > q for q in quartiles) for c in counts]
+        length = 0
+        while length < 255 and 1.1 ** (length + 1) <= len(data) + 1:
+            length += 1
+        return length, hashlib.sha256(data).digest()[0], codes
+
+    def hexed(d):
+        return bytes([d[0], d[1], *(sum(c << s for c, s in zip(d[2][i : i + 4], (6, 4, 2, 0))) for i in range(0, 256, 4))]).hex()
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        apart = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a[2], b[2])) + min(12, abs(a[0] - b[0])) + (a[1] != b[1])
+        return max(0.0, 1 - apart / 416)
+
+    texts = [*ODD, *(words(n) for n in (3, 40, 200, 900)), "ab", "abc", "abcd", "𝄞é" * 50]
+    texts += [texts[8], texts[9] + " more"]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(documents(*enumerate(texts))).collect()}
+    plain = [t or "" for t in texts]
+    for doc, text in enumerate(plain):
+        following, half = plain[doc - 1], len(text) // 2
+        edited = digest(text[: len(text) - half] + following[:half])
+        r, own = got[doc], digest(text)
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(own), hexed(edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((like(own, edited), like(own, digest(following))))
+
+
 def test_languages(documents):
     docs = documents((1, "the and of the", "en"), (2, "le la les des", "fr"), (3, None, "fr"), (4, "12 !", None), (5, "the les", None))
     profiles = languages.learn_profiles(docs)
