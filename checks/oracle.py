@@ -614,6 +614,50 @@ ORACLE["monitored_history"] = ORACLE["ewma_spc"]
 ORACLE["ingest_two_batches"] = ORACLE["ingest"]
 ORACLE["incremental_averages"] = ORACLE["incremental_late"] = ORACLE["ewma_spc"]
 ORACLE["incremental_events"] = ORACLE["pm_event_sensor_history"]
+_CPR = HIST + ", cpr as (select * from hist where entity_group = 'CPR' and sensor = 'vibration_rms')"
+_SEVERITY = "case health_status when 'ooc' then 0 when 'attention' then 1 when 'stable' then 2 else 3 end"
+ORACLE |= {
+    "series_extents": q(
+        LONG,
+        f"""select {SERIES}, cast(ts as date) as day, coalesce(operating_mode = 'normal', false) as normal, count(*) as n,
+  min(ts) as first_ts, max(ts) as last_ts from long group by all""",
+    ),
+    "guarded_run": q(
+        _CPR + ewma_cte("cpr", 0.2), f"select {HISTORY}, {r('ewma')}, {flag()} as spc_violation, {ROUND_LIMITS} from ew"
+    ),
+    "chart_filter": q(
+        _CPR + ", one as (select * from cpr where entity = 'CPR02')" + ewma_cte("one", 0.2),
+        f"select {SERIES}, ts, value, {r('ewma')}, {flag()} as violation, {ROUND_LIMITS} from ew",
+    ),
+    "limits_absent": q(
+        LONG,
+        """select entity_group, sensor, entity, count(*) as total_points, cast(0 as bigint) as ooc_points,
+  cast(0 as double) as percent_ooc, cast(null as double) as ucl, cast(null as double) as centerline, cast(null as double) as lcl
+from long where operating_mode = 'normal' group by all""",
+    ),
+    "extract_order": q(
+        LONG,
+        """select ts, entity, sensor, row_number() over (order by ts, entity, sensor) as place
+from long where operating_mode = 'normal' and entity_group = 'CPR'""",
+    ),
+    "severity_order": q(
+        HIST + health_cte("hist"),
+        f"""select health_status, abs({r('z').removesuffix(' as z')}) as latest_z_score,
+  row_number() over (order by {_SEVERITY}, abs(z) desc nulls last) as place from health""",
+    ),
+    "fleet_report_order": q(_CPR, "select entity, row_number() over (order by entity) as place from (select distinct entity from cpr)"),
+    "event_report_order": q(
+        LIMITS + events_cte() + event_history_cte(),
+        """select ts as timestamp, entity, row_number() over (order by ts, entity) as place
+from (select distinct ts, entity from pm_hist where entity_group = 'CPR')""",
+    ),
+}
+for _name in ("time_slice_run", "time_slice_replot", "entity_subset_slice"):
+    ORACLE[f"{_name}_kept"] = ORACLE[_name]
+ORACLE["chart_limits_kept"] = ORACLE["latest_limits"]
+ORACLE["extract_sink"] = ORACLE["fleet_sensor_history"]
+ORACLE["table_csv_sink"] = ORACLE["pm_event_table"]
+ORACLE["catalog_json_sink"] = ORACLE["catalog"]
 for _name in ("ewma_spc", "multi_sensor_health", "pm_events"):
     ORACLE[f"{_name}_by_series"] = ORACLE[_name]
 for _name in ("ewma_spc", "maintenance_block", "pm_events", "multi_sensor_health", "fleet_boxplot_stats"):

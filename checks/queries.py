@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetspc.operators import charts, ewma, extract, health, requests, spc, summary, verify
+from fleetspc.operators import charts, ewma, extents, extract, health, requests, spc, summary, verify
 from fleetspc.operators import ingest as ingesting
 from fleetspc.operators.series import find_long_series
 from fleetspc.operators.slices import time_slice
@@ -22,7 +22,7 @@ from fleetspc.plans.setup import SensorTables, ingest
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, SERIES_KEYS
 from fleetspc.sources.events_log import machine_log
 from fleetspc.sources.logs import read_csv_logs
-from fleetspc.sources.tables import read_series, write_frame, write_series
+from fleetspc.sources.tables import read_series, write_catalog_json, write_frame, write_series, write_table_csv
 from fleetspc.sources.workspace import materialize, new_path, shared_folder
 
 _tables: dict[tuple[str, str], SensorTables] = {}
@@ -196,6 +196,37 @@ def time_slice_replot(spark, sf_dir):
     return time_slice(df, end_ts="2024-01-20 06:00:00", window_days=5, mode="replot").select(_SLICED)
 
 
+def time_slice_run_kept(spark, sf_dir):
+    """The last three days, known from what ingest kept of each series."""
+    return outputs.sliced_history(sensor_tables(spark, sf_dir), window_days=3).select(_SLICED)
+
+
+def time_slice_replot_kept(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return outputs.sliced_history(t, end_ts="2024-01-20 06:00:00", window_days=5, mode="replot").select(_SLICED)
+
+
+def entity_subset_slice_kept(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return outputs.sliced_history(t, entities=["CPR02", "ARM03"], window_days=4).select(_SLICED)
+
+
+def series_extents(spark, sf_dir):
+    return sensor_tables(spark, sf_dir).extents
+
+
+def chart_limits_kept(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return rounded(extents.chart_limits(t.extents, t.limits), *LIMITS)
+
+
+def guarded_run(spark, sf_dir):
+    """Averages of a fleet's sensor, stored in one job that also tells whether the extract had rows."""
+    t = sensor_tables(spark, sf_dir)
+    extract_of = extract.fleet_sensor_history(t.long, t.limits, "CPR", "vibration_rms")
+    return rounded(outputs.stored_run(extract_of, spc.ewma_spc, new_path(spark, "guarded")), "ewma", *LIMITS)
+
+
 def entity_subset_slice(spark, sf_dir):
     df = history(sensor_tables(spark, sf_dir))
     return outputs.sliced(df, entities=["CPR02", "ARM03"], window_days=4).select(_SLICED)
@@ -398,6 +429,78 @@ def fleet_trend_drawn(spark, sf_dir):
     return rounded(charts.drawn_points(trend, "ewma", pixels=60, axis=CHART_KEYS), "ewma")
 
 
+def chart_filter(spark, sf_dir):
+    """One entity's chart out of a frame of all."""
+    df = processed(sensor_tables(spark, sf_dir))
+    return rounded(charts.spc_chart_series(df, "CPR", "CPR02", "vibration_rms"), "ewma", *LIMITS)
+
+
+def limits_absent(spark, sf_dir):
+    """Rates and chart limits of readings that came without limit columns."""
+    df = extract.normal_readings(sensor_tables(spark, sf_dir).long)
+    return summary.fleet_ooc_summary(df).join(charts.latest_limits(df), CHART_KEYS)
+
+
+# --- sinks and display orders -----------------------------------------------------------------
+
+
+def extract_sink(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    df = extract.fleet_sensor_history(t.long, t.limits, "CPR", "vibration_rms", None, "2024-01-25")
+    return rounded(write_frame(df, new_path(spark, "extract")), *LIMITS)
+
+
+def table_csv_sink(spark, sf_dir):
+    """The table of maintenance events as another program reads it from its CSV files."""
+    path = new_path(spark, "events-csv")
+    write_table_csv(pm_event_table(spark, sf_dir), path)
+    columns = "entity string, timestamp timestamp_ntz, hours_since_last_maintenance double, failure_type string, ooc_sensors string"
+    # Readers of CSV take an empty cell for NULL; an event without sensors has an empty one.
+    return spark.read.option("header", True).schema(columns).csv(path).na.fill("", ["ooc_sensors"])
+
+
+def catalog_json_sink(spark, sf_dir):
+    path = new_path(spark, "catalog-json")
+    write_catalog_json(catalog(spark, sf_dir), path)
+    return spark.read.schema("kind string, entity_group string, name string").json(path)
+
+
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a sorted frame and each row's place, from its partition and place therein."""
+    numbered = df.select(*columns, F.monotonically_increasing_id().alias("_id"))
+    stored = materialize(numbered, "placed").withColumns(
+        {"_part": F.shiftrightunsigned("_id", 33), "_in_part": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    # One row per partition of the sort.
+    parts = materialize(stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")), "placed-parts")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", before.alias("_before"))
+    return stored.join(parts, "_part").select(*columns, (F.col("_before") + F.col("_in_part") + 1).alias("place"))
+
+
+def extract_order(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return placed(outputs.in_time_order(extract.entity_all_sensor_history(t.long, t.limits, "CPR")), "ts", "entity", "sensor")
+
+
+def severity_order(spark, sf_dir):
+    """Status and score by place; scores that are equal but for the last bits may swap their sensors."""
+    df = health.multi_sensor_health(history(sensor_tables(spark, sf_dir)))
+    return rounded(placed(health.by_severity(df), "health_status", "latest_z_score"), "latest_z_score").withColumn(
+        "latest_z_score", F.abs("latest_z_score")
+    )
+
+
+def fleet_report_order(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return placed(outputs.fleet_ooc_report(t.long, t.limits, "CPR", "vibration_rms"), "entity")
+
+
+def event_report_order(spark, sf_dir):
+    t = sensor_tables(spark, sf_dir)
+    return placed(outputs.pm_event_report(t.long, t.limits, "CPR"), "timestamp", "entity")
+
+
 def fleet_boxplot_stats(spark, sf_dir):
     t = sensor_tables(spark, sf_dir)
     df = charts.fleet_boxplot_stats(history(t), cuts=t.long_series)
@@ -773,4 +876,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "differing_rows": differing_rows,
     "difference_tree": difference_tree,
     "located_differences": located_differences,
+    "time_slice_run_kept": time_slice_run_kept,
+    "time_slice_replot_kept": time_slice_replot_kept,
+    "entity_subset_slice_kept": entity_subset_slice_kept,
+    "series_extents": series_extents,
+    "chart_limits_kept": chart_limits_kept,
+    "guarded_run": guarded_run,
+    "chart_filter": chart_filter,
+    "limits_absent": limits_absent,
+    "extract_sink": extract_sink,
+    "table_csv_sink": table_csv_sink,
+    "catalog_json_sink": catalog_json_sink,
+    "extract_order": extract_order,
+    "severity_order": severity_order,
+    "fleet_report_order": fleet_report_order,
+    "event_report_order": event_report_order,
 }

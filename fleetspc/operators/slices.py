@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspc.functions.predicates import days_and_hours, entity_list, ts_literal
@@ -29,14 +29,17 @@ def entity_subset(df: DataFrame, entities=None) -> DataFrame:
     return df.where(F.col("entity").isin(names))
 
 
-def time_slice(df: DataFrame, start_ts=None, end_ts=None, window_days=None, mode: str = "run") -> DataFrame:
+def time_slice(
+    df: DataFrame, start_ts=None, end_ts=None, window_days=None, mode: str = "run", last: Column | None = None
+) -> DataFrame:
     """Keep start <= ts <= end, or the last `window_days` days before the frame's own last ts.
 
     mode "run", for outputs of a fresh frame: the window counts only when neither bound is
     given, and a window of 0 days keeps the rows of the last ts.
     mode "replot", for outputs of a stored frame: NULL ts is dropped, the window counts when
     `start_ts` is absent, back from the last ts up to `end_ts`, and a window of 0 is ignored.
-    The last ts is one scalar subquery, a partially aggregated maximum.
+    The last ts is one scalar subquery, a partially aggregated maximum, unless `last` gives what is
+    known of it, see extents.last_time.
     """
     if mode not in ("run", "replot"):
         raise ValueError(f"mode must be 'run' or 'replot', got {mode!r}")
@@ -54,8 +57,8 @@ def time_slice(df: DataFrame, start_ts=None, end_ts=None, window_days=None, mode
     if ends:
         df = df.where(F.col("ts") <= ts_literal(end_ts))
     if windowed:
-        cutoff = df.agg(F.max("ts") - days_and_hours(days=int(window_days))).scalar()
-        df = df.where(F.col("ts") >= cutoff)
+        last = df.agg(F.max("ts")).scalar() if last is None else last
+        df = df.where(F.col("ts") >= last - days_and_hours(days=int(window_days)))
     return df
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
 from fleetspc.functions.predicates import one_sided_violation
 from fleetspc.operators.ewma import ewma
+from fleetspc.operators.extents import last_time
 from fleetspc.operators.extract import (
     SENSOR_HISTORY,
     entity_all_sensor_history,
@@ -15,11 +16,15 @@ from fleetspc.operators.extract import (
     join_limits,
     normal_readings,
     pm_event_sensor_history,
+    sensor_history,
 )
+from fleetspc.operators.guards import guard
 from fleetspc.operators.health import by_severity, health_table, multi_sensor_health
 from fleetspc.operators.slices import entity_subset, time_slice
 from fleetspc.operators.spc import ewma_spc
 from fleetspc.operators.summary import fleet_ooc_summary, pm_event_ooc_summary, pm_event_table
+from fleetspc.plans.setup import SensorTables
+from fleetspc.sources.versions import finish_version, new_version, version_path
 from fleetspc.sources.workspace import materialize
 
 
@@ -45,6 +50,21 @@ def sliced(df: DataFrame, *, entities=None, start_ts=None, end_ts=None, window_d
     return time_slice(entity_subset(df, entities), start_ts, end_ts, window_days, mode)
 
 
+def sliced_history(
+    t: SensorTables, *, entities=None, start_ts=None, end_ts=None, window_days=None, mode="run", **names
+) -> DataFrame:
+    """`sliced` of the sensor_history with these names (entity_group, sensor), in one scan.
+
+    The last ts that a window counts back from comes from the extents.
+    """
+    long = entity_subset(t.long, entities)
+    last = None
+    if window_days is not None:
+        last = last_time(t.extents, t.long, until=end_ts or None, entity=entities, **names)
+    history = sensor_history(long, t.limits, **names)
+    return time_slice(history, start_ts, end_ts, window_days, mode, last)
+
+
 def fleet_ooc_table(processed: DataFrame, **slice_arguments) -> DataFrame:
     """Out-of-control rates over a slice of a frame of ewma_spc."""
     return fleet_ooc_summary(sliced(processed, **slice_arguments))
@@ -79,6 +99,25 @@ def shared_outputs(
     return {name: output(stored) for name, output in outputs.items()}
 
 
+def stored_run(
+    extract: DataFrame, process: Callable[[DataFrame], DataFrame], table: str, *, what: str = "the extract", known: Sequence[str] = ("value",)
+) -> DataFrame:
+    """Process an extract and store it as a new version of `table`, in one job, and return it as read back.
+
+    Raises ValueError when the extract or what was made of it had no rows, or a column in `known` no
+    value in the extract. Readers of `table` then still see the version before.
+    """
+    spark = extract.sparkSession
+    taken = guard(extract, what, known)
+    made = guard(process(taken.frame), f"what was made of {what}")
+    number = new_version(spark, table)
+    made.frame.write.parquet(version_path(table, number))
+    taken.check()
+    made.check()
+    finish_version(spark, table, number)
+    return spark.read.schema(made.frame.schema).parquet(version_path(table, number))
+
+
 def replot(stored: DataFrame, output: Callable[[DataFrame], DataFrame], **slice_arguments) -> DataFrame:
     """A new output of a frame stored by an earlier run; nothing is extracted or averaged again."""
     return output(sliced(stored, mode="replot", **slice_arguments))

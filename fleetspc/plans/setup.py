@@ -7,22 +7,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetspc.operators.extents import counts_of_extents, extents, read_extents, write_extents
 from fleetspc.operators.ingest import derive_entity, spc_limits, unpivot_sensors
-from fleetspc.operators.series import LongSeries, find_long_series, series_counts
+from fleetspc.operators.series import LongSeries, find_long_series
 from fleetspc.schemas import ENTITY_KEYS, SENSORS, SERIES_KEYS
 from fleetspc.sources.tables import read_limits, read_long, write_limits, write_long
-from fleetspc.sources.workspace import materialize
+from fleetspc.sources.workspace import exists, materialize
 
 
 @dataclass(frozen=True)
 class SensorTables:
     """The stored tables, and what is known of their series, found once for all questions.
 
-    `series` has the rows, first and last time of each series.
+    `extents` has the readings, first and last time of each series and day, `series` of each series.
     """
 
     long: DataFrame
     limits: DataFrame
+    extents: DataFrame
     series: DataFrame
     long_series: LongSeries | None
     long_entities: LongSeries | None
@@ -47,17 +49,23 @@ def ingest(raw: DataFrame, folder: str, files: int | None = None) -> SensorTable
     files = files or files_for(raw)
     write_long(unpivot_sensors(derive_entity(raw)), f"{folder}/sensor_data", files)
     long = read_long(spark, f"{folder}/sensor_data")
+    write_extents(extents(long), f"{folder}/sensor_extents")
     write_limits(spc_limits(long), f"{folder}/sensor_spc_limits")
     return open_tables(spark, folder)
 
 
 def open_tables(spark: SparkSession, folder: str) -> SensorTables:
-    """Open stored tables. Long series and long entities are found in one scan of the keys."""
-    long = read_long(spark, f"{folder}/sensor_data")
-    counts = materialize(series_counts(long, SERIES_KEYS), "series-counts")
+    """Open stored tables. Long series and long entities are found by the extents, without a scan.
+
+    Tables stored without extents have their keys scanned once.
+    """
+    long, stored = read_long(spark, f"{folder}/sensor_data"), f"{folder}/sensor_extents"
+    kept = read_extents(spark, stored) if exists(spark, stored) else materialize(extents(long), "extents")
+    counts = materialize(counts_of_extents(kept), "series-counts")
     return SensorTables(
         long=long,
         limits=read_limits(spark, f"{folder}/sensor_spc_limits"),
+        extents=kept,
         series=counts,
         long_series=find_long_series(long, SERIES_KEYS, counts=counts),
         long_entities=find_long_series(long, ENTITY_KEYS, counts=counts),

@@ -120,8 +120,9 @@ def write_frame(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:
-    """Result table as CSV with a header, in as many files as it has partitions."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Result table as CSV with a header, in as many files as it has partitions. Times keep their microseconds."""
+    times = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", times).csv(path)
 
 
 def write_catalog_json(catalog: DataFrame, path: str) -> None:
