@@ -73,7 +73,8 @@ from escaped group by conv_id
 MIXTURE = r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    (('0x' || md5(coalesce(doc_id::varchar, text, '') || '|mix-1')[1:13])::bigint::double + 0.5) / 4503599627370496.0 as u
+    (('0x' || md5(coalesce(doc_id::varchar, '') || '|mix-1|' || coalesce(text, ''))[1:13])::bigint::double + 0.5) / 4503599627370496.0 as u,
+    row_number() over (partition by doc_id, text, source) as twin
   from documents
 ),
 sources as (
@@ -96,22 +97,36 @@ targets as (
     case when most * r.weights <= weight * r.words then most else weight * l.words / l.weights end as target
   from ranked r left join level l on true
 ),
+classes as (
+  select source, length(bin(size)) as weight, sum(size)::bigint as words from sizes group by all
+),
+-- Expected copies are level * weight, 2 at most; classes of great weight stop first.
+levels as (
+  select c.*, source_size, target, (target - 2 * coalesce(sum(words) over before, 0)) / nullif(sum(weight * words) over rest, 0) as level
+  from classes c join targets t on c.source is not distinct from t.source
+  window before as (partition by c.source order by weight desc rows between unbounded preceding and 1 preceding),
+    rest as (partition by c.source order by weight desc rows between current row and unbounded following)
+),
+expected as (
+  select *, case when source_size > 0 then least(2.0, weight * coalesce(
+      arg_max(level, weight) filter (where level * weight < 2) over (partition by source), 2.0)) else 0.0 end as copies
+  from levels
+),
 chances as (
-  select *, case when source_size > 0 then floor(target / source_size) else 0 end as certain,
-    case when source_size > 0 then target / source_size else 0.0 end - certain as chance
-  from targets
+  select *, floor(copies) as certain, copies - floor(copies) as chance, target - sum(floor(copies)::bigint * words) over (partition by source) as wanted
+  from expected
 ),
 docs as (
-  select s.*, source_size, target, certain, chance, target - certain * source_size as wanted,
+  select s.*, source_size, target, certain, wanted,
     case when chance > 0 and size > 0 then (u / (1 - u)) / (chance / (1 - chance)) end as place
-  from sizes s join chances c on s.source is not distinct from c.source
+  from sizes s join chances c on s.source is not distinct from c.source and length(bin(s.size)) = c.weight
 ),
+-- Equal rows follow each other, so each is taken if more than half of it is still wanted.
 summed as (
-  select *, sum(size) over (partition by source, place is null order by place) as up_to, sum(size) over (partition by source, place) as equal
-  from docs
+  select *, sum(size) over (partition by source, place is null order by place, size, twin) as up_to from docs
 )
 select doc_id, size, source_size, target,
-  (certain * size + case when place is not null and up_to - equal / 2 <= wanted then size else 0 end)::bigint as taken
+  (certain * size + case when place is not null and up_to - size / 2 <= wanted then size else 0 end)::bigint as taken
 from summed
 """
 

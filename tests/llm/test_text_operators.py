@@ -137,11 +137,62 @@ def test_mixture_of_odd_rows(documents):
     docs = documents((1, "a b c", None, "s"), (2, None, None, "s"), (3, "a", None, None), (3, "a", None, None), (None, "x y", None, "t"))
     got = mixing.mix(docs)
     assert set(docs.columns) <= {*got.columns} and got.count() == 5
+    assert all(abs(off) <= largest / 2 for off, largest in off_target(got).values())
     for r in got.collect():
         assert 0 <= r.taken <= 2 * r["size"] and r.target <= 2 * r.source_size
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def off_target(mixed):
+    """By how many words each source misses its target, and the size of its largest document."""
+    per = mixed.groupBy("source").agg((F.sum("taken") - F.max("target")).alias("off"), F.max("size").alias("largest"))
+    return {r.source: (r.off, r.largest) for r in per.collect()}
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 2_000])
+def test_mixture_meets_its_targets_with_repeated_rows(documents, rows_per_range):
+    hot = [(1, "a b c d", None, "s")] * 900 + [(i, words(RND.randint(1, 9)), None, "s") for i in range(100)]
+    rest = [(i, words(RND.choice([0, 1, 5, 60, 300])), None, RND.choice(["t", "u", None])) for i in range(300)]
+    rest += [(None, "x y", None, "t")] * 50 + [(None, None, None, "u")] * 20
+    docs = documents(*hot, *rest).repartition(5)
+    once = mixing.mix(docs, rows_per_range=rows_per_range)
+    for off, largest in off_target(once).values():
+        assert abs(off) <= largest / 2
+    assert once.where("taken > 2 * size or copies > 2").count() == 0 and once.count() == docs.count()
+    again = mixing.mix(docs.coalesce(2), rows_per_range=rows_per_range)
+    columns = ["doc_id", "text", "source", "taken"]
+    assert once.select(columns).exceptAll(again.select(columns)).count() == 0
+
+
+def test_mixture_takes_long_documents_more_often(spark, documents):
+    """Over many seeds a document's mean copies are those that are expected of its length."""
+    sizes = [1] * 40 + [10] * 40 + [100] * 40
+    rows = [(i, " ".join(["w"] * n), None, "s") for i, n in enumerate(sizes)] + [(500, "w " * 4_440, None, "t")]
+    docs = documents(*rows)
+    plan = mixing.source_cuts(docs, weights=(1, 2)).where("source = 's'").collect()
+    expected = {r.weight: r.certain + r.chance for r in plan}
+    assert sorted(expected) == [1, 4, 7] and expected[1] < expected[4] < expected[7] < 2
+    level = expected[1]
+    assert all(abs(e - w * level) < 1e-9 for w, e in expected.items())
+    assert abs(sum(expected[n.bit_length()] * n for n in sizes) - plan[0].target) < 1e-6
+    # The rule of the operator, plainly, over 200 seeds.
+    taken = np.zeros((200, len(sizes)))
+    chances = np.array([expected[n.bit_length()] % 1 for n in sizes])
+    for seed in range(200):
+        u = np.array([(int(hashlib.md5(f"{i}|s{seed}|{text}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, text, *_ in rows[:-1]])
+        order = np.argsort((u / (1 - u)) / (chances / (1 - chances)))
+        size = np.array(sizes)[order]
+        wanted = plan[0].target - sum(int(expected[n.bit_length()]) * n for n in sizes)
+        taken[seed, order[np.cumsum(size) - size / 2 <= wanted]] = 1
+        if seed < 2:
+            mine = mixing.mix(docs, seed=f"s{seed}", weights=(1, 2)).where("source = 's'").orderBy("doc_id").toPandas()
+            whole = [int(expected[n.bit_length()]) for n in sizes]
+            assert list(mine.copies) == [int(t) + w for t, w in zip(taken[seed], whole)]
+    for n in (1, 10, 100):
+        of = [i for i, m in enumerate(sizes) if m == n]
+        assert abs(taken[:, of].mean() - chances[of[0]]) < 0.04
+
+
 def test_packing_round_trip(documents):
     path = queries.tokenizer_path()
     texts = {i: words(RND.choice([0, 3, 400, 1_500])) + RND.choice(["", " Ünï ΣΑΣ <|endoftext|>", " don't 12³"]) for i in range(60)}
