@@ -198,7 +198,6 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     leading = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
     leading = leading.select(F.col("leader").alias("key"), "leader", "group", F.lit(True).alias("leads"))
     places = leading.unionByName(dealt.select(F.col("member").alias("key"), "leader", "group", F.lit(False).alias("leads")))
-    places = places.groupBy("key").agg(F.collect_list(F.struct("leader", "group", "leads")).alias("places"))
     carried = _texts_at(docs, nodes, places)
 
     def compare(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -229,12 +228,20 @@ def _weighted_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _texts_at(docs: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, text, and the columns of the structs in `places`) for stored rows (key, places)."""
-    one = nodes.select("key", F.col("doc_id").alias("_doc_id"))
-    places = materialize(places.join(one, "key").withColumnRenamed("key", "_key"), "near-places", compression="zstd")
+    """`places`, rows of a key and where it goes, with the key's text.
+
+    One text is taken for each key that goes somewhere, by id and key, which are few bytes each. Places
+    are rows, so those of a key that goes to very many groups are split as any uneven join is.
+    """
+    places = materialize(places, "near-places", compression="zstd")
+    one = nodes.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc_id"))
+    asked = places.select(F.col("key").alias("_key")).distinct().join(one, "_key")
+    asked = materialize(asked, "near-asked", compression="zstd")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     here = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.unhex(F.md5("text")) == F.col("_key"))
-    return texts.join(small(places), here).select(F.col("_key").alias("key"), "text", F.inline("places"))
+    # Repeated rows of one id and text are one.
+    found = texts.join(small(asked), here).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+    return places.join(found, "key")
 
 
 def block_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
@@ -252,8 +259,7 @@ def block_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, similar: flo
     cut = rows.select("bucket", "key").join(sets.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = F.struct("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    places = cut.groupBy("key").agg(F.collect_list(place).alias("places"))
+    places = cut.select("key", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     carried = _texts_at(docs, nodes, places)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
