@@ -11,9 +11,11 @@ from conftest import DATA, DAY0, as_set, reading
 from fleetspc.functions.predicates import where_time_range
 from fleetspc.operators import charts, extents, extract, spc
 from fleetspc.operators.guards import guard
+from fleetspc.operators.ingest import deal_ticks, unpivot_sensors
 from fleetspc.operators.slices import time_slice
 from fleetspc.plans import outputs
 from fleetspc.plans.setup import open_tables
+from fleetspc.schemas import SENSORS
 from fleetspc.sources.versions import finished_versions
 
 
@@ -131,3 +133,26 @@ def test_guards_tell_what_is_missing(spark, long, tmp_path):
         guard(long, "the extract", ["absent"])
     # The version of the run that passed is the one that readers see.
     assert finished_versions(spark, table) == [0] and outputs.stored_run(long, spc.ewma_spc, table).count() == first.count()
+
+
+def test_extents_of_a_log_are_those_of_its_readings(spark, tmp_path):
+    """NaN and NULL readings, ticks without time, mode, group or entity; and no shuffle of readings."""
+    nan = float("nan")
+    ticks = [(None if h is None else at(h), e, g, m, v, r) for h in (1, 20, 30, None) for e, g in (("a", "CPR"), ("b", None), (None, "CPR"))
+             for m in ("normal", "peak", None) for v, r in ((1.0, None), (nan, 2.0))]
+    wide = spark.createDataFrame(ticks, "timestamp timestamp_ntz, entity string, entity_group string, operating_mode string, vibration_rms double, rpm double")
+    absent = {c: F.lit(None).cast("double") for c in (*SENSORS, "hours_since_maintenance", "rul_hours") if c not in wide.columns}
+    wide = wide.withColumns({**absent, "failure_within_24h": F.lit(0), "failure_type": F.lit("none")})
+    readings = unpivot_sensors(wide)
+    wanted = as_set(extents.extents(readings), *extents.extents(readings).columns)
+    for tasks in (None, 4):
+        assert as_set(extents.extents_of_log(wide, tasks), *extents.extents(readings).columns) == wanted
+        assert as_set(unpivot_sensors(deal_ticks(wide, tasks))) == as_set(readings)
+
+
+def test_a_folder_of_extents_is_written_by_several_tasks(spark, tmp_path):
+    """The rows of one group and sensor do not meet in one task."""
+    kept = sensor_tables(spark, DATA).extents.where("entity_group = 'CPR' and sensor = 'rpm'").repartition(4)
+    extents.write_extents(kept, str(tmp_path / "kept"))
+    stored = extents.read_extents(spark, str(tmp_path / "kept"))
+    assert len(stored.inputFiles()) == 4 and as_set(stored) == as_set(kept.select(stored.columns))
