@@ -54,16 +54,17 @@ def ewma(
     reset_on_maintenance: bool = True,
     within: tuple[str, ...] = (),
     cuts=None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add `ewma` per (entity_group, entity, sensor).
 
     Readings that are NULL are left out, as they are at ingest. `within` names columns that
     divide a series further, such as a request id. `alpha` may be a column that is the same in all
-    rows of a series, or of what `within` makes of it.
+    rows of a series, or of what `within` makes of it. `tasks` is the number of tasks, see tasks_for.
     """
     alpha = check_alpha(alpha)
     require_columns(df, [*SERIES_KEYS, *ROW_ORDER, *within], "ewma")
-    s = split_series(df.where(F.col("value").isNotNull()), SERIES_KEYS, cuts, within)
+    s = split_series(df.where(F.col("value").isNotNull()), SERIES_KEYS, cuts, within, tasks)
     if isinstance(alpha, Column):
         s = replace(s, rows=s.rows.withColumn("_alpha", alpha))
         alpha = F.col("_alpha")

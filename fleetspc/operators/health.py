@@ -17,9 +17,9 @@ def _newest_first() -> list[Column]:
     return [F.col("ts").desc(), F.col("value").desc()]
 
 
-def _with_age(df: DataFrame, cuts, within: tuple[str, ...]) -> DataFrame:
+def _with_age(df: DataFrame, cuts, within: tuple[str, ...], tasks: int | None) -> DataFrame:
     """Add `_age`, the number of newer readings in the series, and `_last_ts`."""
-    s = split_series(df, SERIES_KEYS, cuts, within)
+    s = split_series(df, SERIES_KEYS, cuts, within, tasks)
     w = s.window(*_newest_first())
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = s.rows.withColumns(
@@ -52,6 +52,7 @@ def multi_sensor_health(
     volatile_ooc_rate: float = 0.05,
     slope_window_hours: int = 24,
     cuts=None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per (entity_group, entity, sensor) with z-score, violation rate, slope and label.
 
@@ -75,6 +76,7 @@ def multi_sensor_health(
         f"ooc_rate_{window_days}d",
         f"ewma_slope_z_per_day_{slope_window_hours}h",
         cuts,
+        tasks=tasks,
     )
 
 
@@ -89,7 +91,7 @@ HEALTH_PARAMETERS = {
 }
 
 
-def health_within(df: DataFrame, within: tuple[str, ...], *, cuts=None) -> DataFrame:
+def health_within(df: DataFrame, within: tuple[str, ...], *, cuts=None, tasks: int | None = None) -> DataFrame:
     """multi_sensor_health of what `within`, such as a request id, makes of a series.
 
     The columns of HEALTH_PARAMETERS hold the parameters of each row; within a series they are the
@@ -98,10 +100,10 @@ def health_within(df: DataFrame, within: tuple[str, ...], *, cuts=None) -> DataF
     """
     require_columns(df, [*within, *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS, *HEALTH_PARAMETERS], "health_within")
     parameters = {c: F.col(c) for c in HEALTH_PARAMETERS}
-    return _health(df, parameters, "ooc_rate", "ewma_slope_z_per_day", cuts, within)
+    return _health(df, parameters, "ooc_rate", "ewma_slope_z_per_day", cuts, within, tasks)
 
 
-def _health(df: DataFrame, parameters: dict[str, Column], ooc_rate: str, slope: str, cuts, within: tuple[str, ...] = ()) -> DataFrame:
+def _health(df: DataFrame, parameters: dict[str, Column], ooc_rate: str, slope: str, cuts, within: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Parameters are literals, or columns that come along as keys of the aggregate."""
     carried = list(parameters) if within else []
     alpha = check_alpha(parameters["ewma_alpha"]) if within else parameters["ewma_alpha"]
@@ -110,7 +112,7 @@ def _health(df: DataFrame, parameters: dict[str, Column], ooc_rate: str, slope:
     rows = (
         df.select(*within, *carried, *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS)
         .where(value.isNotNull())
-        .transform(_with_age, cuts, within)
+        .transform(_with_age, cuts, within, tasks)
         .withColumns({"_sigma": sigma_from_limits(), "_ooc": two_sided_violation().cast("double")})
     )
     in_slope = F.col("ts") >= F.col("_last_ts") - F.make_dt_interval(F.lit(0), parameters["slope_window_hours"])

@@ -17,6 +17,7 @@ def ewma_spc(
     violation_on: str = "value",
     within: tuple[str, ...] = (),
     cuts=None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Normal-mode rows with `ewma`, restarted after maintenance, and `spc_violation`.
 
@@ -30,5 +31,5 @@ def ewma_spc(
         df, [*SERIES_KEYS, "ts", "operating_mode", "hours_since_maintenance", "value"], "ewma_spc"
     )
     rows = with_limit_columns(df).where(is_normal())
-    averaged = ewma(rows, ewma_alpha, within=within, cuts=cuts)
+    averaged = ewma(rows, ewma_alpha, within=within, cuts=cuts, tasks=tasks)
     return averaged.withColumn("spc_violation", one_sided_violation(violation_on))

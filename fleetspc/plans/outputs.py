@@ -29,13 +29,13 @@ from fleetspc.sources.workspace import materialize
 
 
 def monitored_history(
-    long, limits, ewma_alpha: float = 0.2, *, violation_on: str = "value", cuts=None, **filters
+    long, limits, ewma_alpha: float = 0.2, *, violation_on: str = "value", cuts=None, tasks: int | None = None, **filters
 ) -> DataFrame:
     """ewma_spc of a sensor_history, with the limits joined after the average.
 
     The rows are the same; the limits stay out of the shuffle that brings a series together.
     """
-    averaged = ewma(normal_readings(long, **filters), ewma_alpha, cuts=cuts)
+    averaged = ewma(normal_readings(long, **filters), ewma_alpha, cuts=cuts, tasks=tasks)
     flagged = join_limits(averaged, limits).withColumn("spc_violation", one_sided_violation(violation_on))
     return flagged.select(*SENSOR_HISTORY, "ewma", "spc_violation")
 

@@ -124,3 +124,22 @@ def test_small_sides_may_outgrow_broadcasting(spark, tables):
     assert all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
     assert all("NestedLoop" not in p and "Cartesian" not in p for p in plans)
     assert all(a.equals(b) for a, b in zip(want, got))
+
+
+def test_windows_are_dealt_by_the_number_of_readings(spark, tables, monkeypatch):
+    """With their number known, windows have tasks by it, in the one shuffle they had before, and the same rows."""
+    monkeypatch.setattr(series, "ROWS_PER_TASK", 100)
+    n = tables.long.count()
+    tasks = series.tasks_for(n, 3)
+    assert tasks == -(-n // 100) and series.tasks_for(100, 3) is None and series.tasks_for(150, 3) == 3
+    history = extract.sensor_history(tables.long, tables.limits)
+    cuts = series.find_long_series(tables.long, SERIES_KEYS, 20)
+    for make in (
+        lambda **k: spc.ewma_spc(history, **k), lambda **k: health.multi_sensor_health(history, **k),
+        lambda **k: extract.pm_event_history(tables.long, tables.limits, **k),
+    ):
+        dealt = make(tasks=tasks)
+        assert shuffles(dealt) == 1 and f"{tasks}), REPARTITION_BY_NUM" in plan(dealt)
+        assert ordered(dealt.toPandas()).equals(ordered(make().toPandas()))
+    a, b = (spc.ewma_spc(history, cuts=cuts, tasks=k).withColumn("ewma", F.round("ewma", 6)) for k in (7, None))
+    assert ordered(a.toPandas()).equals(ordered(b.toPandas()))
