@@ -13,7 +13,7 @@ from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, join_limits,
 from fleetspc.operators.health import HEALTH_PARAMETERS, health_within
 from fleetspc.operators.ingest import entities_by_group
 from fleetspc.operators.ranges import closed_end, match_segments
-from fleetspc.operators.series import series_counts
+from fleetspc.operators.series import series_counts, tasks_for
 from fleetspc.operators.slices import sliced_within
 from fleetspc.operators.spc import ewma_spc
 from fleetspc.operators.summary import fleet_ooc_summary
@@ -102,9 +102,12 @@ def normal_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns(trimmed).withColumn("entity", F.explode_outer(named)).drop("entities")
 
 
-def request_ranges(requests: DataFrame, series: DataFrame) -> DataFrame:
+def request_ranges(requests: DataFrame, series: DataFrame, many: bool = False) -> DataFrame:
     """What each request asks of each series: (SERIES_KEYS, request_id, start_ts, end_ts), half-open.
 
+    `n`, the readings of the series, is as many as the range can hold. `many` series are not broadcast, however
+    well their names compress.
+
     `series` are series_counts over SERIES_KEYS; they turn names that are not given into all names
     there are, and open bounds into a series' first and last time. The names of requests meet
     those of series by equality, in each of the four ways of giving an entity and a sensor or not.
@@ -122,11 +125,11 @@ def request_ranges(requests: DataFrame, series: DataFrame) -> DataFrame:
         )
         for way in product((True, False), repeat=2)
     ]
-    named = series.where(F.col("sensor").isNotNull()).select(*SERIES_KEYS, "first_ts", "last_ts", F.inline(F.array(*asked_as)))
-    met = named.join(wanted, ["entity_group", "_entity", "_sensor", "_by_entity", "_by_sensor"])
+    named = series.where(F.col("sensor").isNotNull()).select(*SERIES_KEYS, "first_ts", "last_ts", "n", F.inline(F.array(*asked_as)))
+    met = (named.hint("merge") if many else named).join(wanted, ["entity_group", "_entity", "_sensor", "_by_entity", "_by_sensor"])
     return met.select(
         *SERIES_KEYS, "request_id", F.coalesce("start_ts", "first_ts").alias("start_ts"),
-        F.coalesce(F.col("end_ts"), closed_end("last_ts")).alias("end_ts"),
+        F.coalesce(F.col("end_ts"), closed_end("last_ts")).alias("end_ts"), "n",
     )
 
 
@@ -142,23 +145,32 @@ def request_rows(
     sensor's name are in no request. `series`, series_counts over SERIES_KEYS of the stored table,
     saves a scan of its names and times.
     """
-    matched = _matched(long, requests, bin_hours, series)
-    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY)
+    return _rows_and_tasks(long, limits, requests, bin_hours, series)[0]
+
+
+def _rows_and_tasks(long, limits, requests, bin_hours, series) -> tuple[DataFrame, int | None]:
+    matched, tasks = _matched(long, requests, bin_hours, series)
+    return join_limits(matched, limits).select("request_id", *SENSOR_HISTORY), tasks
 
 
 # Stands in for the entity of readings without one, so that they join on plain equality.
 _NO_ENTITY = "\u0000"
 
 
-def _matched(long: DataFrame, requests: DataFrame, bin_hours: float, series: DataFrame | None) -> DataFrame:
+def _matched(long: DataFrame, requests: DataFrame, bin_hours: float, series: DataFrame | None) -> tuple[DataFrame, int | None]:
+    """Readings of the requests, and the tasks for windows over as many of them as there can be."""
     require_columns(requests, REQUESTS.fieldNames(), "requests")
-    ranges = request_ranges(requests, series_counts(long, SERIES_KEYS) if series is None else series)
+    many = series is not None and series.count() > BROADCAST_ROWS
+    ranges = request_ranges(requests, series_counts(long, SERIES_KEYS) if series is None else series, many)
     key = F.coalesce("entity", F.lit(_NO_ENTITY)).alias("_key")
-    ranges = ranges.select("entity_group", "sensor", key, "request_id", "start_ts", "end_ts")
+    ranges = materialize(ranges.select("entity_group", "sensor", key, "request_id", "start_ts", "end_ts", "n"), "request-ranges")
+    cores = long.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks_for(ranges.agg(F.sum("n")).first()[0] or 0, cores)
     columns = [c for c in SENSOR_HISTORY if c in long.columns]
     readings = normal_readings(long).select(*columns, key)
-    matched = match_segments(readings, ranges, ["entity_group", "sensor", "_key"], least_hours=bin_hours)
-    return matched.select("request_id", *columns)
+    keys = ["entity_group", "sensor", "_key"]
+    matched = match_segments(readings, ranges.drop("n"), keys, least_hours=bin_hours, tasks=tasks)
+    return matched.select("request_id", *columns), tasks
 
 
 def _of_kind(requests: DataFrame, pm: bool) -> DataFrame:
@@ -183,11 +195,11 @@ def batch_requests(
     `ewma_alpha`, each request is averaged with its own, or with the argument where that is NULL.
     """
     asked = _of_kind(requests, False)
-    rows = request_rows(long, limits, asked, bin_hours=bin_hours, series=series)
+    rows, tasks = _rows_and_tasks(long, limits, asked, bin_hours, series)
     if "ewma_alpha" not in requests.columns:
-        return ewma_spc(rows, ewma_alpha, within=("request_id",), cuts=cuts)
+        return ewma_spc(rows, ewma_alpha, within=("request_id",), cuts=cuts, tasks=tasks)
     rows = _with_parameters(rows, asked, {"ewma_alpha": float(ewma_alpha)})
-    averaged = ewma_spc(rows, F.col("ewma_alpha"), within=("request_id",), cuts=cuts)
+    averaged = ewma_spc(rows, F.col("ewma_alpha"), within=("request_id",), cuts=cuts, tasks=tasks)
     return averaged.select("request_id", *SENSOR_HISTORY, "ewma_alpha", "ewma", "spc_violation")
 
 
@@ -215,8 +227,8 @@ def batch_pm_events(
     Events are found within the time range of the request. With a column `kind`, only requests for
     maintenance events are answered. `cuts` is over (entity_group, entity).
     """
-    rows = _matched(long, _of_kind(requests, True), bin_hours, series)
-    return join_limits(readings_at_events(rows, cuts, within=("request_id",)), limits).select("request_id", *PM_HISTORY)
+    rows, tasks = _matched(long, _of_kind(requests, True), bin_hours, series)
+    return join_limits(readings_at_events(rows, cuts, within=("request_id",), tasks=tasks), limits).select("request_id", *PM_HISTORY)
 
 
 def batch_ooc(
@@ -228,7 +240,8 @@ def batch_ooc(
     The readings of all requests are found in one scan and stored; the slices and the last ts that
     windows count back from are taken of those.
     """
-    matched = _matched(long, _of_kind(requests, False), bin_hours, series).select("request_id", *SERIES_KEYS, "ts", "value")
+    matched, _ = _matched(long, _of_kind(requests, False), bin_hours, series)
+    matched = matched.select("request_id", *SERIES_KEYS, "ts", "value")
     sliced = sliced_within(materialize(matched, "request-readings"), slices, mode)
     by = tuple(c for c in ("request_id", "output") if c in sliced.columns)
     return fleet_ooc_summary(join_limits(sliced, limits), by)
@@ -243,9 +256,9 @@ def batch_health(
     means the usual value.
     """
     asked = _of_kind(requests, False)
-    rows = request_rows(long, limits, asked, bin_hours=bin_hours, series=series)
+    rows, tasks = _rows_and_tasks(long, limits, asked, bin_hours, series)
     rows = rows.select("request_id", *SERIES_KEYS, "ts", "value", *LIMIT_COLUMNS)
-    return health_within(_with_parameters(rows, asked, HEALTH_PARAMETERS), ("request_id",), cuts=cuts)
+    return health_within(_with_parameters(rows, asked, HEALTH_PARAMETERS), ("request_id",), cuts=cuts, tasks=tasks)
 
 
 def run_filter_inventory(requests: DataFrame) -> DataFrame:

@@ -163,3 +163,33 @@ def test_only_folders_that_are_asked_for_are_opened(spark, plant):
     frame.collect()
     found = [s.metrics().apply("numPartitions").value() for s in scans(frame._jdf.queryExecution().executedPlan()) if path in s.relation().location().rootPaths().toString()]
     assert found == [1]
+
+
+def test_many_ranges_are_listed_by_many_tasks(spark, plant, monkeypatch):
+    """Tasks follow from the number of ranges, pairs and readings; segments and averages are the same."""
+    from fleetspc.operators import ranges, series
+
+    long, limits = plant
+    asked = spark.createDataFrame(
+        [(f"r{i}", "CPR", e, s, at(i), at(i + 40)) for i, e in enumerate(ENTITIES) for s in ("rpm", None)]
+        + [("all", "CPR", None, None, None, None)], REQUESTS,
+    )
+    wide = spark.range(60).selectExpr("id % 3 as k", "id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id % 7 as int)) as start_ts",
+                                      "timestamp_ntz'2024-01-02' + make_dt_interval(0, cast(id % 5 as int)) as end_ts")
+
+    def results():
+        segments = range_segments(wide, ["k"])
+        listed = segments.withColumn("ranges", F.sort_array("ranges"))
+        averaged = requests.batch_requests(long, limits, asked).withColumn("ewma", F.round("ewma", 6))
+        return segments, averaged, as_set(listed), as_set(averaged)
+
+    _, _, *want = results()
+    monkeypatch.setattr(ranges, "RANGES_PER_TASK", 5)
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(series, "ROWS_PER_TASK", 50)
+    segments, averaged, *got = results()
+    assert got == want
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (segments, averaged)]
+    assert all("REPARTITION_BY_NUM" in p for p in plans)
+    # Many segments are not sent to every task.
+    assert "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0] and "SortMergeJoin" in plans[1]
