@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from fleetspc.functions.predicates import is_normal, one_sided_violation
 from fleetspc.operators.ewma import ROW_ORDER, check_alpha, ewma, maintenance_block
 from fleetspc.operators.extract import PM_HISTORY, SENSOR_HISTORY, join_limits, normal_readings, readings_at_events
-from fleetspc.operators.ingest import derive_entity, limits_of_moments, unpivot_sensors
+from fleetspc.operators.ingest import deal_ticks, derive_entity, limits_of_moments, unpivot_sensors
 from fleetspc.schemas import CHART_KEYS, ENTITY_KEYS, LIMIT_COLUMNS, SERIES_KEYS
-from fleetspc.sources.tables import read_long, write_long
+from fleetspc.sources.tables import read_long, write_dealt
 from fleetspc.sources.versions import finish_version, finished_versions, new_version, version_path
 from fleetspc.sources.workspace import materialize
 
@@ -166,7 +166,7 @@ def append_log(raw: DataFrame, folder: str, ewma_alpha: float = 0.2, *, files: i
         raise ValueError(f"the plant's averages have ewma_alpha {known}, not {alpha}")
     number = new_version(spark, folder)
     here = version_path(folder, number)
-    write_long(unpivot_sensors(derive_entity(raw)), f"{here}/sensor_data", files)
+    write_dealt(unpivot_sensors(deal_ticks(derive_entity(raw), files)), f"{here}/sensor_data")
     new = read_long(spark, f"{here}/sensor_data")
     rows = normal_readings(new)
 

@@ -130,3 +130,10 @@ def test_a_write_that_is_killed_leaves_the_old_table(spark):
     assert read_limits(spark, current_path(spark, table)).count() == 1
     with pytest.raises(FileNotFoundError):
         current_path(spark, new_path(spark, "nothing"))
+
+
+def test_a_log_is_dealt_by_ticks(spark):
+    """A tick moves once with all its sensors: each task has a file of each sensor, not of some."""
+    rows = [(DAY0 + timedelta(hours=t), 1, "Pump", "normal", float(t), 0, 1.0, "none", *[float(t)] * len(SENSORS)) for t in range(96)]
+    plant = append_log(spark.createDataFrame(rows, RAW), new_path(spark, "plant"), files=2)
+    assert plant.long().count() == 96 * len(SENSORS) and len(plant.long().inputFiles()) == 2 * len(SENSORS)
