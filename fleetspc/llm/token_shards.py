@@ -12,7 +12,9 @@ feed, which Spark's text writer puts after each. So the shards are files of that
 to any storage Spark can write, and only committed tasks leave files.
 
 Sequences are the documents' ids with the end id, cut at the sequence length. They are numbered as
-they were stored, task by task; the order follows from the key and that numbering. NULL text is
+they were stored, task by task; the order follows from the key and that numbering. Shards are
+written in waves, each a range of them, and the shuffle files of a wave are gone before the next,
+so that a shuffle never holds all sequences beside those stored and those written. NULL text is
 empty; an empty document is one sequence of one id. Repeated rows have sequences of their own.
 """
 
@@ -24,14 +26,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetspc.llm.frames import text_or_empty
 from fleetspc.llm.tokens import TextTokenizer
-from fleetspc.sources.workspace import materialize
+from fleetspc.sources.workspace import drop, materialize, tidy_session
 
 SEQUENCE = 512
 END_ID = 1
@@ -43,6 +45,8 @@ HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
 # Records that a task holds in one frame.
 RECORDS = 2_048
+# Parts that the shards are written in, where each has a shard for every core.
+WAVES = 4
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -83,30 +87,44 @@ def stride(sequence: int, kind: str) -> int:
 def make_sequences(docs: DataFrame, tokenizer_path: str, kind: str, sequence: int, end_id: int) -> DataFrame:
     """(task, number, record): numbers run from 0 within each task; records end with their ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task, number = TextTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        records = []
+        width, records = int(kind[-1]), []
+        end = np.uint32(end_id).tobytes()
 
-        def framed() -> pd.DataFrame:
-            return pd.DataFrame({"task": task, "number": range(number - len(records), number), "record": records})
+        def framed() -> pa.RecordBatch:
+            numbers = pa.array(np.arange(number - len(records), number))
+            tasks = pa.array(np.full(len(records), task, "int32"))
+            return pa.record_batch([tasks, numbers, pa.array(records, pa.binary())], ["task", "number", "record"])
 
+        batch = texts = None
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"], tokenizer.encode(batch["text"])):
-                whole = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(kind).tobytes()
-                step = sequence * int(kind[-1])
-                for at in range(0, len(whole), step):
-                    piece = whole[at : at + step]
-                    head = struct.pack(HEAD, NO_DOC if doc is None else int(doc), at // int(kind[-1]), len(piece) // int(kind[-1]))
-                    records.append(head + piece)
+            # One text at a time becomes a Python string.
+            texts = (text.as_py() for text in batch["text"])
+            for doc, ids in zip(batch["doc_id"], tokenizer.encode(texts)):
+                whole = np.frombuffer(ids + end, "<u4").astype(kind).tobytes()
+                doc_id = int(doc.as_py()) if doc.is_valid else NO_DOC
+                for at in range(0, len(whole), sequence * width):
+                    piece = whole[at : at + sequence * width]
+                    records.append(struct.pack(HEAD, doc_id, at // width, len(piece) // width) + piece)
                     number += 1
                     if len(records) == RECORDS:
                         yield framed()
                         records = []
         if records:
             yield framed()
+        # What is left of the texts goes back to the system, since the process waits for another task.
+        del batch, texts, records, tokenizer
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("string"), text_or_empty().alias("text"))
-    return rows.mapInPandas(cut, "task int, number long, record binary")
+    return rows.mapInArrow(cut, "task int, number long, record binary")
+
+
+def shard_ranges(shards: int, cores: int) -> list[tuple[int, int]]:
+    """First and last (exclusive) shard of each wave: one wave per `cores` shards, but WAVES at most and one at least."""
+    waves = max(1, min(WAVES, shards // max(1, cores)))
+    return [(shards * w // waves, shards * (w + 1) // waves) for w in range(waves)]
 
 
 def write_shards(
@@ -122,24 +140,28 @@ def write_shards(
     """Write the shards of all documents and a manifest of their layout to a new folder."""
     spark = docs.sparkSession
     kind = id_type(tokenizer_path)
-    stored = materialize(make_sequences(docs, tokenizer_path, kind, sequence, end_id), "sequences", compression="zstd")
+    sequences = make_sequences(docs, tokenizer_path, kind, sequence, end_id)
+    stored = materialize(sequences, "sequences", compression="zstd", session=tidy_session(spark))
     # One row for each task that wrote sequences.
     tasks = stored.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("first"), "n")
     tasks = materialize(tasks, "sequence-tasks")
     total = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def slots(numbers: pd.Series) -> pd.Series:
-        return pd.Series(permuted(numbers.to_numpy(), total, key))
+    def slots(numbers: pa.Array) -> pa.Array:
+        return pa.array(permuted(numbers.to_numpy(zero_copy_only=False), total, key))
 
-    slot = F.pandas_udf(slots, "long")
+    slot = F.arrow_udf(slots, "long")
     placed = stored.join(F.broadcast(tasks.drop("n")), "task").withColumn("slot", slot(F.col("number") + F.col("first")))
     placed = placed.select("slot", F.floor(F.col("slot") / rows_per_shard).alias("shard"), "record")
-    shards = -(-total // rows_per_shard)
-    # A partition is the range of slots of one shard. Records get their full length as they are written.
-    dealt = placed.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
     full = F.rpad("record", stride(sequence, kind) - 1, F.lit(b"\0"))
-    dealt.select(full.cast("string").alias("value"), "shard").write.partitionBy("shard").text(f"{folder}/shards")
+    for low, high in shard_ranges(-(-total // rows_per_shard), spark.sparkContext.defaultParallelism):
+        wave = placed.where((F.col("shard") >= low) & (F.col("shard") < high))
+        # A partition is the range of slots of one shard. Records get their full length as they are written.
+        dealt = wave.repartitionById(max(1, high - low), (F.col("shard") - low).cast("int")).sortWithinPartitions("shard", "slot")
+        dealt.select(full.cast("string").alias("value"), "shard").write.mode("append").partitionBy("shard").text(f"{folder}/shards")
+    drop(stored)
+    drop(tasks)
     manifest = dict(
         sequences=total, sequence=sequence, ids=kind, stride=stride(sequence, kind), rows_per_shard=rows_per_shard,
         end_id=end_id, key=key,
@@ -164,23 +186,30 @@ def read_slots(spark: SparkSession, folder: str, first: int = 0, last: int | Non
     wanted = files.where((F.col("shard") >= first // rows) & (F.col("shard") * rows < last)).select("shard", "content")
     result = "ids_crc32 long" if checksum else "ids binary"
 
-    def read(content: bytes, shard: int, low: int, high: int) -> pd.DataFrame:
+    layout = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("ids", kind, (m["sequence"],)), ("feed", "u1")])
+
+    def read(content: pa.Buffer, shard: int, low: int, high: int) -> pa.RecordBatch:
         """Records low <= number < high of a shard."""
-        out = []
-        for number in range(low, high):
-            at = number * size
-            doc, start, length = struct.unpack_from(HEAD, content, at)
-            ids = content[at + HEAD_SIZE : at + HEAD_SIZE + length * int(kind[-1])]
-            told = zlib.crc32(np.frombuffer(ids, kind).astype("<u4")) if checksum else ids
-            out.append((shard * rows + number, shard, None if doc == NO_DOC else doc, start, length, told))
-        frame = pd.DataFrame(out, columns=["slot", "shard", "doc_id", "start", "length", result.split()[0]])
-        return frame.astype({"doc_id": "Int64"})
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = np.frombuffer(content, layout, high - low, low * size)
+        ids = block["ids"].astype("<u4") if checksum else block["ids"]
+        cut = zip(ids, block["length"].tolist())
+        told = [zlib.crc32(row[:n]) if checksum else row[:n].tobytes() for row, n in cut]
+        columns = {
+            "slot": pa.array(np.arange(low, high) + shard * rows),
+            "shard": pa.array(np.full(high - low, shard)),
+            "doc_id": pa.array(block["doc"].astype("int64"), mask=block["doc"] == NO_DOC),
+            "start": pa.array(block["start"].astype("int64")),
+            "length": pa.array(block["length"].astype("int64")),
+            result.split()[0]: pa.array(told, pa.int64() if checksum else pa.binary()),
+        }
+        return pa.record_batch(columns)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch["shard"], batch["content"]):
-                low, high = max(0, first - int(shard) * rows), min(len(content) // size, last - int(shard) * rows)
+            for shard, held in zip(batch["shard"].to_pylist(), batch["content"]):
+                content = held.as_buffer()
+                low, high = max(0, first - shard * rows), min(content.size // size, last - shard * rows)
                 for at in range(low, high, RECORDS):
-                    yield read(content, int(shard), at, min(at + RECORDS, high))
+                    yield read(content, shard, at, min(at + RECORDS, high))
 
-    return wanted.mapInPandas(records, f"slot long, shard long, doc_id long, start long, length long, {result}")
+    return wanted.mapInArrow(records, f"slot long, shard long, doc_id long, start long, length long, {result}")

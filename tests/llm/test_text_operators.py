@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -231,6 +232,46 @@ def test_shards(spark, documents):
         assert sorted(token_shards.permuted(np.arange(total), total)) == list(range(total))
 
 
+def test_shards_leave_no_shuffle_files(spark, documents, monkeypatch):
+    """Shards are written in waves whose shuffle files are gone when the next begins; rows are those of one wave."""
+    path, docs = queries.tokenizer_path(), documents(*enumerate(words(n) for n in range(0, 2_000, 20))).repartition(4).cache()
+    docs.count()
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = local.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    seen, read = [], []
+    ranges = token_shards.shard_ranges
+
+    def watched(shards, cores):
+        for wave in ranges(shards, 1 if read else shards):
+            yield wave
+            for _ in range(50):
+                if not shuffled() - before:
+                    break
+                time.sleep(0.1)
+            seen.append(len(shuffled() - before))
+
+    monkeypatch.setattr(token_shards, "shard_ranges", watched)
+    for waves in (1, token_shards.WAVES):
+        folder, before = new_path(spark, "shards"), shuffled()
+        token_shards.write_shards(docs, folder, path, sequence=64, rows_per_shard=32)
+        read.append(token_shards.read_slots(spark, folder).orderBy("slot").collect())
+    assert read[0] == read[1] and len(read[0]) > 1_000
+    assert seen == [0] * (1 + token_shards.WAVES)
+    docs.unpersist()
+
+
+def test_shards_in_waves():
+    for shards, cores in ((0, 6), (1, 6), (6, 6), (13, 6), (46, 6), (2_700, 12), (5, 0)):
+        waves = token_shards.shard_ranges(shards, cores)
+        assert [s for low, high in waves for s in range(low, high)] == list(range(shards))
+        assert len(waves) == 1 or min(high - low for low, high in waves) >= cores
+    assert max(high - low for low, high in token_shards.shard_ranges(2_700, 12)) <= 2_700 / token_shards.WAVES + 1
+
+
 def test_secrets_against_plain_patterns(spark, documents):
     """Base spans of random texts, repeated blobs under several ids and a very long text; then a scan of what is new only."""
     parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "AKIA", "é", '"', "'", " ", "  ", ":", "=", "\n", "\t", "0123abcd" * 2,
